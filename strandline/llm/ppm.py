@@ -40,6 +40,17 @@ def word_key(word: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(word) >> 1) - (1 << 63)
 
 
+class Logs(dict):
+    """log10 of a word's smoothed count, worked out when first asked for."""
+
+    def __init__(self, counts: dict[int, float]):
+        self.counts = counts
+
+    def __missing__(self, word: bytes) -> float:
+        out = self[word] = float(np.log10(self.counts[word_key(word)] + 0.1))
+        return out
+
+
 def _strings(texts: list[bytes], order: int):
     """Yields (codes, first text, starts of texts among the codes) a window at a time. A code's lowest byte is the symbol."""
     size = np.array([len(t) + 1 for t in texts], np.int64)
@@ -183,12 +194,10 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
             total[first : first + len(part)] += part
         tokens_seen, vocabulary = word[TOKENS], word[VOCABULARY]
         rest = float(np.log10(tokens_seen + 0.1 * (vocabulary + 1)))
-        logs: dict[bytes, float] = {}
+        logs = Logs(word)
         tokens, found, base = [], [], []
         for t in texts:
             own_words = [*t.lower().split(), END]
-            for w in set(own_words) - logs.keys():
-                logs[w] = float(np.log10(word[word_key(w)] + 0.1))
             got = np.fromiter(map(logs.__getitem__, own_words), float, len(own_words))
             tokens.append(len(got))
             found.append(int((got > 0).sum()))
