@@ -152,8 +152,9 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         return pa.table({"chunk": pa.array(np.full(len(keys), table["chunk"][0].as_py(), np.int32)), "key": keys, "n": n})
 
     # Dealt by key once: the sums and the way back to the chunks read this one exchange, so each use takes all its
-    # columns and filters on aggregates, which aren't pushed below it. A key has a row per chunk at most.
-    sent = texts.groupBy("chunk").applyInArrow(count, "chunk int not null, key long not null, n long not null").repartition(max(2, chunks), "key")
+    # columns and filters on aggregates, which aren't pushed below it; with fewer partitions than the session's the join
+    # would deal anew. A key has a row per chunk at most.
+    sent = texts.groupBy("chunk").applyInArrow(count, "chunk int not null, key long not null, n long not null").repartition(max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key")
     sums = sent.groupBy("key").agg(F.sum("n").alias("n"), F.max("key").alias("kind"), F.max("chunk").alias("any"))
     words, strings = sums.where("kind < 0 and any >= 0"), sums.where("kind >= 0 and any >= 0")
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("vocabulary"))
