@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .tokens import encoder
 
 WINDOW, END, VOCABULARY = 1024, 0, "byte_bpe_50k.json"
+#: Documents encoded at once.
+ROWS = 128
 
 
 class Packer:
@@ -111,9 +113,11 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                packer.add(doc, encode(text) + tail)
-                if len(packer.closed) >= 2048:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                for doc, ids in zip(part["doc_id"].to_pylist(), encode.many(part["text"].to_pylist()), strict=True):
+                    packer.add(doc, ids + tail)
+                if len(packer.closed) >= 1024:
                     yield from out(packer.closed)
                     packer.closed = []
         packer.finish()

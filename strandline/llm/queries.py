@@ -1,8 +1,15 @@
 """The queries of this package and their SQL, by name."""
 
-from . import ppm
+from . import line_dedup, packing, ppm, shards, url_rules
 
 QUERIES = {
     "op1_ppm_score": ppm.op1_ppm_score,
+    "op2_url_rules": url_rules.op2_url_rules,
+    "op3_mph_shards": shards.op3_mph_shards,
+    "op6_sum_of_squares": packing.op6_sum_of_squares,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+}
+ORACLE_SQL = {
+    "op2_url_rules": url_rules.OP2_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}

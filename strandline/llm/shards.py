@@ -31,6 +31,8 @@ from .tokens import encoder
 END, VOCABULARY = 1, "word_bpe_49k.json"
 #: Bytes of text of a shard, keys of an index bucket, and bits a key has at each level of the cascade.
 SHARD, BUCKET, GAMMA = 24 << 20, 1 << 18, 2
+#: Documents encoded at once.
+ROWS = 128
 MAGIC = b"SLIDS1\0\0"
 
 
@@ -121,9 +123,11 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
         def stream(f) -> None:
             starts, record = [0], 0
             for batch in batches:
-                payload = [encode(t) + tail for t in batch["text"].to_pylist()]
-                n = np.array([len(x) // 4 for x in payload], np.int64)
-                f.write(np.frombuffer(b"".join(payload), "<u4").astype(f"<u{width}").tobytes())
+                n = np.zeros(batch.num_rows, np.int64)
+                for i in range(0, len(n), ROWS):
+                    payload = [x + tail for x in encode.many(batch["text"].slice(i, ROWS).to_pylist())]
+                    n[i : i + len(payload)] = [len(x) // 4 for x in payload]
+                    f.write(np.frombuffer(b"".join(payload), "<u4").astype(f"<u{width}").tobytes())
                 at = starts[-1] + np.cumsum(n) - n
                 starts.extend((at + n).tolist())
                 found.append(pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([number] * len(n), pa.int32()), pa.array(np.arange(record, record + len(n))), pa.array(at), pa.array(n)], ["doc_id", "shard", "record", "at", "n_tokens"]))

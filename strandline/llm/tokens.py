@@ -8,16 +8,16 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
 
 import numpy as np
 
-#: Remembered words at most, and bytes of the longest remembered.
-WORDS, LONGEST = 300_000, 64
+#: Remembered words at most, and characters of the longest remembered.
+WORDS, LONGEST = 600_000, 64
 
-_loaded: dict[str, Callable[[str], bytes]] = {}
+_loaded: dict[str, Encoder] = {}
 _double = re.compile(r"\s\s")
 _single = re.compile(r"(?<=\S) (?=\S)")
+_simple = re.compile(r" ?\S+")
 
 
 def vocabulary_path(name: str) -> str:
@@ -27,60 +27,77 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Words(dict):
-    """Ids of words as little-endian unsigned 32-bit integers; forgets all when full, so memory is bounded."""
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit integers. Forgets all words when full, so memory is bounded.
 
-    def __init__(self, path: str):
+    New words are encoded together, with a separator between whose one id no word can hold.
+    """
+
+    def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, word: str | bytes) -> bytes:
-        text = word.decode() if isinstance(word, bytes) else word
-        out = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = out
+        self.words = spaced_words if spaced else (lambda text: text.encode().split())
+        self.between = "\n" if spaced else " \x01 "
+        self.known: dict[str | bytes, bytes] = {}
+        self.mark = self._alone(self.between)
+
+    def _alone(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: set) -> dict:
+        texts = {w: w.decode() if isinstance(w, bytes) else w for w in words}
+        easy = [w for w, t in texts.items() if _simple.fullmatch(t) and "\x01" not in t] if len(self.mark) == 1 else []
+        out = {}
+        if easy:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([self.between.join(texts[w] for w in easy)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark[0])
+            if len(cuts) == len(easy) - 1:
+                begin, end = np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist()
+                data = ids.tobytes()
+                out = {w: data[4 * a : 4 * b] for w, a, b in zip(easy, begin, end, strict=True)}
+        for w in words - out.keys():
+            out[w] = self._alone(texts[w]).tobytes()
+        if len(self.known) + len(out) > WORDS:
+            self.known.clear()
+        self.known.update((w, x) for w, x in out.items() if len(w) <= LONGEST)
         return out
 
-
-def word_encoder(path: str) -> Callable[[str], bytes]:
-    """For pre-tokenizers that drop white space. Cuts at ASCII white space alone, of which there is no doubt."""
-    words = Words(path)
-    return lambda text: b"".join(map(words.__getitem__, text.encode().split()))
+    def many(self, texts: list[str]) -> list[bytes]:
+        lists = [self.words(t) for t in texts]
+        got = [list(map(self.known.get, x)) for x in lists]
+        short = [i for i, x in enumerate(got) if None in x]
+        if short:
+            new = self._learn({w for i in short for w, x in zip(lists[i], got[i], strict=True) if x is None})
+            for i in short:
+                got[i] = [new[w] if x is None else x for w, x in zip(lists[i], got[i], strict=True)]
+        return [b"".join(x) for x in got]
 
 
-def spaced_encoder(path: str) -> Callable[[str], bytes]:
-    """For the byte-level pre-tokenizer that gives a word the one space before it.
+def spaced_words(text: str) -> list[str]:
+    """Pieces for the byte-level pre-tokenizer, which gives a word the one space before it.
 
     A space between two other characters always starts a piece, and a line feed between two is one.
     """
-    words = Words(path)
-    get = words.__getitem__
-
-    def encode(text: str) -> bytes:
-        if _double.search(text):
-            parts = _single.split(text)
-            return b"".join([get(parts[0]), *[get(" " + x) for x in parts[1:]]]) if text else b""
-        out = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append(get("\n"))
-            first, *rest = line.split(" ")
-            if first:
-                out.append(get(first))
-            out.extend([get(" " + x) for x in rest])
-        return b"".join(out)
-
-    return encode
-
-
-def encoder(name: str, path: str | None = None) -> Callable[[str], bytes]:
+    if _double.search(text):
+        first, *rest = _single.split(text)
+        return [first, *[" " + x for x in rest]]
+    out = []
+    for i, line in enumerate(text.split("\n")):
+        if i:
+            out.append("\n")
+        first, *rest = line.split(" ")
+        if first:
+            out.append(first)
+        out.extend([" " + x for x in rest])
+    return out
+
+
+def encoder(name: str, path: str | None = None) -> Encoder:
     """The encoder of a vocabulary file, loaded once in a worker; ``path``: where it lies, if not at its public place."""
     at = path or vocabulary_path(name)
     if at not in _loaded:
-        _loaded[at] = (word_encoder if name.startswith("word_") else spaced_encoder)(at)
+        _loaded[at] = Encoder(at, not name.startswith("word_"))
     return _loaded[at]
