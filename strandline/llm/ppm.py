@@ -26,7 +26,7 @@ from .common import HashTable, chunk_count, chunked, raw, summed
 #: Bytes of a context; a string of order + 1 bytes must stay below 2^55.
 ORDER = 5
 #: Bytes of text in a chunk.
-CHUNK = 24 << 20
+CHUNK = 20 << 20
 #: Positions handled at once.
 WINDOW = 1 << 20
 END = b"\n"  # no word holds white space, so this names the end token
@@ -40,17 +40,6 @@ def word_key(word: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(word) >> 1) - (1 << 63)
 
 
-class Logs(dict):
-    """log10 of a word's smoothed count, worked out when first asked for."""
-
-    def __init__(self, counts: dict[int, float]):
-        self.counts = counts
-
-    def __missing__(self, word: bytes) -> float:
-        out = self[word] = float(np.log10(self.counts[word_key(word)] + 0.1))
-        return out
-
-
 def _strings(texts: list[bytes], order: int):
     """Yields (codes, first text, starts of texts among the codes) a window at a time. A code's lowest byte is the symbol."""
     size = np.array([len(t) + 1 for t in texts], np.int64)
@@ -87,7 +76,7 @@ def _count(train: list[bool], texts: list[bytes], order: int) -> tuple[np.ndarra
         found: list[tuple] = []
         for code, _, _ in _strings(own, order):
             found.append(np.unique(code, return_counts=True))
-            if sum(len(k) for k, _ in found) > 1 << 22:
+            if sum(len(k) for k, _ in found) > 1 << 20:
                 found = [summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))]
         for k, c in found:
             keys.append(k.astype(np.int64))
@@ -181,21 +170,25 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
 
     weights = trie.groupBy("share").cogroup(pairs.groupBy("share")).applyInArrow(weigh, "key long not null, value double")
     values = weights.unionByName(words.select("key", F.col("n").cast("double").alias("value")))
-    back = sent.join(values, "key").select("chunk", "key", "value", "n")
-    back = back.unionByName(size.select("chunk", "key", F.col("n").cast("double").alias("value"), F.lit(0).cast("long").alias("n")))
+    back = sent.join(values, "key").select("chunk", "key", F.when(F.col("n") >= 0, F.col("value")).alias("value"))
+    back = back.unionByName(size.select("chunk", "key", F.col("n").cast("double").alias("value")))
 
     def score(own: pa.Table, known: pa.Table) -> pa.Table:
-        texts, keys, value = raw(own["text"]), known["key"].to_numpy(), known["value"].to_numpy()
-        word = dict(zip(keys[keys < 0].tolist(), value[keys < 0].tolist(), strict=True))
-        table, lengths = HashTable(keys[keys >= 0].astype(np.uint64)), value[keys >= 0]
+        texts, value = raw(own["text"]), known["value"].to_numpy()
+        table = HashTable(known["key"].to_numpy().view(np.uint64))
+        tokens_seen, vocabulary = value[table.find(np.array([TOKENS, VOCABULARY], np.int64).view(np.uint64))]
+        rest = float(np.log10(tokens_seen + 0.1 * (vocabulary + 1)))
+        words = {END}
+        for t in texts:
+            words.update(t.lower().split())
+        asked = np.fromiter(map(word_key, words), np.int64, len(words)).view(np.uint64)
+        logs = dict(zip(words, np.log10(value[table.find(asked)] + 0.1).tolist(), strict=True))
+        del words, asked
         total = np.zeros(len(texts))
         for code, first, starts in _strings(texts, order):
-            got = np.concatenate([lengths[table.find(code)], [0.0]])
+            got = np.concatenate([value[table.find(code)], [0.0]])
             part = np.where(np.diff(np.r_[starts, len(code)]) > 0, np.add.reduceat(got, starts), 0) if len(starts) else []
             total[first : first + len(part)] += part
-        tokens_seen, vocabulary = word[TOKENS], word[VOCABULARY]
-        rest = float(np.log10(tokens_seen + 0.1 * (vocabulary + 1)))
-        logs = Logs(word)
         tokens, found, base = [], [], []
         for t in texts:
             own_words = [*t.lower().split(), END]
