@@ -1,13 +1,15 @@
 """The queries of this package and their SQL, by name."""
 
-from . import line_dedup, packing, ppm, shards, url_rules
+from . import decontaminate, language, line_dedup, packing, ppm, shards, url_rules
 
 QUERIES = {
     "op1_ppm_score": ppm.op1_ppm_score,
     "op2_url_rules": url_rules.op2_url_rules,
     "op3_mph_shards": shards.op3_mph_shards,
+    "op5_zstd_language": language.op5_zstd_language,
     "op6_sum_of_squares": packing.op6_sum_of_squares,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_spaced_seeds": decontaminate.op10_spaced_seeds,
 }
 ORACLE_SQL = {
     "op2_url_rules": url_rules.OP2_SQL,
