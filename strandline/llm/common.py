@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -77,12 +79,19 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
+def trim() -> None:
+    """Gives memory that a chunk's work has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class HashTable:
     """Open addressing over distinct unsigned 64-bit keys; find() gives each query's index among them, or -1."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.bits = max(4, math.ceil(math.log2(4 * len(keys) + 4)))
+        self.bits = max(4, math.ceil(math.log2(3 * len(keys) + 4)))
         self.slots = np.full(1 << self.bits, -1, np.int32)
         left, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
         while len(left):

@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, chunk_count, chunked, raw, summed
+from .common import HashTable, chunk_count, chunked, raw, summed, trim
 
 #: Bytes of a context; a string of order + 1 bytes must stay below 2^55.
 ORDER = 5
 #: Bytes of text in a chunk.
-CHUNK = 20 << 20
+CHUNK = 16 << 20
 #: Positions handled at once.
 WINDOW = 1 << 20
 END = b"\n"  # no word holds white space, so this names the end token
@@ -76,7 +76,7 @@ def _count(train: list[bool], texts: list[bytes], order: int) -> tuple[np.ndarra
         found: list[tuple] = []
         for code, _, _ in _strings(own, order):
             found.append(np.unique(code, return_counts=True))
-            if sum(len(k) for k, _ in found) > 1 << 20:
+            if sum(len(k) for k, _ in found) > 1 << 19:
                 found = [summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))]
         for k, c in found:
             keys.append(k.astype(np.int64))
@@ -137,8 +137,10 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def count(table: pa.Table) -> pa.Table:
+        number = table["chunk"][0].as_py()
         keys, n = _count(table["train"].to_pylist(), raw(table["text"]), order)
-        return pa.table({"chunk": pa.array(np.full(len(keys), table["chunk"][0].as_py(), np.int32)), "key": keys, "n": n})
+        trim()
+        return pa.table({"chunk": pa.array(np.full(len(keys), number, np.int32)), "key": keys, "n": n})
 
     # Dealt by key once: the sums and the way back to the chunks read this one exchange, so each use takes all its
     # columns and filters on aggregates, which aren't pushed below it; with fewer partitions than the session's the join
@@ -178,17 +180,17 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         table = HashTable(known["key"].to_numpy().view(np.uint64))
         tokens_seen, vocabulary = value[table.find(np.array([TOKENS, VOCABULARY], np.int64).view(np.uint64))]
         rest = float(np.log10(tokens_seen + 0.1 * (vocabulary + 1)))
+        total = np.zeros(len(texts))
+        for code, first, starts in _strings(texts, order):
+            got = np.concatenate([value[table.find(code)], [0.0]])
+            part = np.where(np.diff(np.r_[starts, len(code)]) > 0, np.add.reduceat(got, starts), 0) if len(starts) else []
+            total[first : first + len(part)] += part
         words = {END}
         for t in texts:
             words.update(t.lower().split())
         asked = np.fromiter(map(word_key, words), np.int64, len(words)).view(np.uint64)
         logs = dict(zip(words, np.log10(value[table.find(asked)] + 0.1).tolist(), strict=True))
         del words, asked
-        total = np.zeros(len(texts))
-        for code, first, starts in _strings(texts, order):
-            got = np.concatenate([value[table.find(code)], [0.0]])
-            part = np.where(np.diff(np.r_[starts, len(code)]) > 0, np.add.reduceat(got, starts), 0) if len(starts) else []
-            total[first : first + len(part)] += part
         tokens, found, base = [], [], []
         for t in texts:
             own_words = [*t.lower().split(), END]
@@ -196,8 +198,10 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
             tokens.append(len(got))
             found.append(int((got > 0).sum()))
             base.append(float(got.sum()) - len(got) * rest)
+        del logs, table, texts
+        trim()
         longs = lambda x: pa.array(x, pa.int64())
-        return pa.table({"doc_id": own["doc_id"], "train": own["train"], "n_tokens": longs(tokens), "n_known": longs(found), "train_tokens": longs([int(tokens_seen)] * len(texts)), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
+        return pa.table({"doc_id": own["doc_id"], "train": own["train"], "n_tokens": longs(tokens), "n_known": longs(found), "train_tokens": longs([int(tokens_seen)] * len(tokens)), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
 
     schema = f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, schema)
