@@ -2,8 +2,8 @@
 
 Equal strings share their smallest q-gram hash, so runs of positions with one such hash are dealt by
 it and each string's copies meet in one task, though a position costs a fraction of a row. First the
-hashes alone travel, to find those of more than one document; then the bytes of their runs do. There
-the suffixes are put into q-gram buckets, and buckets are refined by sorting on the bucket
+hashes alone travel, to find those of more than one document; then the bytes of their runs do, each
+distinct one once from a chunk, however many of its documents hold it. There the suffixes are put into q-gram buckets, and buckets are refined by sorting on the bucket
 identifiers of later offsets (8, 16, 32 and all bytes), each refinement reused by the next.
 """
 
@@ -14,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashTable, chunk_count, raw
+from .common import HashTable, chunk_count, raw, trim
 
 #: Bytes of a string that counts, and of the q-grams whose smallest hash deals the runs.
 SIZE, Q = 50, 20
 #: Bytes of text in a chunk, and positions hashed at once.
-CHUNK, BLOCK = 20 << 20, 1 << 16
+CHUNK, BLOCK = 16 << 20, 1 << 16
+#: Buckets of strings for each chunk: what one task refines is a part of a chunk's size.
+FINE = 8
+CELL = [("first", "<i8"), ("last", "<i8"), ("index", "<i4"), ("number", "<i4")]
+STRETCH = [("best", "<i8"), ("index", "<i4"), ("start", "<i4"), ("number", "<i4")]
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -117,6 +121,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if size < 33:
         raise ValueError("size must be 33 at least")
     chunks = chunk_count(docs, text_col, chunk_bytes)
+    buckets = FINE * chunks
     doc, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int").alias("chunk")
     texts = docs.select(chunk(doc), doc.alias("doc_id"), text.alias("text"))
@@ -156,6 +161,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out["bucket"].append(int(bucket[a]))
                 out["chunk"].append(number)
                 out["data"].append(mark[a:b].tobytes())
+        trim()
         return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int32()), "data": pa.array(out["data"], pa.binary())})
 
     def shared(table: pa.Table) -> pa.Table:
@@ -169,8 +175,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         some = [i for i, k in enumerate(kept) if len(k)]
         return pa.table({"chunk": table["chunk"].take(pa.array(some, pa.int64())), "data": pa.array([kept[i].tobytes() for i in some], pa.binary())})
 
-    def send(table: pa.Table, side: pa.Table) -> pa.Table:
-        """The bytes of runs with shared hashes, by bucket."""
+    def found(table: pa.Table, side: pa.Table):
+        """Runs with shared hashes, and the distinct byte strings among them with their buckets, in an order fixed by the chunk."""
         ids, bodies, flat, at = own(table, side)
         begin = begins(bodies, at)
         known = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in side["data"].to_pylist() if x is not None]])
@@ -178,74 +184,100 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mark = mark & ~np.uint64(1)
         keep = HashTable(known).find(mark) >= 0
         start, number, mark = start[keep], number[keep], mark[keep]
-        order = np.lexsort((mark, mark % np.uint64(chunks)))
-        start, number, bucket = start[order], number[order], (mark[order] % np.uint64(chunks)).astype(np.int64)
-        cell = np.zeros(len(start), [("doc", "<i8"), ("start", "<i4"), ("number", "<i4")])
+        data, seen, which = flat.tobytes(), {}, np.empty(len(start), np.int64)
+        for i, (a, b) in enumerate(zip(start.tolist(), (start + number + size - 1).tolist(), strict=True)):
+            which[i] = seen.setdefault(data[a:b], len(seen))
+        del data
+        bucket = np.zeros(len(seen), np.int64)
+        bucket[which] = mark % np.uint64(buckets)
         doc = np.searchsorted(begin, start, "right") - 1
-        cell["doc"] = np.array([ids[i] for i in at], np.int64)[doc] if at else 0
-        cell["start"], cell["number"] = start - begin[doc], number
-        data, end = flat.tobytes(), start + number + size - 1
-        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
-        rows = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-        chunk_no = table["chunk"][0].as_py() if table.num_rows else 0
-        return pa.table({
-            "bucket": pa.array([int(bucket[a]) for a, _ in rows], pa.int32()), "chunk": pa.array([chunk_no] * len(rows), pa.int32()), "cells": pa.array([cell[a:b].tobytes() for a, b in rows], pa.binary()),
-            "body": pa.array([b"".join([data[s:e] for s, e in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]) for a, b in rows], pa.binary()),
+        names = np.array([ids[i] for i in at], np.int64)[doc] if at else np.zeros(0, np.int64)
+        return ids, bodies, names, start - begin[doc], number, which, list(seen), bucket
+
+    def send(table: pa.Table, side: pa.Table) -> pa.Table:
+        """A chunk's distinct strings by bucket, with the first and the last of its documents that hold them."""
+        _, _, names, _, _, which, bodies, bucket = found(table, side)
+        cell = np.zeros(len(bodies), CELL)
+        cell["index"], cell["number"] = np.arange(len(bodies)), np.fromiter(map(len, bodies), np.int64, len(bodies)) - (size - 1)
+        cell["first"] = np.iinfo(np.int64).max
+        cell["last"] = np.iinfo(np.int64).min
+        np.minimum.at(cell["first"], which, names)
+        np.maximum.at(cell["last"], which, names)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True]) if len(order) else np.zeros(1, np.int64)
+        rows = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        number = table["chunk"][0].as_py() if table.num_rows else 0
+        out = pa.table({
+            "bucket": pa.array([int(bucket[r[0]]) for r in rows], pa.int32()), "chunk": pa.array([number] * len(rows), pa.int32()),
+            "cells": pa.array([cell[r].tobytes() for r in rows], pa.binary()), "body": pa.array([b"".join([bodies[i] for i in r]) for r in rows], pa.binary()),
         })
+        del bodies
+        trim()
+        return out
 
     def judge(table: pa.Table) -> pa.Table:
-        """Runs of strings that an earlier document holds, back to the chunks of their documents."""
-        kind = [("doc", "<i8"), ("start", "<i4"), ("number", "<i4")]
-        cells = [np.frombuffer(x, kind) for x in table["cells"].to_pylist()]
-        cell = np.concatenate(cells)
+        """Back to each chunk: stretches of its strings that a document before its last one holds, and the earliest such."""
+        cells = [np.frombuffer(x, CELL) for x in table["cells"].to_pylist()]
         seen: dict[bytes, int] = {}
-        which = np.empty(len(cell), np.int64)
-        i = 0
+        which = []
         for body, own_cells in zip(table["body"].to_pylist(), cells, strict=True):
-            end = np.cumsum(own_cells["number"] + (size - 1)).tolist()
-            low = 0
-            for high in end:
-                which[i] = seen.setdefault(body[low:high], len(seen))
-                i, low = i + 1, high
+            low, part = 0, []
+            for high in np.cumsum(own_cells["number"] + (size - 1)).tolist():
+                part.append(seen.setdefault(body[low:high], len(seen)))
+                low = high
+            which.append(np.array(part, np.int64))
         # Runs that are equal as a whole are looked at once, for their earliest document.
         earliest = np.full(len(seen), np.iinfo(np.int64).max)
-        np.minimum.at(earliest, which, cell["doc"])
+        for w, own_cells in zip(which, cells, strict=True):
+            np.minimum.at(earliest, w, own_cells["first"])
         length = np.fromiter(map(len, seen), np.int64, len(seen))
-        number = length - (size - 1)
-        body = b"".join(seen)
+        number, body = length - (size - 1), b"".join(seen)
         del seen
-        places, group = refine(body, np.cumsum(length) - length, number, size)
+        _, group = refine(body, np.cumsum(length) - length, number, size)
+        _, group = np.unique(group, return_inverse=True)
         best = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(best, group, np.repeat(earliest, number))
         best = best[group]
-        offset = np.cumsum(number) - number
+        begin = np.cumsum(number) - number
+        # Stretches of equal answers, of each distinct string.
+        new = np.r_[True, best[1:] != best[:-1]]
+        new[begin] = True
+        edge = np.flatnonzero(new)
+        stretch_of = np.searchsorted(begin, edge, "right") - 1
+        stretch = np.zeros(len(edge), STRETCH)
+        stretch["start"], stretch["number"], stretch["best"] = edge - begin[stretch_of], np.diff(np.append(edge, len(best))), best[edge]
+        per = np.bincount(stretch_of, minlength=len(number))
+        at = np.cumsum(per) - per
         out_chunk, out = [], []
-        at = 0
-        for chunk_no, own_cells in zip(table["chunk"].to_pylist(), cells, strict=True):
-            w = which[at : at + len(own_cells)]
-            at += len(own_cells)
-            n = number[w]
-            rank = np.repeat(np.cumsum(n) - n, n)
-            step = np.arange(int(n.sum())) - rank
-            gone = best[np.repeat(offset[w], n) + step] < np.repeat(own_cells["doc"], n)
-            edge = np.flatnonzero(np.r_[True, (gone[1:] != gone[:-1]) | (step[1:] == 0), True])
-            a, b = edge[:-1], edge[1:]
-            a, b = a[gone[a]], b[gone[a]]
-            if len(a):
-                row = np.searchsorted(np.cumsum(n), a, "right")
-                cut = np.zeros(len(a), kind)
-                cut["doc"], cut["start"], cut["number"] = own_cells["doc"][row], own_cells["start"][row] + step[a], b - a
+        for chunk_no, w, own_cells in zip(table["chunk"].to_pylist(), which, cells, strict=True):
+            n = per[w]
+            row = np.repeat(np.arange(len(w)), n)
+            got = stretch[np.repeat(at[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            got["index"] = own_cells["index"][row]
+            got = got[got["best"] < own_cells["last"][row]]
+            if len(got):
                 out_chunk.append(chunk_no)
-                out.append(cut.tobytes())
-        return pa.table({"chunk": pa.array(out_chunk, pa.int32()), "data": pa.array(out, pa.binary())})
+                out.append(got.tobytes())
+        trim()
+        return pa.table({"chunk": pa.array(out_chunk, pa.int32()), "gone": pa.array(out, pa.binary())})
 
     def cut(table: pa.Table, side: pa.Table) -> pa.Table:
-        ids, bodies, _, _ = own(table, side)
+        ids, bodies, names, start, _, which, strings, _ = found(table, side)
+        strings = len(strings)
         known = {i for x in side["firsts"].to_pylist() if x is not None for i in x}
-        cells = np.concatenate([np.zeros(0, [("doc", "<i8"), ("start", "<i4"), ("number", "<i4")]), *[np.frombuffer(x, [("doc", "<i8"), ("start", "<i4"), ("number", "<i4")]) for x in side["data"].to_pylist() if x is not None]])
-        cells = cells[np.lexsort((cells["start"], cells["doc"]))]
-        names, first = np.unique(cells["doc"], return_index=True)
-        ends = dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(cells)], strict=True), strict=True))
+        got = np.concatenate([np.zeros(0, STRETCH), *[np.frombuffer(x, STRETCH) for x in side["gone"].to_pylist() if x is not None]])
+        got = got[np.argsort(got["index"], kind="stable")]
+        per = np.bincount(got["index"], minlength=strings)
+        at, n = np.cumsum(per) - per, per[which]
+        row = np.repeat(np.arange(len(which)), n)
+        part = got[np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        keep = part["best"] < names[row]
+        row, part = row[keep], part[keep]
+        name, low, high = names[row], start[row] + part["start"], start[row] + part["start"] + part["number"] + size - 1
+        order = np.lexsort((low, name))
+        name, low, high = name[order], low[order], high[order]
+        own_names, first = np.unique(name, return_index=True)
+        ends = dict(zip(own_names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(name)], strict=True), strict=True))
         spans, kept = [], []
         for i, body in zip(ids, bodies, strict=True):
             own_spans: list[dict] = []
@@ -253,23 +285,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 own_spans = [{"start": 0, "end": len(body)}] if len(body) >= size else []
             elif i in ends:
                 a, b = ends[i]
-                start = cells["start"][a:b].astype(np.int64)
-                end = np.maximum.accumulate(start + cells["number"][a:b] + size - 1)
-                new = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
-                own_spans = [{"start": s, "end": e} for s, e in zip(start[new].tolist(), end[np.r_[new[1:] - 1, len(end) - 1]].tolist(), strict=True)]
+                end = np.maximum.accumulate(high[a:b])
+                new = np.flatnonzero(np.r_[True, low[a + 1 : b] > end[:-1]])
+                own_spans = [{"start": s, "end": e} for s, e in zip(low[a:b][new].tolist(), end[np.r_[new[1:] - 1, b - a - 1]].tolist(), strict=True)]
             spans.append(own_spans)
             edges = [0, *[x for s in own_spans for x in (s["start"], s["end"])], len(body)]
             kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": table["doc_id"], "n_bytes": pa.array(list(map(len, bodies)), pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
+        out = pa.table({"doc_id": table["doc_id"], "n_bytes": pa.array(list(map(len, bodies)), pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
+        del bodies, kept, spans
+        trim()
+        return out
 
     # The exchange of the texts by chunk is one, which all three passes read.
-    by_chunk, none = texts.groupBy("chunk"), F.lit(None).cast("array<bigint>").alias("firsts")
+    by_chunk, no_ids, no_data = texts.groupBy("chunk"), F.lit(None).cast("array<bigint>").alias("firsts"), F.lit(None).cast("binary")
     keys = by_chunk.cogroup(firsts.groupBy("chunk")).applyInArrow(marks, "bucket int, chunk int, data binary")
-    wanted = keys.groupBy("bucket").applyInArrow(shared, "chunk int, data binary").select("chunk", none, "data")
-    sent = by_chunk.cogroup(firsts.unionByName(wanted).groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, cells binary, body binary")
-    gone = sent.groupBy("bucket").applyInArrow(judge, "chunk int, data binary").select("chunk", none, "data")
-    return by_chunk.cogroup(firsts.unionByName(gone).groupBy("chunk")).applyInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    wanted = firsts.unionByName(keys.groupBy("bucket").applyInArrow(shared, "chunk int, data binary").select("chunk", no_ids, "data"))
+    sent = by_chunk.cogroup(wanted.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, cells binary, body binary")
+    gone = sent.groupBy("bucket").applyInArrow(judge, "chunk int, gone binary").select("chunk", no_ids, no_data.alias("data"), "gone")
+    side = wanted.withColumn("gone", no_data).unionByName(gone)
+    return by_chunk.cogroup(side.groupBy("chunk")).applyInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def op8_bucket_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
