@@ -1,6 +1,6 @@
 """The queries of this package and their SQL, by name."""
 
-from . import decontaminate, language, line_dedup, packing, ppm, repeats, shards, url_rules
+from . import decontaminate, language, line_dedup, near_dup, packing, ppm, repeats, shards, url_rules
 
 QUERIES = {
     "op1_ppm_score": ppm.op1_ppm_score,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_mph_shards": shards.op3_mph_shards,
     "op5_zstd_language": language.op5_zstd_language,
     "op6_sum_of_squares": packing.op6_sum_of_squares,
+    "op7_tensor_minhash": near_dup.op7_tensor_minhash,
     "op8_bucket_pointer": repeats.op8_bucket_pointer,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_spaced_seeds": decontaminate.op10_spaced_seeds,
