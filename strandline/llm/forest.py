@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Trees, bits of a string, and the share of a block's vectors after which the way up ends.
-TREES, BITS, SHARE = 96, 24, 0.4
+TREES, BITS, SHARE = 96, 24, 0.5
 #: Vectors of a block, queries at once, and a floor for the candidates.
-BLOCK, QUERIES, FLOOR = 16_384, 512, 200
+BLOCK, QUERIES, FLOOR = 16_384, 512, 300
 
 
 class Forest:
