@@ -52,9 +52,9 @@ def index_percentile(df: DataFrame, keys: Sequence[str], value: str, at: float,
 
 def smallest_mode(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, value, n): the most frequent value, the smallest of several."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    best = counts.groupBy(*keys).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col(value))).alias("r"))
-    return best.select(*keys, "r.*")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    best = counts.groupBy(*keys).agg(F.min_by(F.struct(value, "_c"), F.struct(-F.col("_c"), F.col(value))).alias("r"))
+    return best.select(*keys, F.col(f"r.{value}").alias(value), F.col("r._c").alias("n" if value != "n" else "count"))
 
 
 def histogram(df: DataFrame, value: str, order: str) -> DataFrame:
