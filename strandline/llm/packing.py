@@ -17,11 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .tokens import encoder, groups
 
 WINDOW, END, VOCABULARY = 1024, 0, "byte_bpe_50k.json"
-#: Documents encoded at once.
-ROWS = 128
 
 
 class Packer:
@@ -90,8 +88,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other columns are ignored. Sequence ids are unique, not consecutive: the task's number is in the
     upper bits. No task needs another's rows, so a lost executor repeats its own tasks alone.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer, tail = encoder(vocabulary, path), Packer(window), np.asarray([end], "<u4").tobytes()
@@ -113,8 +111,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for at, rows in groups(batch["text"]):
+                part = batch.slice(at, rows)
                 for doc, ids in zip(part["doc_id"].to_pylist(), encode.many(part["text"].to_pylist()), strict=True):
                     packer.add(doc, ids + tail)
                 if len(packer.closed) >= 1024:
@@ -123,7 +121,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         packer.finish()
         yield from out(packer.closed)
 
-    return rows.mapInArrow(pack, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return texts.mapInArrow(pack, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op6_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,13 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunk_count, mix64, shared_dir, written
-from .tokens import encoder
+from .tokens import encoder, groups
 
 END, VOCABULARY = 1, "word_bpe_49k.json"
 #: Bytes of text of a shard, keys of an index bucket, and bits a key has at each level of the cascade.
 SHARD, BUCKET, GAMMA = 24 << 20, 1 << 18, 2
-#: Documents encoded at once.
-ROWS = 128
 MAGIC = b"SLIDS1\0\0"
 
 
@@ -124,8 +122,8 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
             starts, record = [0], 0
             for batch in batches:
                 n = np.zeros(batch.num_rows, np.int64)
-                for i in range(0, len(n), ROWS):
-                    payload = [x + tail for x in encode.many(batch["text"].slice(i, ROWS).to_pylist())]
+                for i, size in groups(batch["text"]):
+                    payload = [x + tail for x in encode.many(batch["text"].slice(i, size).to_pylist())]
                     n[i : i + len(payload)] = [len(x) // 4 for x in payload]
                     f.write(np.frombuffer(b"".join(payload), "<u4").astype(f"<u{width}").tobytes())
                 at = starts[-1] + np.cumsum(n) - n

@@ -10,14 +10,22 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Remembered words at most, and characters of the longest remembered.
-WORDS, LONGEST = 600_000, 64
+WORDS, LONGEST = 1_000_000, 64
+#: Bytes of text encoded at once.
+GROUP = 6 << 20
 
 _loaded: dict[str, Encoder] = {}
 _double = re.compile(r"\s\s")
 _single = re.compile(r"(?<=\S) (?=\S)")
+_unsafe = re.compile(r"\s\n|\n[^\S ]|\n \s|\n\n")
 _simple = re.compile(r" ?\S+")
+_stop = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
+_to_space = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+_stop_bytes = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
 def vocabulary_path(name: str) -> str:
@@ -39,7 +47,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words = spaced_words if spaced else (lambda text: text.encode().split())
+        self.mark_up, self.split_at = (spaced_words, "\x1f") if spaced else (bare_words, " ")
         self.between = "\n" if spaced else " \x01 "
         self.known: dict[str | bytes, bytes] = {}
         self.mark = self._alone(self.between)
@@ -48,51 +56,72 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: set) -> dict:
-        texts = {w: w.decode() if isinstance(w, bytes) else w for w in words}
-        easy = [w for w, t in texts.items() if _simple.fullmatch(t) and "\x01" not in t] if len(self.mark) == 1 else []
-        out = {}
-        if easy:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([self.between.join(texts[w] for w in easy)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) == len(easy) - 1:
-                begin, end = np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist()
-                data = ids.tobytes()
-                out = {w: data[4 * a : 4 * b] for w, a, b in zip(easy, begin, end, strict=True)}
-        for w in words - out.keys():
-            out[w] = self._alone(texts[w]).tobytes()
+        own = list(words)
+        texts = [w.decode() for w in own] if own and isinstance(own[0], bytes) else own
+        joined = self.between.join(texts)
+        # The separator stands alone only beside words that neither hold it nor begin or end with other white space.
+        if joined.count(self.between.strip(" ")) != len(own) - 1 or _unsafe.search(f"\n{joined}\n") or len(self.mark) != 1:
+            if len(own) == 1:
+                out = {own[0]: self._alone(texts[0]).tobytes()}
+            else:
+                safe = {w for w, t in zip(own, texts, strict=True) if _simple.fullmatch(t) and "\x01" not in t}
+                out = self._learn(safe) if safe and safe != words else {}
+                for w, t in zip(own, texts, strict=True):
+                    if w not in out:
+                        out[w] = self._alone(t).tobytes()
+        else:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark[0]) * 4
+            if len(cuts) != len(own) - 1:
+                raise ValueError("the separator's id is not its own")
+            data = ids.tobytes()
+            out = dict(zip(own, [data[i:j] for i, j in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)], strict=True)], strict=True))
         if len(self.known) + len(out) > WORDS:
             self.known.clear()
-        self.known.update((w, x) for w, x in out.items() if len(w) <= LONGEST)
+        self.known.update(out if max(map(len, own)) <= LONGEST else {w: x for w, x in out.items() if len(w) <= LONGEST})
         return out
 
     def many(self, texts: list[str]) -> list[bytes]:
-        lists = [self.words(t) for t in texts]
-        got = [list(map(self.known.get, x)) for x in lists]
-        short = [i for i, x in enumerate(got) if None in x]
-        if short:
-            new = self._learn({w for i in short for w, x in zip(lists[i], got[i], strict=True) if x is None})
-            for i in short:
-                got[i] = [new[w] if x is None else x for w, x in zip(lists[i], got[i], strict=True)]
-        return [b"".join(x) for x in got]
+        """Each text's ids. All words of the group are told apart at once, so a word is looked up once."""
+        odd = [i for i, t in enumerate(texts) if "\x1f" in t] if self.split_at == "\x1f" else []
+        if odd:  # the mark between pieces is the text's own
+            rest = iter(self.many([t for t in texts if "\x1f" not in t]))
+            return [self._alone(t).tobytes() if "\x1f" in t else next(rest) for t in texts]
+        marked = pa.array([self.mark_up(t) for t in texts], pa.binary() if self.mark_up is bare_words else pa.string())
+        lists = pc.split_pattern(marked, self.split_at)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        ids = list(map(self.known.get, words))
+        new = self._learn({w for w, x in zip(words, ids, strict=True) if x is None}) if None in ids else {}
+        payload = pa.array([new[w] if x is None else x for w, x in zip(words, ids, strict=True)], pa.binary()).take(coded.indices)
+        _, offsets, data = payload.buffers()
+        ends = np.frombuffer(offsets, np.int32)[np.asarray(lists.offsets)].tolist() if len(payload) else [0] * (len(texts) + 1)
+        whole = data.to_pybytes() if data else b""
+        return [whole[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+
+def spaced_words(text: str) -> str:
+    """Pieces for the byte-level pre-tokenizer, which gives a word the one space before it, with 0x1F between.
+
+    A space between two other characters always starts a piece, a line feed between two is one, and
+    so is a full stop or comma between a letter and white space.
+    """
+    if _double.search(text):
+        return _single.sub("\x1f ", text)
+    return _stop.sub("\x1f\\1", text).replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f")
 
 
-def spaced_words(text: str) -> list[str]:
-    """Pieces for the byte-level pre-tokenizer, which gives a word the one space before it.
+def bare_words(text: str) -> bytes:
+    """Pieces for the pre-tokenizer that drops white space and lower-cases, with spaces between: ASCII white space leaves no doubt."""
+    return _stop_bytes.sub(b" \\1", text.encode().lower().translate(_to_space))
 
-    A space between two other characters always starts a piece, and a line feed between two is one.
-    """
-    if _double.search(text):
-        first, *rest = _single.split(text)
-        return [first, *[" " + x for x in rest]]
-    out = []
-    for i, line in enumerate(text.split("\n")):
-        if i:
-            out.append("\n")
-        first, *rest = line.split(" ")
-        if first:
-            out.append(first)
-        out.extend([" " + x for x in rest])
-    return out
+
+def groups(column: pa.Array, budget: int = GROUP) -> list[tuple[int, int]]:
+    """(first row, rows) of groups of about ``budget`` bytes, one row at least."""
+    sizes = np.asarray(pc.binary_length(column).fill_null(0))
+    part = np.cumsum(sizes) // budget
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
+    return list(zip(first.tolist(), np.diff(np.append(first, len(part))).tolist(), strict=True))
 
 
 def encoder(name: str, path: str | None = None) -> Encoder:
