@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -56,13 +56,17 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.where(train & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     named = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    # Each task keeps its lowest hashes of a language, a bounded number; these are merged.
-    place = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
-    best = named.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(place))).where(F.col("rank") <= sample)
-    chosen = best.select("lang", "id").collect()
-    order = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
-    if not chosen:
+    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    order = sorted(counts, key=lambda x: (-counts[x], x))
+    if not order:
         return Model(())
+    # Below a threshold that counts set, some four samples' worth of hashes lie, so no task gathers a language.
+    below = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 32, (4 * sample << 32) // n))])
+    hashed = named.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 32)))
+    found = hashed.where(F.col("h") < F.try_element_at(below, F.col("lang"))).distinct().collect()
+    chosen: list = []
+    for lang in order:
+        chosen += sorted((r for r in found if r["lang"] == lang), key=lambda r: (r["h"], r["id"]))[:sample]
     ids = sorted({r["id"] for r in chosen})
     cut = F.substring(F.col(text_col), 1, snippet)
     texts = rows.where(F.col(id_col).isin(ids)).groupBy(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).agg(F.min(cut).alias("text")).collect()
@@ -78,8 +82,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", margin: float
     """All columns of ``docs`` with lang_pred, score and accepted appended.
 
     score is the share of the second smallest size that the smallest saves, 0 to 1; accepted says
-    that it reaches ``margin``, or that the text is too short for one. A null text, one without a letter, or an empty model gives ``und``, 0
-    and false. With one language, score is 1. Equal sizes go to the language of more training
+    that it reaches ``margin``, or that the text is too short for one. A null text, one without a
+    letter, or an empty model gives ``und``, 0 and false. With one language, score is 1. Equal sizes go to the language of more training
     documents. Repeated rows are alike; columns of docs that are named as the new ones are replaced.
     """
     new = ("lang_pred", "score", "accepted")

@@ -32,7 +32,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     part = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_row"), lower_ascii(text).alias("_low")).where(F.col(id_col).isNotNull())
     lines = part.select("_id", "_row", F.posexplode(F.split("_low", "\n", -1)).alias("_pos", "_line")).select("_id", "_row", "_pos", line_key(F.col("_line")).alias("_key")).where(F.char_length("_key") >= min_chars)
-    lines = lines.select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64("_key", F.lit(1)).alias("_h2"))
+    lines = lines.select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
     # With two documents, a smallest id below the largest says all; more need the distinct pairs.
     if min_docs <= 2:
         keys = lines.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
@@ -43,14 +43,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Equal rows bring equal positions; a set of positions serves them all.
     drops = drops.groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_drops"))
 
-    own = docs.select("*", F.xxhash64(text).alias("_row"))
-    both = own.join(drops, (own[id_col] == drops["_id"]) & (own["_row"] == drops["_row"]), "left")
-    parts = F.split(docs[text_col], "\n", -1)
-    count, gone = F.coalesce(F.size(parts), F.lit(1)), F.coalesce(F.size("_drops"), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drops"))
-    kept = F.when(F.col("_drops").isNull(), docs[text_col]).otherwise(F.concat_ws("\n", F.transform(stay, lambda i: F.get(parts, i))))
-    new = {"n_lines": F.when(docs[text_col].isNull(), 1).otherwise(count).cast("long"), "n_dropped": F.when(F.col("_drops").isNull(), 0).otherwise(gone).cast("long")}
-    return both.select(*[kept.alias(c) if c == text_col else own[c] for c in docs.columns if c not in new], *[c.alias(n) for n, c in new.items()])
+    # The rows travel as one column each, so no name of theirs meets those used here.
+    own = docs.select(F.struct(*docs.columns).alias("_own"), F.col(id_col).alias("_doc"), F.xxhash64(text).alias("_text"))
+    both = own.join(drops, (own["_doc"] == drops["_id"]) & (own["_text"] == drops["_row"]), "left")
+    gone, shown = drops["_drops"], own["_own"][text_col]
+    parts = F.split(shown, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    kept = F.when(gone.isNull(), shown).otherwise(F.concat_ws("\n", F.transform(stay, lambda i: F.get(parts, i))))
+    new = {"n_lines": F.when(shown.isNull(), 1).otherwise(F.size(parts)).cast("long"), "n_dropped": F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long")}
+    return both.select(*[(kept if c == text_col else own["_own"][c]).alias(c) for c in docs.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     doc, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int").alias("chunk")
     texts = docs.select(chunk(doc), doc.alias("doc_id"), text.alias("text"))
-    whole = docs.where(doc.isNotNull()).groupBy(F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), F.octet_length(text).alias("n")).agg(F.min(doc).alias("doc_id"))
+    whole = docs.where(doc.isNotNull()).groupBy(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.octet_length(text).alias("n")).agg(F.min(doc).alias("doc_id"))
     # Those first of their text, by chunk: bounded as the chunks are.
     firsts = whole.select(chunk(F.col("doc_id")), "doc_id").groupBy("chunk").agg(F.collect_list("doc_id").alias("firsts")).select("chunk", "firsts", F.lit(None).cast("binary").alias("data"))
 

@@ -87,7 +87,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url",
     best = found.groupBy("_url").agg(F.max(F.struct("_weight", "_name", "_verdict", "_listed")).alias("_best"))
     joined = pages.join(best, pages[url_col] == best["_url"], "left")
     host, path = host_and_path(pages[url_col])
-    new = {"host": host, "path": path, "rule": F.when(F.col("_best._listed"), F.col("_best._name")), "verdict": F.coalesce("_best._verdict", F.lit(default))}
+    told = best["_best"]
+    new = {"host": host, "path": path, "rule": F.when(told["_listed"], told["_name"]), "verdict": F.coalesce(told["_verdict"], F.lit(default))}
     return joined.select(*[pages[c] for c in pages.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 

@@ -1,16 +1,9 @@
-import random
-
 import pytest
+from invented_prose import prose
 
-WORDS = "the of and river stone winter garden letter silent morning paper window yellow market bridge captain island copper thunder velvet".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def prose(seed, n):
-    r = random.Random(seed)
-    return " ".join(r.choice(WORDS) + r.choice(["", "", "", "s", "ed", ",", "."]) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def docs(spark):
     """Rows as DataFrames with columns that clash with names the operators use inside."""

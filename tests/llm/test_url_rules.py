@@ -23,7 +23,7 @@ def test_against_sql(spark):
 def test_edges(spark):
     empty = spark.createDataFrame([], "page_id long, url string, host string, rule int, _token string")
     assert judge_urls(empty, SITES).count() == 0
-    one = spark.createDataFrame([(1, "http://a.example.net/en/x", "kept", 5, "clash"), (1, None, None, None, None)], "page_id long, url string, other string, rule int, _token string")
+    one = spark.createDataFrame([(1, "http://a.example.net/en/x", "kept", 5, "clash", "clash", "clash"), (1, None, None, None, None, None, None)], "page_id long, url string, other string, rule int, _token string, _best string, _url string")
     got = {r["url"]: r for r in judge_urls(one, SITES).collect()}
     assert (got["http://a.example.net/en/x"]["rule"], got["http://a.example.net/en/x"]["other"], got["http://a.example.net/en/x"]["_token"]) == ("example.net/en/", "kept", "clash")
     assert (got[None]["host"], got[None]["path"], got[None]["rule"], got[None]["verdict"]) == ("", "", None, "allow")
