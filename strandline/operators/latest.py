@@ -54,9 +54,12 @@ def latest_tag(runs: DataFrame, skip: str = "interactive") -> DataFrame:
 
 def last_run_per_crop(df: DataFrame, run_keys: Sequence[str], crop: str, order: str, version: str) -> DataFrame:
     """The last candidate of each run and crop; a run's model version is that of its first row."""
-    first = df.groupBy(*run_keys).agg(F.min_by(version, order).alias("_version"))
+    first = df.groupBy(*run_keys).agg(F.min_by(version, order).alias(version)).withColumnsRenamed({k: f"_{k}" for k in run_keys})
     last = last_per_key(df.drop(version), [*run_keys, crop], order)
-    return last.join(first, list(run_keys)).withColumnRenamed("_version", version)
+    same = F.lit(True)
+    for k in run_keys:  # a run without a tag is a run
+        same = same & last[k].eqNullSafe(first[f"_{k}"])
+    return last.join(first, same).drop(*[f"_{k}" for k in run_keys])
 
 
 def largest_group(df: DataFrame, key: str) -> DataFrame:
