@@ -168,7 +168,8 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         tables = {order: summed(keys[n > 0], n[n > 0]), 1: one, 0: _lower(*one, 0)}
         for k in range(order - 1, 1, -1):
             tables[k] = _lower(*tables[k + 1], k)
-        return pa.table({"key": keys.astype(np.int64), "value": log_probabilities(keys, tables, order)})
+        # 24 bits of a logarithm are plenty, and the rest of the double, being zero, packs away on the way back.
+        return pa.table({"key": keys.astype(np.int64), "value": log_probabilities(keys, tables, order).astype(np.float32).astype(float)})
 
     weights = trie.groupBy("share").cogroup(pairs.groupBy("share")).applyInArrow(weigh, "key long not null, value double")
     values = weights.unionByName(words.select("key", F.col("n").cast("double").alias("value")))
