@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Trees, bits of a string, and the share of a block's vectors after which the way up ends.
 TREES, BITS, SHARE = 96, 24, 0.5
-#: Vectors of a block, queries at once, and a floor for the candidates.
-BLOCK, QUERIES, FLOOR = 16_384, 512, 300
+#: Vectors of a block, queries of a task and of a step in it, and a floor for the candidates.
+BLOCK, PART, QUERIES, FLOOR = 16_384, 16_384, 512, 300
 
 
 class Forest:
@@ -78,14 +78,15 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(sound)
     rows = rows.select(F.col(id_col).alias("vec_id"), value.alias("vector"), F.coalesce(queries, F.lit(False)).alias("query"))
     kind = rows.schema["vec_id"].dataType.simpleString()
-    length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    count, width = (length["count"], length["n"]) if length else (0, 0)
+    length = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows"), F.count_if("query").alias("asked")).orderBy(F.desc("rows"), "n").first()
+    count, width, wanted = (length["rows"], length["n"], length["asked"]) if length else (0, 0, 0)
     rows = rows.where(F.size("vector") == width)
-    blocks = max(1, math.ceil(count / block))
-    own = rows.select(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "vector")
-    # Every query meets every block, in parts of a bounded number of queries.
+    blocks, parts = max(1, math.ceil(count / block)), max(1, math.ceil(wanted / PART))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    # Every part of the queries meets every block: a task holds one of each, whatever their numbers.
+    own = rows.select(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias("block"), every(parts, "part"), "vec_id", "vector")
     asked = rows.where("query").select("vec_id", "vector").distinct()
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("vec_id").alias("query_id"), F.col("vector").alias("target"))
+    asked = asked.select(every(blocks, "block"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.col("vec_id").alias("query_id"), F.col("vector").alias("target"))
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
         return np.array(column.combine_chunks().flatten(), float).reshape(-1, width)
@@ -115,7 +116,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
         id_type = left.schema.field("vec_id").type
         return pa.table({"query_id": pa.array(out[0], id_type), "vec_id": pa.array(out[1], id_type), "score": pa.array(out[2], pa.float64())})
 
-    found = own.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(search, f"query_id {kind}, vec_id {kind}, score double")
+    found = own.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(search, f"query_id {kind}, vec_id {kind}, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

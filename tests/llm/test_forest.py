@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from strandline.llm import forest
 from strandline.llm.forest import nearest
 
 SCHEMA = "vec_id long, embedding array<float>, block string, vector string"
@@ -19,7 +20,8 @@ def exact(rows, every, k):
     return out
 
 
-def test_recall_and_order(spark):
+def test_recall_and_order(spark, monkeypatch):
+    monkeypatch.setattr(forest, "PART", 10)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=32).tolist()) for i in range(1200)]
     rows += [(2000 + i, rows[100][1]) for i in range(15)]
