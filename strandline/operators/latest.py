@@ -77,7 +77,9 @@ def renumber(df: DataFrame, keys: Sequence[str], right: str, tie: str, locked: C
 
 def systematic_sample(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
     """An even spread of ``k`` rows: every n // k-th in order, the first k of them. A top-k of a number known beforehand."""
+    from .stats import numbered
+
     n = df.count()
     step = max(1, n // max(k, 1))
-    ranked = df.withColumn("_at", F.row_number().over(Window.orderBy(*order)) - 1)
-    return ranked.where(F.col("_at") % step == 0).orderBy("_at").limit(k).drop("_at")
+    ranked = numbered(df, order, "_at")
+    return ranked.where((F.col("_at") - 1) % step == 0).orderBy("_at").limit(k).drop("_at")
