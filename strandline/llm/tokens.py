@@ -14,9 +14,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Remembered words at most, and characters of the longest remembered.
-WORDS, LONGEST = 1_000_000, 64
+WORDS, LONGEST = 600_000, 64
+#: New words encoded in one call: the library holds some hundred bytes for each of their tokens.
+CALL = 8192
 #: Bytes of text encoded at once.
-GROUP = 6 << 20
+GROUP = 4 << 20
 
 _loaded: dict[str, Encoder] = {}
 _double = re.compile(r"\s\s")
@@ -56,6 +58,9 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: set) -> dict:
+        if len(words) > CALL:
+            own = list(words)
+            return {w: x for i in range(0, len(own), CALL) for w, x in self._learn(set(own[i : i + CALL])).items()}
         own = list(words)
         texts = [w.decode() for w in own] if own and isinstance(own[0], bytes) else own
         joined = self.between.join(texts)
