@@ -18,29 +18,51 @@ NUMERAL_CHARS = "".join((*DIGITS, *UNITS, *CONTRACTED))
 PLAIN = "〇一二三四五六七八九"
 
 
-def _lookup(table: dict[str, int]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+#: ASCII names of units and contracted tens, into which a numeral is written before it is worked out.
+_UNIT_NAMES = {10: "X", 100: "C", 1000: "M"}
+_TEN_NAMES = {20: "a", 30: "b", 40: "c"}
+_ASCII = "".join([*(str(v) for v in DIGITS.values()), *(_UNIT_NAMES[v] for v in UNITS.values()), *(_TEN_NAMES[v] for v in CONTRACTED.values())])
+
+
+def _times(before: Column) -> Column:
+    """What a unit is multiplied by: the digit before it, else one."""
+    return F.when(before.between("0", "9"), F.ascii(before) - 48).otherwise(1)
+
+
+def _any_order(ascii_text: Column) -> Column:
+    """The value where a unit occurs twice: a sum over all of them."""
+    units = F.regexp_extract_all(ascii_text, F.lit("[0-9]?[XCM]"), 0)
+    size = lambda u: F.when(u.endswith("X"), 10).when(u.endswith("C"), 100).otherwise(1000)
+    return F.aggregate(units, F.lit(0).cast("long"), lambda sum_, u: sum_ + size(u) * _times(F.substring(u, 1, 1)))
 
 
 def parse_numeral(text: Column) -> Column:
     """The number that a numeral means, as long; null for what isn't one, or is empty.
 
     A unit without a digit means one of it; of adjacent digits the last counts; a contracted ten
-    after a pending digit, or any other character, spoils the whole.
+    after a pending digit, or any other character, spoils the whole. Each unit is looked up by place,
+    without a fold over the characters, so that the whole compiles into its stage.
     """
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("digit"), F.lit(True).alias("ok"))
+    return value_of_ascii(text, ascii_numeral(text))
+
+
+def ascii_numeral(text: Column) -> Column:
+    """A numeral in ASCII: 0-9, X, C, M for units, a, b, c for contracted tens."""
+    return F.translate(text, NUMERAL_CHARS, _ASCII)
+
+
+def value_of_ascii(text: Column, t: Column) -> Column:
+    """What a text means whose ASCII form is ``t``; for plans that work ``t`` out once."""
 
-    def step(state: Column, ch: Column) -> Column:
-        digit, unit, ten = F.try_element_at(_lookup(DIGITS), ch), F.try_element_at(_lookup(UNITS), ch), F.try_element_at(_lookup(CONTRACTED), ch)
-        added = F.when(unit.isNotNull(), F.coalesce(state["digit"], F.lit(1)) * unit).when(ten.isNotNull(), ten).otherwise(0)
-        return F.struct(
-            (state["sum"] + added).cast("long").alias("sum"),
-            F.when(digit.isNotNull(), digit).when(unit.isNotNull(), F.lit(None)).otherwise(state["digit"]).cast("long").alias("digit"),
-            (state["ok"] & F.when(ten.isNotNull(), state["digit"].isNull()).otherwise(digit.isNotNull() | unit.isNotNull())).alias("ok"),
-        )
+    def unit(name: str, size: int) -> Column:
+        at = F.instr(t, name)
+        return F.when(at > 0, size * _times(F.substr(t, at - 1, F.lit(1)))).otherwise(0)
 
-    folded = F.aggregate(F.split(text, ""), start, step, lambda s: F.when(s["ok"], s["sum"] + F.coalesce(s["digit"], F.lit(0))))
-    return F.when(F.length(text) > 0, folded)
+    tens = lambda name, size: size * (F.length(t) - F.length(F.replace(t, F.lit(name), F.lit(""))))
+    last = F.substring(t, -1, 1)
+    units = F.when(t.rlike(r"([XCM]).*\1"), _any_order(t)).otherwise(sum((unit(n, v) for v, n in _UNIT_NAMES.items()), F.lit(0).cast("long")))
+    value = units + sum((tens(n, v) for v, n in _TEN_NAMES.items()), F.lit(0)) + F.when(last.between("0", "9"), F.ascii(last) - 48).otherwise(0)
+    return F.when(text.rlike(f"^[{NUMERAL_CHARS}]+$") & ~t.rlike("[0-9][abc]"), value.cast("long"))
 
 
 def format_numeral(value: Column) -> Column:
@@ -55,17 +77,22 @@ def format_numeral(value: Column) -> Column:
     return F.when((value > 0) & (value < 10_000), F.concat(*parts)).when(value == 0, F.lit(PLAIN[0]))
 
 
-def parse_entry_id(text: Column, labels: tuple[str, ...] = FALLBACK_LABELS) -> Column:
-    """An id such as 庶五百八十七 as struct(text, band, value, ok, reason). Space of any script may stand around its parts."""
+def entry_id_parts(text: Column, labels: tuple[str, ...] = FALLBACK_LABELS) -> tuple[Column, Column, Column]:
+    """(stripped text, label, numeral) of an id; a text of no such form has a null numeral."""
     raw = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
     pattern = rf"(?U)^([{''.join(labels)}])?\s*(\S+)$"
-    fits = raw.rlike(pattern)
-    band, value = F.nullif(F.regexp_extract(raw, pattern, 1), F.lit("")), parse_numeral(F.regexp_extract(raw, pattern, 2))
-    ok = fits & value.isNotNull()
-    return F.struct(
-        raw.alias("text"), F.when(fits, band).alias("band"), F.when(fits, value).alias("value"), ok.alias("ok"),
-        F.when(~fits, F.lit("unrecognised id format")).when(~ok, F.lit("numeral not parseable")).otherwise("").alias("reason"),
-    )
+    return raw, F.nullif(F.regexp_extract(raw, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(raw, pattern, 2), F.lit(""))
+
+
+def id_reason(numeral: Column, value: Column) -> Column:
+    return F.when(numeral.isNull(), F.lit("unrecognised id format")).when(value.isNull(), F.lit("numeral not parseable")).otherwise("")
+
+
+def parse_entry_id(text: Column, labels: tuple[str, ...] = FALLBACK_LABELS) -> Column:
+    """An id such as 庶五百八十七 as struct(text, band, value, ok, reason). Space of any script may stand around its parts."""
+    raw, band, numeral = entry_id_parts(text, labels)
+    value = parse_numeral(numeral)
+    return F.struct(raw.alias("text"), band.alias("band"), value.alias("value"), value.isNotNull().alias("ok"), id_reason(numeral, value).alias("reason"))
 
 
 def value_of_id(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +31,25 @@ def exact_pairs(proposals: DataFrame, regions: DataFrame) -> DataFrame:
 def greedy(pairs: DataFrame, keys: list[str], a: str, b: str, score: str) -> DataFrame:
     """One-to-one pairs, best score first, ties by ``a`` then ``b``; ``pairs`` are those that count.
 
-    A group is one page's band, whose boxes are few; it is taken to one task.
+    Groups come to tasks whole and sorted, and are gone through as they stream by: a task remembers
+    what one group has used.
     """
-    schema = pairs.select(*keys, a, b, score).schema
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        keep = []
-        for i, x, y in rows.sort_values([score, a, b], ascending=[False, True, True])[[a, b]].itertuples():
-            if ("a", x) not in used and ("b", y) not in used:
-                used |= {("a", x), ("b", y)}
-                keep.append(i)
-        return rows.loc[keep]
-
-    return pairs.select(*keys, a, b, score).groupBy(*keys).applyInPandas(pick, schema)
+    rows = pairs.select(*keys, a, b, score)
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, used_a, used_b = None, set(), set()
+        for frame in frames:
+            keep = []
+            for i, (*key, x, y) in enumerate(frame[[*keys, a, b]].itertuples(index=False, name=None)):
+                if key != group:
+                    group, used_a, used_b = key, set(), set()
+                if x not in used_a and y not in used_b:
+                    used_a.add(x)
+                    used_b.add(y)
+                    keep.append(i)
+            yield frame.iloc[keep]
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc(score), a, b).mapInPandas(pick, rows.schema)
 
 
 def match(proposals: DataFrame, regions: DataFrame, least: float = MATCH, bucket: float = 512.0) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numerals import format_numeral, parse_entry_id
+from ..functions.numerals import ascii_numeral, entry_id_parts, format_numeral, id_reason, value_of_ascii
 from ..profile import FALLBACK_LABELS
 
 KINDS = ("unparsed", "band_mismatch", "duplicate", "non_monotonic", "gap")
@@ -22,8 +22,18 @@ def observations(df: DataFrame, band: Column, page: Column, entry: Column, text:
     return df.select(band.alias("band"), page.alias("page"), entry.alias("entry"), text.alias("text"), ordinal.alias("ordinal"))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns worked out once a row: unlike a projection, a generator isn't written into each place that uses it."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_ids(obs: DataFrame, labels: tuple[str, ...] = FALLBACK_LABELS) -> DataFrame:
-    return obs.withColumn("id", parse_entry_id(F.col("text"), labels))
+    """Observations with the label read (shown), the value, and the reason where there is none."""
+    _, band, numeral = entry_id_parts(F.col("text"), labels)
+    rows = once(obs, shown=band, _numeral=numeral)
+    rows = once(rows, _ascii=ascii_numeral(F.col("_numeral")))
+    rows = once(rows, value=value_of_ascii(F.col("_numeral"), F.col("_ascii")))
+    return rows.withColumn("reason", id_reason(F.col("_numeral"), F.col("value"))).drop("_numeral", "_ascii")
 
 
 def steps(read: DataFrame) -> DataFrame:
@@ -44,7 +54,7 @@ def findings(obs: DataFrame, labels: tuple[str, ...] = FALLBACK_LABELS) -> DataF
     of another band's label stays in it.
     """
     rows = with_ids(obs, labels)
-    read = rows.where("id.ok").withColumn("value", F.col("id.value"))
+    read = rows.where("value is not null")
     again = Window.partitionBy("band", "value").orderBy("page", "entry", "ordinal")
     seen = steps(read.withColumn("seen", F.lag(F.struct("page", "entry")).over(again)))
     step = F.col("value") - F.col("before")
@@ -52,13 +62,13 @@ def findings(obs: DataFrame, labels: tuple[str, ...] = FALLBACK_LABELS) -> DataF
     text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
     none, due = F.lit(None), format_numeral(F.col("before") + 1)
     told = F.array_compact(F.array(
-        F.when(F.col("id.band") != F.col("band"), say("band_mismatch", F.col("band"), text("id carries band ", F.col("id.band")))),
+        F.when(F.col("shown") != F.col("band"), say("band_mismatch", F.col("band"), text("id carries band ", F.col("shown")))),
         F.when(F.col("seen").isNotNull(), say("duplicate", none, text("also read on page ", F.col("seen.page"), " entry ", F.col("seen.entry")))),
         F.when(step <= 0, say("non_monotonic", due, text(F.col("before"), " -> ", F.col("value")))),
         F.when(step > 1, say("gap", due, text(step - 1, " value(s) missing between ", F.col("before"), " and ", F.col("value")))),
     ))
     of_read = seen.select("band", "page", "entry", "ordinal", F.col("text").alias("observed"), F.explode(told).alias("f"))
-    unread = rows.where("not id.ok").select("band", "page", "entry", "ordinal", F.col("text").alias("observed"), say("unparsed", none, F.col("id.reason")).alias("f"))
+    unread = rows.where("value is null").select("band", "page", "entry", "ordinal", F.col("text").alias("observed"), say("unparsed", none, F.col("reason")).alias("f"))
     return of_read.unionByName(unread).select("band", "f.kind", "page", "entry", "ordinal", "observed", "f.expected", "f.detail")
 
 
@@ -71,7 +81,7 @@ def report(obs: DataFrame, labels: tuple[str, ...] = FALLBACK_LABELS) -> DataFra
     """Per band: observed, parsed, first_value, last_value, gaps, breaks, parse_rate, clean_run_rate."""
     rows = with_ids(obs, labels)
     seen = rows.groupBy("band").agg(F.count("*").alias("observed"))
-    read = steps(rows.where("id.ok").withColumn("value", F.col("id.value")))
+    read = steps(rows.where("value is not null").select("band", "page", "entry", "ordinal", "value"))
     step, place = F.col("value") - F.col("before"), F.struct("page", "entry", "ordinal")
     runs = read.groupBy("band").agg(
         F.count("*").alias("parsed"), F.min_by("value", place).alias("first_value"), F.max_by("value", place).alias("last_value"),
