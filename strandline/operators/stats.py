@@ -25,15 +25,50 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return dealt.join(before, "_range").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_range", "_at", "_before")
 
 
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """(keys, q): exact linearly interpolated quantiles, as an array; nulls are left out, keys without values too.
+
+    A sketch of bounded size brackets each quantile; then values below a bracket are counted and those
+    within are ranked, some thousandths of the rows. Small groups need no bracket. Neither a task nor a
+    buffer holds all values of a group.
+    """
+    key = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("_k0")]
+    names = [f"_k{i}" for i in range(len(key))]
+    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
+    off = 4 / accuracy
+    probes = [x for p in at for x in (max(p - off, 0.0), min(p + off, 1.0))]
+    sketch = rows.groupBy(*names).agg(F.count("*").alias("_n"), F.percentile_approx("_v", probes, accuracy).alias("_p"))
+    small = F.col("_n") <= 4 * accuracy
+    bound = lambda i: F.when(~small, F.get("_p", i))
+    brackets = F.array(*[F.struct(F.lit(p).alias("p"), bound(2 * i).alias("low"), bound(2 * i + 1).alias("high")) for i, p in enumerate(at)])
+    sketch = sketch.select(*[F.col(n).alias(f"{n}s") for n in names], "_n", brackets.alias("_b"))
+    same = F.lit(True)
+    for n in names:
+        same = same & rows[n].eqNullSafe(sketch[f"{n}s"])
+    each = rows.join(sketch, same).select(*names, "_n", "_v", F.posexplode("_b").alias("_i", "_x")).where(F.col("_x.high").isNull() | (F.col("_v") <= F.col("_x.high")))
+    held = each.withColumn("_v", F.when(F.col("_x.low").isNull() | (F.col("_v") >= F.col("_x.low")), F.col("_v")))
+    counts = held.groupBy(*names, "_i", "_v").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.first("_x.p").alias("_p"))
+    w = Window.partitionBy(*names, "_i").orderBy(F.asc_nulls_first("_v"))
+    ranked = counts.withColumn("_upto", F.sum("_c").over(w))
+    place = F.col("_p") * (F.col("_n") - 1)
+    pick = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
+    found = ranked.groupBy(*names, "_i").agg(pick(F.floor(place)).alias("_lo"), pick(F.ceil(place)).alias("_hi"), F.first(place).alias("_at"))
+    mixed = F.when(F.floor("_at") == F.ceil("_at"), F.col("_lo")).otherwise((F.ceil("_at") - F.col("_at")) * F.col("_lo") + (F.col("_at") - F.floor("_at")) * F.col("_hi"))
+    out = found.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", mixed.alias("q")))), lambda x: x["q"]).alias("q"))
+    return out.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "q")
+
+
 def mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, median, mad): the median and the median distance from it; nulls are left out, none gives null."""
-    centre = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    off = df.join(centre, list(keys)).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    return centre.join(off, list(keys))
+    """(keys, median, mad): the median and the median distance from it; nulls are left out, a key of nulls alone has none."""
+    centre = quantiles(df, keys, value, [0.5]).select(*keys, F.get("q", 0).alias("median"))
+    # The centres are a row per key: they are written, so that the values are read once more, not the sketches made anew.
+    centre = written(centre, "centres")
+    off = df.join(centre, list(keys)).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_off"))
+    return centre.join(quantiles(off, keys, "_off", [0.5]).select(*keys, F.get("q", 0).alias("mad")), list(keys))
 
 
 def percentiles(value: Column, *at: float) -> Column:
-    """Linearly interpolated percentiles, as an array."""
+    """Linearly interpolated percentiles, as an array, of groups whose values fit into a buffer; see ``quantiles`` for others."""
     return F.percentile(value, F.array(*[F.lit(x) for x in at]))
 
 

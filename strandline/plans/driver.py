@@ -561,7 +561,7 @@ def review_queue(spark, sf_dir):
 def robust_stats(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
     spread = stats.mad(li, ["l_returnflag"], "l_extendedprice")
-    at = li.groupBy("l_returnflag").agg(stats.percentiles(F.col("l_extendedprice"), 0.01, 0.95).alias("p"))
+    at = stats.quantiles(li, ["l_returnflag"], "l_extendedprice", [0.01, 0.95]).withColumnRenamed("q", "p")
     return spread.join(at, "l_returnflag").select("l_returnflag", F.round("median", 4).alias("median"), F.round("mad", 4).alias("mad"), F.round(F.col("p")[0], 4).alias("p1"), F.round(F.col("p")[1], 4).alias("p95"))
 
 

@@ -185,6 +185,17 @@ def test_stats(spark, rows):
     assert all(r["id"] + 1 == r["n"] for r in stats.numbered(many, ["id"], "n").collect())
 
 
+def test_quantiles_equal_the_exact_ones(spark):
+    df = spark.range(60_000).select(F.when(F.col("id") % 11 > 0, F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 > 0, F.pow((F.col("id") * 7919 % 60_001) / 1000, 3)).alias("x"))
+    df = df.unionByName(spark.createDataFrame([(9, 1.5), (9, None), (8, None)], "k long, x double")).unionByName(df.where("k = 1").withColumn("x", F.lit(3.0)))
+    at = [0.0, 0.01, 0.5, 0.95, 1.0]
+    want = {r["k"]: r["q"] for r in df.groupBy("k").agg(stats.percentiles(F.col("x"), *at).alias("q")).collect() if r["q"] is not None}
+    for accuracy in (200, 2000, 10_000):  # brackets for all, for some, for none
+        got = {r["k"]: r["q"] for r in stats.quantiles(df, ["k"], "x", at, accuracy).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    assert stats.quantiles(df, [], "x", [0.5], 200).first()["q"][0] == pytest.approx(df.agg(F.median("x")).first()[0])
+
+
 def slow_comb(left, right, pitch, gutters, share=0.12):
     best, hits = right, -1
     steps = max(int(pitch * 2), 1)
