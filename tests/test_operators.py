@@ -330,3 +330,24 @@ def test_template(spark):
     assert (r["bands_per_page"], r["tops"], r["pitch"], r["pitch_mad"], r["text_left"], r["pages"]) == (3, [2.0, 102.0, 202.0], 379.0, 1.0, 12.0, 3)
 
 
+
+
+def test_small_reports(spark, rows):
+    from strandline.operators.scoring import learning_delta
+
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("c", 4), ("c", 5)], "k string, v int")
+    assert rows(latest.largest_group(df, "k")) == [("b", 2)]
+    assert rows(latest.first_per_key(df, ["k"], "v")) == [("a", 1), ("b", 2), ("c", 4)]
+    told = spark.createDataFrame([(5, None), (5, 3), (3, 5), (4, 4)], "now int, then int")
+    pending, way = learning_delta(F.col("now"), F.col("then"))
+    assert [tuple(r) for r in told.select(pending, way).collect()] == [(5, "first"), (2, "higher"), (0, "lower"), (0, "same")]
+    pages = spark.createDataFrame([(1, 7), (2, 7), (3, 6)], "page int, n int")
+    assert rows(stats.odd_ones(pages, "page", "n")) == [(3, 6)]
+    anchor = spark.createDataFrame([(float(r), 100.0 + i) for i, r in enumerate((900.0, 902.0, 990.0))], "right double, pitch double")
+    comb = F.struct(F.lit(0.0).alias("left"), "right", "pitch")
+    seconds = [geometry_second(r, 100.0 + i) for i, r in enumerate((900.0, 902.0, 990.0))]
+    assert geometry.phase_anchor(anchor.select(comb.alias("comb"), F.array().cast("array<double>").alias("gutters")), 0.0).first()["anchor"] == sorted(seconds)[1]
+
+
+def geometry_second(right, pitch):
+    return right - pitch
