@@ -2,7 +2,8 @@
 
 DataFrame functions alone are used. Keys travel as 128 bits of hash; the smallest and largest
 document of a key are found with partial sums before the shuffle, so a line that a third of all
-documents hold arrives as one row per task. The drops of a document come back as positions.
+documents hold arrives as one row per task; the join that finds its places splits them. The drops of
+a document come back as positions.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, lower_ascii
+from .common import SPACE, lower_ascii, written
 
 MIN_CHARS, MIN_DOCS = 10, 2
 
@@ -39,7 +40,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys = keys.where(F.col("_first") < F.col("_last")) if min_docs == 2 else keys
     else:
         keys = lines.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_n")).groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.sum("_n").alias("_n")).where(F.col("_n") >= min_docs)
-    drops = lines.join(keys.select("_h1", "_h2", "_first"), ["_h1", "_h2"]).where(F.col("_id") > F.col("_first"))
+    # Written, so that the join's sides are shuffles alone, of which Spark can split a common line's.
+    keys = written(keys.select("_h1", "_h2", "_first"), "lines")
+    drops = lines.join(keys, ["_h1", "_h2"]).where(F.col("_id") > F.col("_first"))
     # Equal rows bring equal positions; a set of positions serves them all.
     drops = drops.groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_drops"))
 

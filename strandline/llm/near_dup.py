@@ -165,7 +165,9 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     # A few hundred bytes per document; each text is read once here, and again for families alone.
     signs = written(rows.mapInArrow(sketch, "doc_id long, mark binary, n long, sketch binary"), "signs")
-    classes = signs.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep"))
+    # Written, as are their names below, so that joins by class have shuffles alone for sides, of which Spark can split a
+    # large group of copies.
+    classes = written(signs.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep")), "classes")
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
     firsts = signs.where("n > 0").join(classes, "mark").where("doc_id = rep").groupBy("doc_id").agg(F.min(F.struct("mark", "n", "sketch")).alias("x"))
     firsts = written(firsts.select(chunk, "doc_id", "x.mark", "x.n", "x.sketch"), "firsts")
@@ -315,7 +317,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = components(links)
     found = found.join(firsts.select(F.col("doc_id").alias("node"), "mark"), "node").select("mark", "component")
     named = classes.join(found, "mark", "left").select("mark", F.coalesce("component", "rep").alias("component_id"))
-    out = signs.join(named, "mark", "left")
+    out = signs.join(written(named, "named"), "mark", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, written
 
 TOKEN = "[a-z0-9]+"
 
@@ -85,6 +85,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url",
     host, path = host_and_path(url)
     found = tokens.join(index, "_token").where(F.regexp(host, F.col("_host")) & F.regexp(path, F.col("_path")))
     best = found.groupBy("_url").agg(F.max(F.struct("_weight", "_name", "_verdict", "_listed")).alias("_best"))
+    # Written, so that the join's sides are shuffles alone, of which Spark can split a common URL's.
+    best = written(best, "judged")
     joined = pages.join(best, pages[url_col] == best["_url"], "left")
     host, path = host_and_path(pages[url_col])
     told = best["_best"]
