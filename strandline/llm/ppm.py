@@ -28,7 +28,7 @@ ORDER = 5
 #: Bytes of text in a chunk.
 CHUNK = 16 << 20
 #: Positions handled at once.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 END = b"\n"  # no word holds white space, so this names the end token
 ALPHABET = 256
 #: Reserved keys, by which each chunk hears the numbers of training tokens and of distinct ones.
