@@ -23,6 +23,8 @@ from .ppm import held_out
 
 #: The bounded sample: documents of a language, bytes of each, bytes of a dictionary.
 SAMPLE, SNIPPET, DICTIONARY = 512, 512, 110 << 10
+#: Languages that are learned: those with most labelled documents.
+LANGUAGES = 256
 #: Bytes of a block, level of zstandard, and the least share of the next best size to be won.
 BLOCK, LEVEL, MARGIN = 2048, 6, 0.005
 #: Texts of fewer bytes than this are too short for a margin; they aren't rejected for a narrow one.
@@ -48,15 +50,15 @@ class Model:
     dictionaries: tuple[tuple[str, bytes], ...]
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, snippet: int = SNIPPET, dictionary: int = DICTIONARY) -> Model:
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, snippet: int = SNIPPET, dictionary: int = DICTIONARY, languages: int = LANGUAGES) -> Model:
     """Dictionaries from the ``sample`` documents of each language whose ids hash lowest, among rows where ``train`` holds.
 
-    Only ``sample * snippet`` bytes of a language reach the driver, whatever the table's size. Rows
-    whose id, text or language is null teach nothing. Without labelled rows the model is empty.
+    Only ``sample * snippet`` bytes of a language reach the driver, whatever the table's size, and of
+    the ``languages`` with most rows alone. Rows whose id, text or language is null teach nothing. Without labelled rows the model is empty.
     """
     rows = docs.where(train & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     named = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     order = sorted(counts, key=lambda x: (-counts[x], x))
     if not order:
         return Model(())

@@ -59,3 +59,4 @@ def test_little_to_learn_from(spark, rows):
 def test_sample_is_bounded(spark, rows):
     model = language.fit(frame(spark, rows * 3), F.lit(True), sample=5, snippet=100)
     assert all(len(d) <= 5 * 101 for _, d in model.dictionaries)
+    assert [x for x, _ in language.fit(frame(spark, rows[:-1]), F.lit(True), languages=2).dictionaries] == ["aa", "bb"]
