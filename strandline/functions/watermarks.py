@@ -15,6 +15,11 @@ SHORT = r"(?<![A-Za-z])[A-Z]{1,3}(?![A-Za-z])"
 EDGES = " ,.;:，。；：·|/-"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def filter_watermark(text: Column) -> Column:
     """struct(text, removed): the text without the stamp's words, null if nothing is left, and what went, in order.
 
@@ -22,29 +27,33 @@ def filter_watermark(text: Column) -> Column:
     runs of one to three capitals go too, and what then is left of four glyphs or fewer, all the
     stamp's or capitals. Lines are tidied of spaces and marks at their ends; empty ones go.
     """
-    raw = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    work, gone = raw, []
-    for mark in MARKS:
-        times = (F.length(work) - F.length(F.replace(work, F.lit(mark), F.lit("")))) / len(mark)
-        gone.append(F.array_repeat(F.lit(mark), times.cast("int")))
-        work = F.replace(work, F.lit(mark), F.lit(""))
-    words = F.filter(F.regexp_extract_all(work, F.lit(WORD), 0), lambda w: F.length(w) >= 4)
-    gone.append(words)
-    work = F.regexp_replace(work, WORD, " ")
-    removed = F.concat(*gone)
-    any_gone = F.size(removed) > 0
-    shorts = F.when(any_gone, F.regexp_extract_all(work, F.lit(SHORT), 0)).otherwise(F.array().cast("array<string>"))
-    work = F.when(any_gone, F.regexp_replace(work, SHORT, " ")).otherwise(work)
+    none = F.array().cast("array<string>")
+    both = lambda work, gone: F.struct(work.alias("work"), gone.alias("gone"))
+    stripped = lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+
+    def without(state: Column, mark: Column) -> Column:
+        return let(F.replace(state["work"], mark, F.lit("")), lambda rest: both(rest, F.concat(state["gone"], F.array_repeat(mark, ((F.length(state["work"]) - F.length(rest)) / F.length(mark)).cast("int")))))
+
+    def words(s: Column) -> Column:
+        return both(F.regexp_replace(s["work"], WORD, " "), F.concat(s["gone"], F.regexp_extract_all(s["work"], F.lit(WORD), 0)))
+
+    def shorts(s: Column) -> Column:
+        gone = F.concat(s["gone"], F.regexp_extract_all(s["work"], F.lit(SHORT), 0))
+        return F.when(F.size(s["gone"]) > 0, both(F.regexp_replace(s["work"], SHORT, " "), gone)).otherwise(s)
 
     def tidy(line: Column) -> Column:
         line = F.regexp_replace(F.regexp_replace(line, r"[ \t]+", " "), " ([,.;:，。；：])", "$1")
-        return F.btrim(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""), F.lit(EDGES))
-
-    lines = F.filter(F.transform(F.split(work, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"), tidy), lambda x: x != "")
-    clean = F.regexp_replace(F.array_join(lines, "\n"), r"(?U)^\s+|\s+$", "")
-    compact = F.regexp_replace(clean, r"(?U)\s+", "")
-    rest = any_gone & compact.rlike(rf"^[{GLYPHS}A-Z]{{1,4}}$")
-    return F.struct(
-        F.when(~rest & (clean != ""), clean).alias("text"),
-        F.concat(removed, shorts, F.when(rest, F.array(clean)).otherwise(F.array().cast("array<string>"))).alias("removed"),
-    )
+        return F.btrim(stripped(line), F.lit(EDGES))
+
+    def tidied(s: Column) -> Column:
+        lines = F.filter(F.transform(F.split(s["work"], r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"), tidy), lambda x: x != "")
+        return both(stripped(F.array_join(lines, "\n")), s["gone"])
+
+    def rest(s: Column) -> Column:
+        logo = (F.size(s["gone"]) > 0) & F.regexp_replace(s["work"], r"(?U)\s+", "").rlike(rf"^[{GLYPHS}A-Z]{{1,4}}$")
+        return let(logo, lambda gone: F.struct(F.when(~gone & (s["work"] != ""), s["work"]).alias("text"), F.concat(s["gone"], F.when(gone, F.array(s["work"])).otherwise(none)).alias("removed")))
+
+    out = F.aggregate(F.array(*[F.lit(m) for m in MARKS]), both(stripped(F.coalesce(text, F.lit(""))), none), without)
+    for step in (words, shorts, tidied, rest):
+        out = let(out, step)
+    return out
