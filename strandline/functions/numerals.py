@@ -24,6 +24,11 @@ _TEN_NAMES = {20: "a", 30: "b", 40: "c"}
 _ASCII = "".join([*(str(v) for v in DIGITS.values()), *(_UNIT_NAMES[v] for v in UNITS.values()), *(_TEN_NAMES[v] for v in CONTRACTED.values())])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _times(before: Column) -> Column:
     """What a unit is multiplied by: the digit before it, else one."""
     return F.when(before.between("0", "9"), F.ascii(before) - 48).otherwise(1)
@@ -41,9 +46,9 @@ def parse_numeral(text: Column) -> Column:
 
     A unit without a digit means one of it; of adjacent digits the last counts; a contracted ten
     after a pending digit, or any other character, spoils the whole. Each unit is looked up by place,
-    without a fold over the characters, so that the whole compiles into its stage.
+    without a fold over the characters.
     """
-    return value_of_ascii(text, ascii_numeral(text))
+    return let(ascii_numeral(text), lambda t: value_of_ascii(text, t))
 
 
 def ascii_numeral(text: Column) -> Column:
@@ -91,8 +96,12 @@ def id_reason(numeral: Column, value: Column) -> Column:
 def parse_entry_id(text: Column, labels: tuple[str, ...] = FALLBACK_LABELS) -> Column:
     """An id such as 庶五百八十七 as struct(text, band, value, ok, reason). Space of any script may stand around its parts."""
     raw, band, numeral = entry_id_parts(text, labels)
-    value = parse_numeral(numeral)
-    return F.struct(raw.alias("text"), band.alias("band"), value.alias("value"), value.isNotNull().alias("ok"), id_reason(numeral, value).alias("reason"))
+    parts = F.struct(raw.alias("text"), band.alias("band"), numeral.alias("numeral"))
+
+    def told(p: Column, value: Column) -> Column:
+        return F.struct(p["text"].alias("text"), p["band"].alias("band"), value.alias("value"), value.isNotNull().alias("ok"), id_reason(p["numeral"], value).alias("reason"))
+
+    return let(parts, lambda p: let(parse_numeral(p["numeral"]), lambda v: told(p, v)))
 
 
 def value_of_id(text: Column) -> Column:

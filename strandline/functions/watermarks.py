@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numerals import let
+
 # The stamp's phrases, in the order in which they are looked for, and its glyphs.
 MARKS = ("富阳图书馆", "富陽圖書館", "富阳圖書館", "富陽图书馆", "富阳区图书馆", "富陽區圖書館", "图书馆", "圖書館", "书馆", "書館")
 GLYPHS = "富陽阳旺图圖书書馆館区區"
@@ -15,11 +17,6 @@ SHORT = r"(?<![A-Za-z])[A-Z]{1,3}(?![A-Za-z])"
 EDGES = " ,.;:，。；：·|/-"
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def filter_watermark(text: Column) -> Column:
     """struct(text, removed): the text without the stamp's words, null if nothing is left, and what went, in order.
 
