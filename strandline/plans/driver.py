@@ -504,6 +504,23 @@ def edit_scores(spark, sf_dir):
     return e.select("item_id", (F.col("e.substitutions") + F.col("e.insertions") + F.col("e.deletions")).alias("edits"))
 
 
+@query(
+    """WITH t AS (SELECT item_id, text AS r, translate(substr(text, 3, 60), 'aeiouäéñ', 'AEIOUÄÉÑ') || substr(text, 63) AS h FROM benchmark),
+c AS (SELECT *, list_distinct(string_split(r || h, '')) AS known FROM t),
+b AS (SELECT item_id, array_to_string([chr(list_position(known, x)::INT) for x in string_split(r, '')], '') AS r, array_to_string([chr(list_position(known, x)::INT) for x in string_split(h, '')], '') AS h FROM c)
+SELECT item_id, levenshtein(r, h)::INT AS edits FROM b"""
+)
+def edit_scores_all(spark, sf_dir):
+    """Every item, whatever its letters, and the whole of its text.
+
+    The SQL's levenshtein counts bytes, so each character of an item is given a byte of its own
+    there; that serves items of up to 127 different characters.
+    """
+    other = F.concat(F.translate(F.substring("text", 3, 60), "aeiouäéñ", "AEIOUÄÉÑ"), F.substring(F.col("text"), F.lit(63), F.char_length("text")))
+    e = table(spark, sf_dir, "benchmark").select("item_id", scoring.edits(F.col("text"), other).alias("e"))
+    return e.select("item_id", (F.col("e.substitutions") + F.col("e.insertions") + F.col("e.deletions")).alias("edits"))
+
+
 @query("""SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM benchmark) WHERE ch <> '' GROUP BY ch HAVING count(*) <= 20""")
 def rare_chars(spark, sf_dir):
     return scoring.rare_characters(table(spark, sf_dir, "benchmark"), "text", 20)

@@ -45,6 +45,24 @@ def test_queries_without_sql(spark, sql):
     assert rows and len({(r["page"], r["proposal"]) for r in rows}) == len({(r["page"], r["region"]) for r in rows}) == len(rows)
 
 
+def test_edit_scores_of_every_item(spark, tmp_path):
+    texts = ["plain letters only", "añadió él la leña más allá", "größer als die Straße", "漢字と仮名", "", "é" * 70 + "trailing words"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: r["edits"] for r in entry.queries()["edit_scores_all"](spark, str(tmp_path)).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    other = [t[2:62].translate(str.maketrans("aeiouäéñ", "AEIOUÄÉÑ")) + t[62:] for t in texts]
+    assert got == {i: distance(t, o) for i, (t, o) in enumerate(zip(texts, other, strict=True))}
+
+
 def test_entry(spark, sql):
     assert entry.entry(spark).count() > 0
 
