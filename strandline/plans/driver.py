@@ -110,6 +110,18 @@ def core_run_gaps(spark, sf_dir):
     return sequence.missing_in_run(o, ["band"], "value")
 
 
+@query(
+    """WITH v AS (SELECT DISTINCT o_orderpriority AS band, o_custkey AS x FROM orders), lo AS (SELECT band, x, row_number() OVER (PARTITION BY band ORDER BY x) - 1 AS r, count(*) OVER (PARTITION BY band) AS n FROM v),
+b AS (SELECT band, max(x) FILTER (WHERE r = greatest(n // 100 - 1, 0)) AS lo, max(x) FILTER (WHERE r = least(n * 99 // 100, n - 1)) AS hi, max(n) AS n FROM lo GROUP BY band),
+core AS (SELECT band, x FROM v JOIN b USING (band) WHERE n < 8 OR x BETWEEN lo - greatest(1, (hi - lo) // 2) AND hi + greatest(1, (hi - lo) // 2)),
+span AS (SELECT band, unnest(generate_series(min(x), max(x))) AS x FROM core GROUP BY band)
+SELECT band, x AS value FROM span ANTI JOIN core USING (band, x)"""
+)
+def core_run_gaps_all(spark, sf_dir):
+    """All orders, a band per priority: its gaps are customers without an order of that priority."""
+    return sequence.missing_in_run(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("band"), F.col("o_custkey").alias("value")), ["band"], "value")
+
+
 @query("""SELECT x::INT AS page FROM (SELECT unnest(generate_series(2, 2001)) AS x) WHERE x NOT IN (SELECT DISTINCT o_custkey FROM orders)""")
 def missing_pages(spark, sf_dir):
     return sequence.missing_pages(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("int").alias("page")).distinct(), "page", 2000)
@@ -340,6 +352,25 @@ def insert_absent(spark, sf_dir):
     return relational.insert_absent(e.where("event_id % 4 = 0"), e.where("event_id % 4 = 1"), ["user_id"], "event_id")
 
 
+@query(
+    """SELECT user_id, event_type, arg_max(event_id, (event_id % 2, event_id)) AS event_id, arg_min(value, (event_id % 2, event_id)) AS value FROM events GROUP BY ALL"""
+)
+def upsert_latest_all(spark, sf_dir):
+    """Even events are stored, odd ones come new: every event is on one of the sides."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return relational.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 <> 0"), ["user_id", "event_type"], "event_id", keep=["value"])
+
+
+@query(
+    """WITH o AS (SELECT user_id, event_type, event_id, value FROM events WHERE event_id % 20 = 0), n AS (SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events WHERE event_id % 20 <> 0 GROUP BY ALL)
+SELECT * FROM o UNION ALL SELECT * FROM n WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM o)"""
+)
+def insert_absent_all(spark, sf_dir):
+    """Every twentieth event is stored, all others come new."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return relational.insert_absent(e.where("event_id % 20 = 0"), e.where("event_id % 20 <> 0"), ["user_id", "event_type"], "event_id")
+
+
 @query("""SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 150 = 0)""")
 def delete_by_key(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")

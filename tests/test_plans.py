@@ -63,6 +63,17 @@ def test_edit_scores_of_every_item(spark, tmp_path):
     assert got == {i: distance(t, o) for i, (t, o) in enumerate(zip(texts, other, strict=True))}
 
 
+def test_every_row_counts(spark, tmp_path):
+    """Keys that only some remainder of the ids holds are in the results."""
+    events = [(i, i, "click", float(i)) for i in range(1, 13)] + [(20, 1, "click", 0.0)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([("a", k) for k in (1, 3, 4, 6)], "o_orderpriority string, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r["user_id"], r["event_id"], r["value"]) for r in run("upsert_latest_all")} == {(1, 1, 0.0)} | {(i, i, float(i)) for i in range(2, 13)}
+    assert {(r["user_id"], r["event_id"]) for r in run("insert_absent_all")} == {(1, 20)} | {(i, i) for i in range(2, 13)}
+    assert sorted(tuple(r) for r in run("core_run_gaps_all")) == [("a", 2), ("a", 5)]
+
+
 def test_entry(spark, sql):
     assert entry.entry(spark).count() > 0
 
