@@ -74,6 +74,12 @@ def test_every_row_counts(spark, tmp_path):
     assert sorted(tuple(r) for r in run("core_run_gaps_all")) == [("a", 2), ("a", 5)]
 
 
+def test_medians_of_all_rows(spark, tmp_path):
+    rows = [("A", float(i), 2.0 * i, 0.0, 1.0) for i in range(1, 12)]
+    spark.createDataFrame(rows, "l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in entry.queries()["median_arrays_all"](spark, str(tmp_path)).collect()] == [("A", 6.0, 12.0, 0.0, 1.0)]
+
+
 def test_entry(spark, sql):
     assert entry.entry(spark).count() > 0
 
