@@ -118,19 +118,37 @@ def agreement(a: DataFrame, b: DataFrame, keys: list[str], cap: int = 60) -> Dat
     return out.join(first, keys, "left").withColumn("disagreements", F.coalesce("disagreements", F.array().cast("array<struct<crop:string,ia:string,ib:string>>")))
 
 
-def scorecard(rows: DataFrame, keys: list[str]) -> DataFrame:
+def scorecard(rows: DataFrame, keys: list[str], cap: int = 80) -> DataFrame:
     """What reviewers say of the machine. ``rows``: human and machine structs of own_id, parent, order; machine_read.
 
-    A review counts if all three of its fields are there.
+    A review counts if all three of its fields are there. With a column ``flags`` (the parser's, of
+    the machine's text) there are also own_label_from_geometry, parent_label_from_structure and
+    numeral_repairs, a count by misread and right glyph; with ``place`` the first ``cap`` mismatches in
+    its order. That list is a report's, capped; the counts are whole.
     """
     whole = lambda c: F.col(f"{c}.own_id").isNotNull() & F.col(f"{c}.parent").isNotNull() & F.col(f"{c}.order").isNotNull()
     same = lambda f: F.coalesce(F.col(f"human.{f}") == F.col(f"machine.{f}"), F.lit(False))
-    fit = whole("human")
-    return rows.groupBy(*keys).agg(
+    fit, alike = whole("human"), same("own_id") & same("parent") & same("order")
+    flags = ("label_from_geometry", "parent_label_from_structure") if "flags" in rows.columns else ()
+    out = rows.groupBy(*keys).agg(
         F.count("*").alias("reviewed"), F.count_if(fit).alias("eligible"), F.count_if(fit & F.col("machine_read")).alias("machine_present"),
         *[F.count_if(fit & same(f)).alias(f"{f}_exact") for f in ("own_id", "parent", "order")],
-        F.count_if(fit & same("own_id") & same("parent") & same("order")).alias("exact_core"),
+        F.count_if(fit & alike).alias("exact_core"),
+        *[F.count_if(fit & F.col(f"flags.{f}")).alias(f.replace("label_from_geometry", "own_label_from_geometry")) for f in flags],
     )
+    if flags:
+        each = rows.where(fit).select(*keys, F.explode("flags.numeral_repairs").alias("_a", "_b")).groupBy(*keys, F.concat("_a", F.lit("->"), "_b").alias("_r")).agg(F.count("*").alias("_n"))
+        repairs = each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_r", "_n")))).alias("numeral_repairs"))
+        out = out.join(repairs, keys, "left").withColumn("numeral_repairs", F.coalesce("numeral_repairs", F.create_map().cast("map<string,bigint>")))
+    if "place" in rows.columns:
+        from pyspark.sql import Window
+
+        at = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
+        first = rows.where(fit & ~alike).withColumn("_at", at).where(F.col("_at") <= cap)
+        listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "place", "human", "machine"))).alias("_m"))
+        listed = listed.select(*keys, F.transform("_m", lambda x: F.struct(x["place"].alias("place"), x["human"].alias("human"), x["machine"].alias("machine"))).alias("mismatches"))
+        out = out.join(listed, keys, "left").withColumn("mismatches", F.coalesce("mismatches", F.filter(F.array(F.lit(None).cast(listed.schema["mismatches"].dataType.elementType)), lambda x: x.isNotNull())))
+    return out
 
 
 def review_queue(suspects: list[DataFrame], keys: list[str], limit: int = 60) -> DataFrame:

@@ -80,6 +80,27 @@ def validate(entries: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame
     return sequence.report(seen, profile.labels), sequence.findings(seen, profile.labels)
 
 
+def recovered(entries: DataFrame, profile: Profile) -> DataFrame:
+    """(page, band, entry, observed_label, own_id): ids of ``validate`` whose label wasn't read but taken from the band."""
+    from ..functions.fields import parse_entry
+
+    own = entries.withColumn("id", parse_entry(F.col("text"), F.col("geometric"), profile, True)).where("id.label_from_geometry")
+    return own.select("page", F.col("geometric").alias("band"), "entry", "id.observed_label", "id.own_id")
+
+
+def learning(entries: DataFrame, profile: Profile, keys: list[str]) -> DataFrame:
+    """The scorecard of reviewed entries: keys, page, geometric, entry, ordinal, machine and human, which is a readable correction."""
+    from ..functions.fields import parse_entry
+
+    rows = entries.where(F.col("human").isNotNull())
+    for name in ("human", "machine"):
+        rows = rows.withColumn(f"_{name}", parse_entry(F.col(name), F.col("geometric"), profile, True))
+    core = lambda c: F.struct(F.col(c).alias("text"), F.col(f"_{c}.own_id").alias("own_id"), F.coalesce(f"_{c}.parent_id", f"_{c}.parent_name").alias("parent"), F.col(f"_{c}.order").alias("order"))
+    place = F.struct("ordinal", "page", F.col("geometric").alias("band"), "entry")
+    flags = F.struct(*[f"_machine.{f}" for f in ("label_from_geometry", "parent_label_from_structure", "numeral_repairs")])
+    return scoring.scorecard(rows.select(*keys, core("human").alias("human"), core("machine").alias("machine"), F.col("machine").isNotNull().alias("machine_read"), flags.alias("flags"), place.alias("place")), keys)
+
+
 def review_entries(store: Store, document_id: str, page: int, profile: Profile, tag: str | None = None) -> DataFrame:
     """A page's entries as a reviewer sees them, headers first: readings, corrections, findings and fields.
 

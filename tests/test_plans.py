@@ -126,6 +126,22 @@ def test_graph_end_to_end(spark, store, tmp_path):
     assert sorted(r["kind"] for r in findings.collect()) == ["gap", "unparsed"]
 
 
+def test_recoveries(spark):
+    """Labels from the band, fathers' labels from the chain and numerals repaired are counted; mismatches are listed in order."""
+    profile = Profile(label_confusions={"尤": "庶"})
+    said = [("富二百\n尤五十\n長子", "富二百\n庶五十\n長子"), ("十二\n庶一\n長子", "富十二\n庶一\n長子"), ("富一干 庶一 次子", "富一千 庶一 次子"), ("富九 庶一 長子", "富三 庶一 長子"), (None, "富四 庶一 長子"), ("富五", "富五"), ("富六 庶一 長子", None)]
+    rows = [("d", 1, "富", i, i, m, h) for i, (m, h) in enumerate(said)] + [("e", 2, "富", i, i, "富七 庶一 長子", "富八 庶一 長子") for i in range(100)]
+    entries = spark.createDataFrame(rows, "document_id string, page int, geometric string, entry int, ordinal int, machine string, human string")
+    cards = {r["document_id"]: r for r in graph.learning(entries, profile, ["document_id"]).collect()}
+    d = cards["d"]
+    assert (d["reviewed"], d["eligible"], d["machine_present"], d["exact_core"]) == (6, 5, 4, 3)
+    assert (d["own_label_from_geometry"], d["parent_label_from_structure"], d["numeral_repairs"]) == (1, 1, {"干->千": 1})
+    assert [(m["place"]["entry"], m["machine"]["own_id"], m["human"]["own_id"]) for m in d["mismatches"]] == [(3, "富九", "富三"), (4, None, "富四")]
+    assert [m["place"]["entry"] for m in cards["e"]["mismatches"]] == list(range(80)) and cards["e"]["eligible"] == 100 and cards["e"]["numeral_repairs"] == {}
+    found = graph.recovered(entries.where("document_id = 'd'").withColumn("text", F.col("machine")), profile).collect()
+    assert [tuple(r) for r in found] == [(1, "富", 1, None, "富十二")]
+
+
 def test_review_page(spark, store):
     rows = graph.review_entries(store, "d", 1, Profile(), tag="").collect()
     assert [r["region_uid"] for r in rows] == ["u1", "u7", "u2", "u3"]
