@@ -16,6 +16,8 @@ IMAGE = "struct<height:int,width:int,channels:int,pixels:binary>"
 VARIANTS = ("original", "gray", "red", "maxrgb", "neutral", "contrast", "binary")
 # Chroma that is no ink, ink itself, and the percentiles of dark and bright pixels.
 CHROMA, INK, DARK, BRIGHT = 18, 150, 12, 75
+# Coverage of a rule that splits bands, and of one that may where too few are found.
+STRICT, WEAK = 0.55, 0.45
 
 
 def pack(image: np.ndarray) -> dict:
@@ -90,30 +92,60 @@ def dominant_pitch(profile: np.ndarray, low: int = 60, high: int = 400) -> tuple
     return float(low + int(likeness.argmax())), float(likeness.max())
 
 
-def rules(tone: np.ndarray, least: float = 0.5) -> list[tuple[float, float]]:
-    """(position, coverage) of horizontal rules: rows whose ink covers enough of the width, thick ones once."""
-    cover = (tone < INK).mean(1)
+def rule_extents(tone: np.ndarray, least: float = 0.5) -> list[tuple[float, float, float, float]]:
+    """(position, coverage, start, end) of horizontal rules: rows whose ink covers enough of the width, thick ones once."""
+    ink = tone < INK
+    cover = ink.mean(1)
     rows = np.flatnonzero(cover >= least)
     groups = np.split(rows, np.flatnonzero(np.diff(rows) > 1) + 1) if len(rows) else []
-    return [(float(g.mean()), float(cover[g].max())) for g in groups]
+    out = []
+    for g in groups:
+        at = np.flatnonzero(ink[g[cover[g].argmax()]])
+        out.append((float(g.mean()), float(cover[g].max()), float(at[0]), float(at[-1])))
+    return out
+
+
+def rules(tone: np.ndarray, least: float = 0.5) -> list[tuple[float, float]]:
+    """(position, coverage) of horizontal rules."""
+    return [(p, c) for p, c, _, _ in rule_extents(tone, least)]
 
 
-def analyse_pages(image: Column) -> Column:
-    """struct(pitch, confidence, profile, rules) of a page."""
+def page_bands(tone: np.ndarray, least: float = STRICT) -> list[tuple[float, float]]:
+    """(top, bottom) of the bands between a normalised page's rules. Rules within 24 pixels are one, those at the margin the frame; slivers are left out."""
+    height, merged = len(tone), []
+    for p, c in rules(tone, least):
+        if merged and p - merged[-1][0] <= 24:
+            merged[-1] = max(merged[-1], (p, c), key=lambda x: x[1])
+        else:
+            merged.append((p, c))
+    edges = [0.0, *[p for p, _ in merged if 0.02 * height < p < 0.98 * height], float(height)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b - a > 0.1 * height]
+
+
+def analyse_pages(image: Column, expected: int = 3) -> Column:
+    """struct(pitch, confidence, profile, rules, bands, weak) of a page.
+
+    Pitch and profile are those of the tallest band. Where two or more of the ``expected`` bands are
+    missing, ``weak`` has the inner edges seen at a lower coverage, for ``layout.repair_bands``.
+    """
 
-    @F.pandas_udf("pitch double, confidence double, profile array<double>, rules array<struct<position:double,coverage:double>>")
+    @F.pandas_udf("pitch double, confidence double, profile array<double>, rules array<struct<position:double,coverage:double,start:double,end:double>>, bands array<struct<top:double,bottom:double>>, weak array<double>")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             out = []
             for row in frame.to_dict("records"):
                 pixels = unpack(row)
                 if pixels is None:
-                    out.append((None, None, None, None))
+                    out.append((None,) * 6)
                     continue
                 tone = gray(pixels)
-                profile = ink_profile(tone)
-                out.append((*dominant_pitch(profile), profile.tolist(), [{"position": p, "coverage": c} for p, c in rules(tone)]))
-            yield pd.DataFrame(out, columns=["pitch", "confidence", "profile", "rules"])
+                bands = page_bands(tone)
+                weak = {e for b in page_bands(tone, WEAK) for e in b if 0 < e < len(tone)} if len(bands) < expected - 1 else ()
+                top, bottom = max(bands, key=lambda b: b[1] - b[0]) if bands else (0, len(tone))
+                profile = ink_profile(tone[int(top) : int(bottom)])
+                ruled = [dict(zip(("position", "coverage", "start", "end"), r, strict=True)) for r in rule_extents(tone)]
+                out.append((*dominant_pitch(profile), profile.tolist(), ruled, [{"top": a, "bottom": b} for a, b in bands], sorted(weak)))
+            yield pd.DataFrame(out, columns=["pitch", "confidence", "profile", "rules", "bands", "weak"])
 
     return run(image)
 

@@ -107,6 +107,41 @@ def inferred_pair(rules: Column, target: Column, span: Column) -> Column:
     return F.when(F.size(choices) > 0, F.struct(best["near"].alias("near"), best["far"].alias("far"), best["inferred"].alias("inferred")))
 
 
+def extent_pair(rules: Column, size: Column, least: float = 0.85) -> Column:
+    """struct(near, far): the left and right border at half of ``size``, the height, along lines through where well covered horizontal rules start and end.
+
+    ``rules`` have position, coverage, start and end. Null with fewer than two full rules at different heights.
+    """
+
+    @F.pandas_udf("near double, far double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for pages, sizes in batches:
+            out = []
+            for found, height in zip(pages, sizes, strict=True):
+                full = [r for r in found if r["coverage"] >= least] if found is not None else []
+                at = np.array([r["position"] for r in full], float)
+                if len(set(at.tolist())) < 2:
+                    out.append((None, None))
+                    continue
+                out.append(tuple(float(np.polyval(np.polyfit(at, [r[c] for r in full], 1), height / 2)) for c in ("start", "end")))
+            yield pd.DataFrame(out, columns=["near", "far"])
+
+    return run(rules, size)
+
+
+def side_borders(upright: Column, level: Column, target: Column, width: Column, height: Column, tolerance: float = 0.02) -> Column:
+    """struct(near, far, inferred): the left and right border of a page whose frame is ``target`` wide.
+
+    Two upright rules that far apart come first; then the ends of the level rules, which are
+    measured on the page; a border guessed from its opposite comes last.
+    """
+    pair, ends, guess = frame_pair(upright, target, tolerance * target), extent_pair(level, height), inferred_pair(upright, target, width)
+    near, far = pair["near"]["position"], pair["far"]["position"]
+    none = F.lit(None).cast("string")
+    fit = ends["near"].isNotNull() & (F.abs(F.abs(ends["far"] - ends["near"]) - target) <= 2.5 * tolerance * target)
+    return F.when(pair.isNotNull(), F.struct(F.least(near, far).alias("near"), F.greatest(near, far).alias("far"), none.alias("inferred"))).when(fit, F.struct(F.least(ends["near"], ends["far"]).alias("near"), F.greatest(ends["near"], ends["far"]).alias("far"), none.alias("inferred"))).otherwise(guess)
+
+
 def median_frame(frames: DataFrame, least: int = 20) -> DataFrame:
     """One row (corners, frames): the median corner of each place over fully detected frames; none with fewer than ``least``.
 

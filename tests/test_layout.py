@@ -39,6 +39,17 @@ def test_frames(spark):
     assert layout.median_frame(df.limit(5)).count() == 0
 
 
+def test_side_borders(spark):
+    rule = lambda p, c=1.0, a=0.0, b=0.0: F.struct(F.lit(p).alias("position"), F.lit(c).alias("coverage"), F.lit(a).alias("start"), F.lit(b).alias("end"))
+    level = [rule(0.0, 0.9, 10.0, 910.0), rule(400.0, 0.95, 14.0, 914.0), rule(700.0, 0.5, 300.0, 600.0)]
+    got = lambda up, flat: tuple(spark.range(1).select(layout.side_borders(F.array(*up), F.array(*flat), F.lit(900.0), F.lit(1000.0), F.lit(800.0)).alias("b")).first()["b"])
+    # Two upright rules; else the ends of the level ones at half the height; else a guess, also where the ends are too far apart.
+    assert got([rule(20.0), rule(921.0)], level) == (20.0, 921.0, None)
+    assert got([rule(40.0)], level) == (pytest.approx(14.0), pytest.approx(914.0), None)
+    assert got([rule(40.0)], level[:1] + level[2:]) == (40.0, 940.0, "far")
+    assert got([rule(40.0)], [rule(0.0, 0.9, 10.0, 500.0), rule(400.0, 0.9, 10.0, 500.0)]) == (40.0, 940.0, "far")
+
+
 def test_edited_comb(spark):
     pages = spark.createDataFrame([(i, 1000.0, 300.0, 0.0, 900.0, [], 0.0, None) for i in range(1, 6)], "page int, width double, pitch double, left double, right double, gutters array<double>, fraction double, anchor double")
     moves = spark.createDataFrame([(2, 1, 610.0), (3, 9, 5.0), (4, 0, 2000.0), (5, 1, 950.0)], "page int, index int, x double")

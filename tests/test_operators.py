@@ -306,6 +306,21 @@ def test_imaging(spark):
         imaging.variant(page, "x")
 
 
+def test_page_bands(spark):
+    """Rules of half the width split no band but are told as weak ones; the tallest band has the profile."""
+    faint = np.full((900, 1000), 250, np.uint8)
+    faint[[300, 600], :500] = 20
+    ruled = np.full((900, 1000), 250, np.uint8)
+    ruled[200] = ruled[400] = 20
+    ruled[:200, ::70] = 20
+    ruled[410:, ::100] = 20
+    rows = [(0, imaging.pack(faint)), (1, imaging.pack(ruled))]
+    got = [r["a"] for r in spark.createDataFrame(rows, f"i int, image {imaging.IMAGE}").orderBy("i").select(imaging.analyse_pages(F.col("image")).alias("a")).collect()]
+    assert [tuple(b) for b in got[0]["bands"]] == [(0.0, 900.0)] and got[0]["weak"] == [300.0, 600.0]
+    assert [tuple(b) for b in got[1]["bands"]] == [(0.0, 200.0), (200.0, 400.0), (400.0, 900.0)] and got[1]["weak"] == []
+    assert got[1]["pitch"] == 100.0 and [tuple(r) for r in got[1]["rules"]] == [(200.0, 1.0, 0.0, 999.0), (400.0, 1.0, 0.0, 999.0)]
+
+
 def test_layout_families(spark):
     rng = np.random.default_rng(1)
     pages = [("d", i, 3, (np.sin(np.arange(64) / 5) / 2 + 0.5 + rng.normal(0, 0.01, 64)).tolist()) for i in range(8)] + [("d", 20, 9, [1.0] * 64)]
