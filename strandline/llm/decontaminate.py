@@ -1,13 +1,16 @@
 """Benchmark decontamination by spaced seeds.
 
 Texts become normalised words. Fixed masks pick some of the words in a span and ignore the others,
-so a substituted word spoils few of the seeds around it. Test seeds are put into a Bloom filter of a
-fixed size; each document keeps the seeds that pass it, with the words around them. These meet the
-test seeds in a join, and around each hit the item is laid against the document word by word.
+so a substituted word spoils few of the seeds around it. Items too short for that are cut into one
+part more than words may differ, so that one part is whole, and the parts are seeds. Test seeds are
+put into a Bloom filter of a fixed size; each document keeps the seeds that pass it, with the words
+around them. These meet the test seeds in a join, and around each hit the item is laid against the
+document word by word.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -97,16 +100,31 @@ def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"item_id {kind}, item binary")
 
 
-def _test_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """(item_id, at, seed) of items of at least the shortest mask's words; shorter ones are whole seeds of their own."""
+def _parts(n: int, similarity: float) -> list[tuple[int, int]]:
+    """(begin, end) of an item's parts: one more than words that may differ."""
+    count = n - max(1, math.ceil(similarity * n - 1e-9)) + 1
+    cuts = [n * i // count for i in range(count + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def _test_seeds(items: DataFrame, masks: tuple[str, ...], parts: dict[int, list[tuple[int, int]]], least: int) -> DataFrame:
+    """(item_id, at, seed) by the masks of items of at least ``least`` words, and by their parts of shorter ones whose length has any."""
+    number = {m: k for k, m in enumerate(masks)}
     kind = items.schema["item_id"].dataType.simpleString()
 
+    def seeds(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        if len(ids) >= least:
+            found += [_seeds(ids, np.array([0, len(ids)]), m, k) for k, m in enumerate(masks)]
+        for a, b in parts.get(len(ids), ()):
+            found.append((np.array([a]), _seeds(ids[a:b], np.array([0, b - a]), "1" * (b - a), number["1" * (b - a)])[1]))
+        at, seed = zip(*found, strict=True)
+        return np.concatenate(at), np.concatenate(seed)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, item in enumerate(batch["item"].to_pylist()):
-                ids = np.frombuffer(item, np.uint64)
-                at, seed = zip(*[_seeds(ids, np.array([0, len(ids)]), m, k) for k, m in enumerate(masks)], strict=True)
-                at, seed = np.concatenate(at), np.concatenate(seed)
+                at, seed = seeds(np.frombuffer(item, np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(batch["item_id"].slice(i, 1).to_pylist() * len(at), batch["item_id"].type), pa.array(at, pa.int32()), pa.array(seed.view(np.int64))], ["item_id", "at", "seed"])
 
     return items.mapInArrow(run, f"item_id {kind}, at int, seed long")
@@ -136,18 +154,22 @@ def _bloom(seeds: DataFrame) -> np.ndarray:
     return whole.reshape(-1)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, run: int = RUN, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, run: int = RUN, masks: tuple[str, ...] = MASKS, shortest: int = 6) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, n_equal, item_words): the best place of each item in each document that holds it.
 
     At a hit, item and document are laid side by side. A place counts if, in line, at least
     ``similarity`` of the item's words are equal, or of a run of at least ``run`` words that starts
     and ends with equal ones (items shorter than that: of the whole item). Words are lower-cased without ASCII marks.
-    Items shorter than the shortest mask's span are never found; null texts, ids of items that are
+    Items of fewer than ``shortest`` words aren't looked for; null texts, ids of items that are
     null and empty tables find nothing. Repeated documents are each found; rows with a null id too.
     """
     table = written(_items(items.where(F.col(item_id_col).isNotNull()), item_id_col, item_text_col), "items")
-    seeds = _test_seeds(table, masks).distinct()
-    longest = (table.agg(F.max(F.length("item"))).first()[0] or 0) // 8
+    n = (F.length("item") / 8).cast("int")
+    longest, short = table.agg(F.max(n), F.collect_set(F.when(n.between(max(shortest, 1), run - 1), n))).first()
+    longest, parts = longest or 0, {x: _parts(x, similarity) for x in sorted(short)}
+    # Lengths of parts are masks after the others: tables without short items have none.
+    masks = (*masks, *("1" * x for x in sorted({b - a for p in parts.values() for a, b in p})))
+    seeds = _test_seeds(table, masks, parts, run).distinct()
     sc = docs.sparkSession.sparkContext
     bloom = sc.broadcast(_bloom(seeds))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
@@ -228,4 +250,4 @@ def judge(words: np.ndarray, item: np.ndarray, shift: int, similarity: float, ru
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return find_leaks(docs, items)
+    return find_leaks(docs, items, shortest=1)

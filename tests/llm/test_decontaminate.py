@@ -1,11 +1,12 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
 from invented_prose import prose
 from pyspark.sql import functions as F
 
-from strandline.llm.decontaminate import find_leaks, judge
+from strandline.llm.decontaminate import find_leaks, judge, op10_spaced_seeds
 
 
 def words(seed, n):
@@ -70,3 +71,20 @@ def test_judge_against_all_runs():
 def test_hot_item(spark, docs, items):
     rows = [(i, f"{prose(i, 5)} {items[0][1]}") for i in range(300)]
     assert find_leaks(docs(rows), frame(spark, items)).where(F.col("item_id") == 0).count() == 300
+
+
+def test_short_items_with_all_changes(spark, docs, tmp_path):
+    """Items of one to twelve words are found with every choice of changed words that leaves 0.8 of them, and no more."""
+    items = [(n, " ".join(words(50 + n, n))) for n in range(1, 13)]
+    rows, want = [], set()
+    for n, text in items:
+        for k in range(n // 5 + 2):
+            for gone in combinations(range(n), min(k, n)):
+                w = [f"other{i}" if i in gone else x for i, x in enumerate(text.split())]
+                if n - len(gone) >= 0.8 * n:
+                    want.add((len(rows), n))
+                rows.append((len(rows), f"{prose(n, 8)} {' '.join(w)} {prose(n + 1, 8)}"))
+    docs(rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, items).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = op10_spaced_seeds(spark, str(tmp_path))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
