@@ -127,6 +127,13 @@ def missing_pages(spark, sf_dir):
     return sequence.missing_pages(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("int").alias("page")).distinct(), "page", 2000)
 
 
+@query("""SELECT x::INT AS page FROM (SELECT unnest(generate_series(2, (SELECT count(*) FROM customer) + 1)) AS x) WHERE x NOT IN (SELECT o_custkey FROM orders)""")
+def missing_pages_all(spark, sf_dir):
+    """As many pages are expected as there are customers."""
+    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("int").alias("page")).distinct()
+    return sequence.missing_pages(pages, "page", table(spark, sf_dir, "customer").count())
+
+
 @query(
     """WITH b AS (SELECT l_returnflag AS run, l_linenumber AS band, count(*) AS observed, count(*) FILTER (WHERE l_discount > 0.02) AS parsed FROM lineitem GROUP BY ALL)
 SELECT run, sum(observed)::BIGINT AS observed, sum(parsed)::BIGINT AS parsed, round(sum(parsed) / greatest(sum(observed), 1), 6) AS parse_rate,

@@ -80,6 +80,12 @@ def test_medians_of_all_rows(spark, tmp_path):
     assert [tuple(r) for r in entry.queries()["median_arrays_all"](spark, str(tmp_path)).collect()] == [("A", 6.0, 12.0, 0.0, 1.0)]
 
 
+def test_missing_pages_beyond_two_thousand(spark, tmp_path):
+    spark.range(1, 3001).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 3002).where("id not in (5, 2500)").selectExpr("id as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(r["page"] for r in entry.queries()["missing_pages_all"](spark, str(tmp_path)).collect()) == [5, 2500]
+
+
 def test_entry(spark, sql):
     assert entry.entry(spark).count() > 0
 
