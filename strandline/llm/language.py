@@ -8,6 +8,7 @@ text is rejected.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -23,8 +24,8 @@ from .ppm import held_out
 
 #: The bounded sample: documents of a language, bytes of each, bytes of a dictionary.
 SAMPLE, SNIPPET, DICTIONARY = 512, 512, 110 << 10
-#: Languages that are learned: those with most labelled documents.
-LANGUAGES = 256
+#: Languages whose dictionaries a task holds ready at once; more are tried group by group.
+GROUP = 256
 #: Bytes of a block, level of zstandard, and the least share of the next best size to be won.
 BLOCK, LEVEL, MARGIN = 2048, 6, 0.005
 #: Texts of fewer bytes than this are too short for a margin; they aren't rejected for a narrow one.
@@ -50,33 +51,35 @@ class Model:
     dictionaries: tuple[tuple[str, bytes], ...]
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, snippet: int = SNIPPET, dictionary: int = DICTIONARY, languages: int = LANGUAGES) -> Model:
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, snippet: int = SNIPPET, dictionary: int = DICTIONARY, languages: int | None = None) -> Model:
     """Dictionaries from the ``sample`` documents of each language whose ids hash lowest, among rows where ``train`` holds.
 
-    Only ``sample * snippet`` bytes of a language reach the driver, whatever the table's size, and of
-    the ``languages`` with most rows alone. Rows whose id, text or language is null teach nothing. Without labelled rows the model is empty.
+    All labelled languages are learned, or the ``languages`` with most rows. Only ``sample * snippet``
+    bytes of each reach the driver, whatever the table's size. Rows whose id, text or language is null teach nothing. Without labelled rows the model is empty.
     """
     rows = docs.where(train & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     named = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    counted = named.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    counts = {r["lang"]: r["count"] for r in (counted if languages is None else counted.limit(languages)).collect()}
     order = sorted(counts, key=lambda x: (-counts[x], x))
     if not order:
         return Model(())
     # Below a threshold that counts set, some four samples' worth of hashes lie, so no task gathers a language.
-    below = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 32, (4 * sample << 32) // n))])
+    spark = docs.sparkSession
+    below = spark.createDataFrame(pa.table({"lang": list(counts), "below": [min(1 << 32, (4 * sample << 32) // n) for n in counts.values()]}))
     hashed = named.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 32)))
-    found = hashed.where(F.col("h") < F.try_element_at(below, F.col("lang"))).distinct().collect()
-    chosen: list = []
-    for lang in order:
-        chosen += sorted((r for r in found if r["lang"] == lang), key=lambda r: (r["h"], r["id"]))[:sample]
-    ids = sorted({r["id"] for r in chosen})
+    found = hashed.join(below, "lang").where(F.col("h") < F.col("below")).select("id", "lang", "h").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    chosen = found.withColumn("place", place).where(F.col("place") <= sample).select("id", "lang").collect()
+    if not chosen:
+        return Model(())
+    pairs = spark.createDataFrame(pa.table({"lang": [r["lang"] for r in chosen], "id": [r["id"] for r in chosen]}))
     cut = F.substring(F.col(text_col), 1, snippet)
-    texts = rows.where(F.col(id_col).isin(ids)).groupBy(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).agg(F.min(cut).alias("text")).collect()
-    pairs = {(r["lang"], r["id"]) for r in chosen}
+    read = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), cut.alias("text"))
+    texts = read.join(pairs, ["lang", "id"], "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text")).collect()
     content: dict[str, bytes] = {}
     for r in sorted(texts, key=lambda r: (r["lang"], str(r["id"]))):
-        if (r["lang"], r["id"]) in pairs:
-            content[r["lang"]] = content.get(r["lang"], b"") + normal(r["text"])[:snippet] + b" "
+        content[r["lang"]] = content.get(r["lang"], b"") + normal(r["text"])[:snippet] + b" "
     return Model(tuple((x, content[x][-dictionary:]) for x in order if x in content))
 
 
@@ -94,28 +97,39 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", margin: float
     at = own.columns.index(text_col)
     names = [x for x, _ in model.dictionaries]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = []
-        for _, content in model.dictionaries:
+    groups = [model.dictionaries[i : i + GROUP] for i in range(0, len(names), GROUP)]
+
+    def coders(group: tuple[tuple[str, bytes], ...]) -> list:
+        out = []
+        for _, content in group:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(LEVEL)
-            coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress)
+            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = coders(groups[0]) if len(groups) == 1 else None
         for batch in batches:
-            langs, scores, long = [], [], []
-            for text in batch.column(at).to_pylist():
-                if text is None or not coders or not _letter.search(text):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    long.append(True)
-                    continue
-                text = normal(text)
-                blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
-                sizes = [sum(map(len, map(c, blocks))) for c in coders]
-                best = int(np.argmin(sizes))
-                rest = min(sizes[:best] + sizes[best + 1 :], default=0)
-                langs.append(names[best])
-                long.append(len(text) >= SHORT)
-                scores.append(1.0 - sizes[best] / rest if rest else 1.0)
+            texts = batch.column(at).to_pylist()
+            seen: list = [None] * len(texts)  # smallest size, its place, the next size, whether the text is long
+            for g, group in enumerate(groups):
+                use = ready or coders(group)
+                for i, text in enumerate(texts):
+                    if text is None or not _letter.search(text):
+                        continue
+                    text = normal(text)
+                    blocks = [text[k : k + BLOCK] for k in range(0, len(text), BLOCK)]
+                    sizes = [sum(map(len, map(c, blocks))) for c in use]
+                    best = int(np.argmin(sizes))
+                    rest = min(sizes[:best] + sizes[best + 1 :], default=math.inf)
+                    size, place, after, _ = seen[i] or (math.inf, 0, math.inf, False)
+                    if sizes[best] < size:
+                        seen[i] = (sizes[best], g * GROUP + best, min(size, rest), len(text) >= SHORT)
+                    else:
+                        seen[i] = (size, place, min(after, sizes[best]), len(text) >= SHORT)
+            langs = [UNKNOWN if x is None else names[x[1]] for x in seen]
+            scores = [0.0 if x is None else 1.0 - x[0] / x[2] for x in seen]
+            long = [x is None or x[3] for x in seen]
             cols = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([x != UNKNOWN and (s >= margin or not n) for x, s, n in zip(langs, scores, long, strict=True)])]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, *new])
 

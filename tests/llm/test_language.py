@@ -60,3 +60,18 @@ def test_sample_is_bounded(spark, rows):
     model = language.fit(frame(spark, rows * 3), F.lit(True), sample=5, snippet=100)
     assert all(len(d) <= 5 * 101 for _, d in model.dictionaries)
     assert [x for x, _ in language.fit(frame(spark, rows[:-1]), F.lit(True), languages=2).dictionaries] == ["aa", "bb"]
+
+
+def test_all_languages_are_learned(spark, monkeypatch):
+    """More than the 256 of most rows, whether a task holds all dictionaries at once or group by group."""
+    r = random.Random(5)
+    sounds = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for i in range(300)}
+    said = lambda lang, n: " ".join("".join(r.choice(sounds[lang]) for _ in range(2)) for _ in range(n))
+    few = frame(spark, [(i * 2 + k, said(lang, 40), lang) for i, lang in enumerate(sounds) for k in range(1 + (i < 270))])
+    model = language.fit(few, F.lit(True))
+    assert {x for x, _ in model.dictionaries} == set(sounds)
+    asked = frame(spark, [(i, said(lang, 30), lang) for i, lang in enumerate(sounds) if i % 15 == 14])
+    told = language.predict(asked, model).collect()
+    assert len(told) == 20 and all(x["lang"] == x["lang_pred"] and x["accepted"] for x in told)
+    monkeypatch.setattr(language, "GROUP", 1000)
+    assert sorted(map(tuple, language.predict(asked, model).collect())) == sorted(map(tuple, told))
