@@ -3,8 +3,9 @@
 Equal strings share their smallest q-gram hash, so runs of positions with one such hash are dealt by
 it and each string's copies meet in one task, though a position costs a fraction of a row. First the
 hashes alone travel, to find those of more than one document; then the bytes of their runs do, each
-distinct one once from a chunk, however many of its documents hold it. There the suffixes are put into q-gram buckets, and buckets are refined by sorting on the bucket
-identifiers of later offsets (8, 16, 32 and all bytes), each refinement reused by the next.
+distinct one once from a chunk, however many of its documents hold it. There the suffixes are put
+into q-gram buckets, and buckets are refined by sorting on the bucket identifiers of later offsets
+(8, 16, 32 and all bytes), each refinement reused by the next.
 """
 
 from __future__ import annotations
@@ -114,26 +115,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Ids are integers. A byte goes if some ``size`` bytes over it also start in a document of smaller
     id; all is judged on the input. A null text counts as empty; rows with a null id are kept whole and
-    take no part; rows that repeat an id never remove each other's bytes, and each gets a row. An
-    empty table gives no rows; other columns are ignored. Documents equal to an earlier one are told
-    by 128 bits of hash and their length, and go whole, without their strings being looked at.
+    take no part; rows that repeat an id, with one text or several, never remove each other's bytes,
+    and each gets a row. An empty table gives no rows; other columns are ignored. Documents equal to
+    an earlier one are told by 128 bits of hash and their length, and go whole, without their strings
+    being looked at.
     """
     if size < 33:
         raise ValueError("size must be 33 at least")
     chunks = chunk_count(docs, text_col, chunk_bytes)
     buckets = FINE * chunks
     doc, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
-    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int").alias("chunk")
-    texts = docs.select(chunk(doc), doc.alias("doc_id"), text.alias("text"))
+    chunk = lambda mark: F.pmod(F.xxhash64("doc_id", mark), F.lit(chunks)).cast("int").alias("chunk")
+    texts = docs.select(doc.alias("doc_id"), text.alias("text")).select(chunk(F.xxhash64("text")), "doc_id", "text")
     whole = docs.where(doc.isNotNull()).groupBy(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.octet_length(text).alias("n")).agg(F.min(doc).alias("doc_id"))
     # Those first of their text, by chunk: bounded as the chunks are.
-    firsts = whole.select(chunk(F.col("doc_id")), "doc_id").groupBy("chunk").agg(F.collect_list("doc_id").alias("firsts")).select("chunk", "firsts", F.lit(None).cast("binary").alias("data"))
+    firsts = whole.select(chunk(F.col("h1")), "doc_id").groupBy("chunk").agg(F.collect_list("doc_id").alias("firsts")).select("chunk", "firsts", F.lit(None).cast("binary").alias("data"))
 
     def own(table: pa.Table, side: pa.Table) -> tuple[list, list[bytes], np.ndarray, list[int]]:
-        """Ids, texts, and of those first of their text: their bytes one after the other, and their numbers."""
+        """Ids, texts, and of those first of their text: their bytes one after the other, and their rows.
+
+        Rows of a group come in any order, and in another one to each pass, so these are put in order here.
+        """
         known = {i for x in side["firsts"].to_pylist() if x is not None for i in x}
         ids, bodies = table["doc_id"].to_pylist(), raw(table["text"])
-        at = [i for i, d in enumerate(ids) if d in known and len(bodies[i]) >= size]
+        at = sorted((i for i, d in enumerate(ids) if d in known and len(bodies[i]) >= size), key=lambda i: (ids[i], bodies[i]))
         return ids, bodies, np.frombuffer(b"".join(bodies[i] for i in at), np.uint8), at
 
     def begins(bodies: list[bytes], at: list[int]) -> np.ndarray:
@@ -176,7 +181,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"chunk": table["chunk"].take(pa.array(some, pa.int64())), "data": pa.array([kept[i].tobytes() for i in some], pa.binary())})
 
     def found(table: pa.Table, side: pa.Table):
-        """Runs with shared hashes, and the distinct byte strings among them with their buckets, in an order fixed by the chunk."""
+        """Runs with shared hashes and their rows, and the distinct byte strings among them with their buckets, in an order that the rows alone decide."""
         ids, bodies, flat, at = own(table, side)
         begin = begins(bodies, at)
         known = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in side["data"].to_pylist() if x is not None]])
@@ -191,12 +196,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bucket = np.zeros(len(seen), np.int64)
         bucket[which] = mark % np.uint64(buckets)
         doc = np.searchsorted(begin, start, "right") - 1
-        names = np.array([ids[i] for i in at], np.int64)[doc] if at else np.zeros(0, np.int64)
-        return ids, bodies, names, start - begin[doc], number, which, list(seen), bucket
+        rows = np.array(at, np.int64)[doc]
+        names = np.array([ids[i] for i in at], np.int64)[doc]
+        return ids, bodies, rows, names, start - begin[doc], which, list(seen), bucket
 
     def send(table: pa.Table, side: pa.Table) -> pa.Table:
         """A chunk's distinct strings by bucket, with the first and the last of its documents that hold them."""
-        _, _, names, _, _, which, bodies, bucket = found(table, side)
+        _, _, _, names, _, which, bodies, bucket = found(table, side)
         cell = np.zeros(len(bodies), CELL)
         cell["index"], cell["number"] = np.arange(len(bodies)), np.fromiter(map(len, bodies), np.int64, len(bodies)) - (size - 1)
         cell["first"] = np.iinfo(np.int64).max
@@ -262,7 +268,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"chunk": pa.array(out_chunk, pa.int32()), "gone": pa.array(out, pa.binary())})
 
     def cut(table: pa.Table, side: pa.Table) -> pa.Table:
-        ids, bodies, names, start, _, which, strings, _ = found(table, side)
+        ids, bodies, rows, names, start, which, strings, _ = found(table, side)
         strings = len(strings)
         known = {i for x in side["firsts"].to_pylist() if x is not None for i in x}
         got = np.concatenate([np.zeros(0, STRETCH), *[np.frombuffer(x, STRETCH) for x in side["gone"].to_pylist() if x is not None]])
@@ -273,18 +279,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         part = got[np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         keep = part["best"] < names[row]
         row, part = row[keep], part[keep]
-        name, low, high = names[row], start[row] + part["start"], start[row] + part["start"] + part["number"] + size - 1
-        order = np.lexsort((low, name))
-        name, low, high = name[order], low[order], high[order]
-        own_names, first = np.unique(name, return_index=True)
-        ends = dict(zip(own_names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(name)], strict=True), strict=True))
+        owner, low, high = rows[row], start[row] + part["start"], start[row] + part["start"] + part["number"] + size - 1
+        order = np.lexsort((low, owner))
+        owner, low, high = owner[order], low[order], high[order]
+        owners, first = np.unique(owner, return_index=True)
+        ends = dict(zip(owners.tolist(), zip(first.tolist(), np.append(first, len(owner))[1:].tolist(), strict=True), strict=True))
         spans, kept = [], []
-        for i, body in zip(ids, bodies, strict=True):
+        for k, (i, body) in enumerate(zip(ids, bodies, strict=True)):
             own_spans: list[dict] = []
             if i is not None and i not in known:
                 own_spans = [{"start": 0, "end": len(body)}] if len(body) >= size else []
-            elif i in ends:
-                a, b = ends[i]
+            elif k in ends:
+                a, b = ends[k]
                 end = np.maximum.accumulate(high[a:b])
                 new = np.flatnonzero(np.r_[True, low[a + 1 : b] > end[:-1]])
                 own_spans = [{"start": s, "end": e} for s, e in zip(low[a:b][new].tolist(), end[np.r_[new[1:] - 1, b - a - 1]].tolist(), strict=True)]

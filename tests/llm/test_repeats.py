@@ -48,3 +48,9 @@ def test_nothing(spark, docs):
     assert result(docs([])) == []
     with pytest.raises(ValueError, match="33"):
         repeats.remove_repeats(docs([]), size=20)
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark, docs):
+    rows = [(7, prose(40, 30)), (7, prose(41, 30)), (7, prose(41, 30) + " " + prose(40, 30)), (9, prose(41, 30)), (3, prose(42, 9) + prose(41, 12)), (9, "x " + prose(40, 30) + prose(42, 20))]
+    for chunk in (1 << 20, 100):
+        assert result(docs(rows), 50, chunk) == plain(rows, 50)
