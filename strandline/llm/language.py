@@ -22,26 +22,27 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from .ppm import held_out
 
-#: The bounded sample: documents of a language, bytes of each, bytes of a dictionary.
-SAMPLE, SNIPPET, DICTIONARY = 512, 512, 110 << 10
+#: The bounded sample, all of which makes the dictionary: documents of a language, and bytes of each.
+SAMPLE, SNIPPET = 224, 512
 #: Languages whose dictionaries a task holds ready at once; more are tried group by group.
 GROUP = 256
 #: Bytes of a block, level of zstandard, and the least share of the next best size to be won.
 BLOCK, LEVEL, MARGIN = 2048, 6, 0.005
-#: Texts of fewer bytes than this are too short for a margin; they aren't rejected for a narrow one.
-SHORT = 48
 UNKNOWN = "und"
 #: ASCII but for letters becomes space: marks and figures tell no language.
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
-#: A word character that is no digit or underscore; what remains but isn't a letter is ruled out one by one.
+#: A word character that is no digit or underscore: letters, and numerals such as fractions, which has_letter() tells apart.
 _letter = re.compile(r"[^\W\d_]")
 
 
-def normal(text: str) -> bytes:
-    """Lower-cased letters and spaces."""
-    return b" ".join(text.lower().encode().translate(_LETTERS).split())
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _letter.finditer(text))
+
 
+def normal(text: str) -> bytes:
+    """Lower-cased words, each between spaces, so that a first or last word matches as a whole too."""
+    return b" ".join([b"", *text.lower().encode().translate(_LETTERS).split(), b""])
 
 
 @dataclass(frozen=True)
@@ -51,11 +52,12 @@ class Model:
     dictionaries: tuple[tuple[str, bytes], ...]
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, snippet: int = SNIPPET, dictionary: int = DICTIONARY, languages: int | None = None) -> Model:
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, snippet: int = SNIPPET, languages: int | None = None) -> Model:
     """Dictionaries from the ``sample`` documents of each language whose ids hash lowest, among rows where ``train`` holds.
 
     All labelled languages are learned, or the ``languages`` with most rows. Only ``sample * snippet``
-    bytes of each reach the driver, whatever the table's size. Rows whose id, text or language is null teach nothing. Without labelled rows the model is empty.
+    characters of each reach the driver, whatever the table's size, and all of them are used. Rows
+    whose id, text or language is null teach nothing. Without labelled rows the model is empty.
     """
     rows = docs.where(train & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     named = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
@@ -79,17 +81,18 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     texts = read.join(pairs, ["lang", "id"], "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text")).collect()
     content: dict[str, bytes] = {}
     for r in sorted(texts, key=lambda r: (r["lang"], str(r["id"]))):
-        content[r["lang"]] = content.get(r["lang"], b"") + normal(r["text"])[:snippet] + b" "
-    return Model(tuple((x, content[x][-dictionary:]) for x in order if x in content))
+        content[r["lang"]] = content.get(r["lang"], b"") + normal(r["text"])
+    return Model(tuple((x, content[x]) for x in order if x in content))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """All columns of ``docs`` with lang_pred, score and accepted appended.
 
     score is the share of the second smallest size that the smallest saves, 0 to 1; accepted says
-    that it reaches ``margin``, or that the text is too short for one. A null text, one without a
-    letter, or an empty model gives ``und``, 0 and false. With one language, score is 1. Equal sizes go to the language of more training
-    documents. Repeated rows are alike; columns of docs that are named as the new ones are replaced.
+    that it reaches ``margin``, whatever the text's length. A null text, one without a letter, or an
+    empty model gives ``und``, 0 and false. With one language, score is 1. Equal sizes go to the
+    language of more training documents. Repeated rows are alike; columns of docs that are named as
+    the new ones are replaced.
     """
     new = ("lang_pred", "score", "accepted")
     own = docs.select(*[c for c in docs.columns if c not in new])
@@ -111,26 +114,25 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", margin: float
         ready = coders(groups[0]) if len(groups) == 1 else None
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            seen: list = [None] * len(texts)  # smallest size, its place, the next size, whether the text is long
+            seen: list = [None] * len(texts)  # smallest size, its place, the next size
             for g, group in enumerate(groups):
                 use = ready or coders(group)
                 for i, text in enumerate(texts):
-                    if text is None or not _letter.search(text):
+                    if text is None or not has_letter(text):
                         continue
                     text = normal(text)
                     blocks = [text[k : k + BLOCK] for k in range(0, len(text), BLOCK)]
                     sizes = [sum(map(len, map(c, blocks))) for c in use]
                     best = int(np.argmin(sizes))
                     rest = min(sizes[:best] + sizes[best + 1 :], default=math.inf)
-                    size, place, after, _ = seen[i] or (math.inf, 0, math.inf, False)
+                    size, place, after = seen[i] or (math.inf, 0, math.inf)
                     if sizes[best] < size:
-                        seen[i] = (sizes[best], g * GROUP + best, min(size, rest), len(text) >= SHORT)
+                        seen[i] = (sizes[best], g * GROUP + best, min(size, rest))
                     else:
-                        seen[i] = (size, place, min(after, sizes[best]), len(text) >= SHORT)
+                        seen[i] = (size, place, min(after, sizes[best]))
             langs = [UNKNOWN if x is None else names[x[1]] for x in seen]
             scores = [0.0 if x is None else 1.0 - x[0] / x[2] for x in seen]
-            long = [x is None or x[3] for x in seen]
-            cols = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([x != UNKNOWN and (s >= margin or not n) for x, s, n in zip(langs, scores, long, strict=True)])]
+            cols = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([x != UNKNOWN and s >= margin for x, s in zip(langs, scores, strict=True)])]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, *new])
 
     return own.mapInArrow(run, schema)
