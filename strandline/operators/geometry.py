@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numerals import let
+
 # Padding of crops and tolerances, as shares of the pitch.
 CONTEXTS = {"tight": 0.0, "medium": 0.35, "full": 0.75}
 TOLERANCE = 0.12
@@ -49,8 +51,8 @@ def fit_comb(right: Column, pitch: Column, gutters: Column, share: float = TOLER
         return F.size(F.filter(gutters, lambda g: F.least(off(g), pitch - off(g)) <= pitch * share))
 
     scored = F.transform(phases, lambda p, i: F.struct(hits(p).alias("hits"), (-i).alias("i"), p.alias("phase")))
-    best = F.array_max(scored)
-    return F.when(pitch > 0, F.struct(best["phase"].alias("phase"), best["hits"].alias("hits"))).otherwise(F.struct(right.alias("phase"), F.lit(0).alias("hits")))
+    best = let(F.array_max(scored), lambda b: F.struct(b["phase"].alias("phase"), b["hits"].alias("hits")))
+    return F.when(pitch > 0, best).otherwise(F.struct(right.alias("phase"), F.lit(0).alias("hits")))
 
 
 def entry_boundaries(left: Column, right: Column, pitch: Column, gutters: Column, offset: Column | None = None, snapping: bool = True, share: float = TOLERANCE) -> Column:
@@ -60,13 +62,19 @@ def entry_boundaries(left: Column, right: Column, pitch: Column, gutters: Column
     a tolerance at both. Teeth are whole pitches apart; each is snapped by itself.
     """
     tolerance = pitch * share
-    phase = fit_comb(right, pitch, gutters, share)["phase"] + (F.lit(0.0) if offset is None else offset)
-    lift = F.greatest(F.ceil((right - tolerance - phase) / pitch), F.lit(0))
-    start = phase + lift * pitch
-    count = F.greatest(F.ceil((start - (left - tolerance)) / pitch), F.lit(0)).cast("int")
-    teeth = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: start - i * pitch)).otherwise(F.array().cast("array<double>"))
     place = lambda x: snap(x, gutters, tolerance) if snapping else F.struct(x.alias("x"), F.lit(False).alias("snapped"))
-    return F.when(pitch > 0, F.transform(teeth, place)).otherwise(F.array().cast("array<struct<x:double,snapped:boolean>>"))
+    nothing = F.array().cast("array<struct<x:double,snapped:boolean>>")
+
+    def teeth(start: Column) -> Column:
+        count = F.greatest(F.ceil((start - (left - tolerance)) / pitch), F.lit(0)).cast("int")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: place(start - i * pitch))).otherwise(nothing)
+
+    def lifted(phase: Column) -> Column:
+        return phase + F.greatest(F.ceil((right - tolerance - phase) / pitch), F.lit(0)) * pitch
+
+    # The scan over phases is worked out once a row, and the first tooth from it once.
+    phase = fit_comb(right, pitch, gutters, share)["phase"] + (F.lit(0.0) if offset is None else offset)
+    return F.when(pitch > 0, let(let(phase, lifted), teeth)).otherwise(nothing)
 
 
 def anchored_offset(left: Column, right: Column, pitch: Column, gutters: Column, offset: Column, anchor: Column) -> Column:

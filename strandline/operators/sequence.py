@@ -1,7 +1,8 @@
 """Numbered entries in reading order: what is unread, out of band, repeated, missing or backwards.
 
 Findings are recorded, never repaired. Runs are as long as a book, so a row's predecessor is found
-within its page, and across pages among the pages' last values alone: no task holds a whole band.
+within its page, else among the last values of the stretch of pages it is in, else among those of
+stretches: no task holds a whole band.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from ..profile import FALLBACK_LABELS
 KINDS = ("unparsed", "band_mismatch", "duplicate", "non_monotonic", "gap")
 #: The kinds that a rerun replaces.
 CLEARED = KINDS
+#: Pages, or numbers, that a window holds at most; of a band longer than that, one row for each so many.
+STRETCH = 4096
 COLUMNS = ("band", "kind", "page", "entry", "ordinal", "observed", "expected", "detail")
 
 
@@ -36,12 +39,20 @@ def with_ids(obs: DataFrame, labels: tuple[str, ...] = FALLBACK_LABELS) -> DataF
     return rows.withColumn("reason", id_reason(F.col("_numeral"), F.col("value"))).drop("_numeral", "_ascii")
 
 
+def carried(ends: DataFrame) -> DataFrame:
+    """(band, page, carried): the ``end`` of the page before in the band, by stretches of pages."""
+    cut = ends.withColumn("_s", F.floor(F.col("page") / STRETCH))
+    last = cut.groupBy("band", "_s").agg(F.max_by("end", "page").alias("_last"))
+    over = last.select("band", "_s", F.lag("_last").over(Window.partitionBy("band").orderBy("_s")).alias("_over"))
+    within = cut.withColumn("_in", F.lag(F.struct("end")).over(Window.partitionBy("band", "_s").orderBy("page")))
+    return within.join(over, ["band", "_s"]).select("band", "page", F.when(F.col("_in").isNull(), F.col("_over")).otherwise(F.col("_in.end")).alias("carried"))
+
+
 def steps(read: DataFrame) -> DataFrame:
-    """Read rows with ``value`` and that of the row before in the band (``before``), rows ordered by page, entry, ordinal."""
+    """Read rows with ``value`` and that of the row before in the band (``before``), rows ordered by page, entry, ordinal. Pages are numbers."""
     place = F.struct("entry", "ordinal")
     in_page = Window.partitionBy("band", "page").orderBy("entry", "ordinal")
-    ends = read.groupBy("band", "page").agg(F.max_by("value", place).alias("end"))
-    pages = ends.withColumn("carried", F.lag("end").over(Window.partitionBy("band").orderBy("page"))).drop("end")
+    pages = carried(read.groupBy("band", "page").agg(F.max_by("value", place).alias("end")))
     inner = read.withColumn("_inner", F.lag("value").over(in_page)).withColumn("_at", F.row_number().over(in_page))
     joined = inner.join(pages, ["band", "page"])
     return joined.withColumn("before", F.when(F.col("_at") == 1, F.col("carried")).otherwise(F.col("_inner"))).drop("_inner", "_at", "carried")
@@ -108,27 +119,47 @@ def totals(bands: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def core_run(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, low, high, n, values kept): the run without strays.
+    """(keys, value): the run of whole numbers without strays.
 
     Fewer than eight distinct values are all kept; else those between the 1st (a rank lower) and the
     99th per cent by rank, widened on both sides by half their distance, at least 1. Ranks are cut,
-    not rounded. Ids of a band stay below 10,000, so a band's window is small whatever the table.
+    not rounded. Values are counted by stretches of numbers, and ranked within the stretch that holds
+    the rank alone. Null values are left out; null keys are a run.
     """
     distinct = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.lit(1).alias("_"))
-    w = Window.partitionBy(*keys)
-    ranked = distinct.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    low = F.max(F.when(F.col("_r") == F.greatest(F.floor(F.col("_n") * 0.01) - 1, F.lit(0)), F.col(value))).over(w)
-    high = F.max(F.when(F.col("_r") == F.least(F.floor(F.col("_n") * 0.99), F.col("_n") - 1), F.col(value))).over(w)
+    distinct = distinct.withColumn("_s", F.floor(F.col(value) / STRETCH))
+    of_key = Window.partitionBy(*keys)
+    per = distinct.groupBy(*keys, "_s").agg(F.count("*").alias("_c"))
+    per = per.withColumn("_upto", F.sum("_c").over(of_key.orderBy("_s"))).withColumn("_n", F.sum("_c").over(of_key))
+    low = F.greatest(F.floor(F.col("_n") * 0.01) - 1, F.lit(0))
+    high = F.least(F.floor(F.col("_n") * 0.99), F.col("_n") - 1)
+    per = per.select(*keys, "_s", "_n", *[(r - F.col("_upto") + F.col("_c")).alias(c) for c, r in (("_rl", low), ("_rh", high))], "_c")
+    held = per.where(((F.col("_rl") >= 0) & (F.col("_rl") < F.col("_c"))) | ((F.col("_rh") >= 0) & (F.col("_rh") < F.col("_c"))))
+    ranked = _beside(distinct, held, [*keys, "_s"]).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(value)) - 1)
+    bounds = ranked.groupBy(*keys).agg(F.max(F.when(F.col("_r") == F.col("_rl"), F.col(value))).alias("_lo"), F.max(F.when(F.col("_r") == F.col("_rh"), F.col(value))).alias("_hi"), F.max("_n").alias("_n"))
     pad = F.greatest(F.lit(1), F.floor((F.col("_hi") - F.col("_lo")) / 2))
-    kept = ranked.withColumn("_lo", low).withColumn("_hi", high).where((F.col("_n") < 8) | F.col(value).between(F.col("_lo") - pad, F.col("_hi") + pad))
+    kept = _beside(distinct, bounds, keys).where((F.col("_n") < 8) | F.col(value).between(F.col("_lo") - pad, F.col("_hi") + pad))
     return kept.select(*keys, value)
 
 
+def _beside(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` with the columns of ``other`` that share their keys, null keys alike."""
+    right, same = other.select(*[F.col(c).alias(f"_{c}_of") if c in keys else F.col(c) for c in other.columns]), F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}_of"))
+    return df.join(right, same).drop(*[f"_{k}_of" for k in keys])
+
+
 def missing_in_run(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value): numbers within the core run that nobody carries."""
+    """(keys, value): numbers within the core run that nobody carries. A span is dealt by stretches before it is written out."""
     core = core_run(values, keys, value)
     span = core.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
-    return span.select(*keys, F.explode(F.sequence("_a", "_b")).alias(value)).join(core, [*keys, value], "left_anti")
+    cut = span.select("*", F.explode(F.sequence(F.floor(F.col("_a") / STRETCH), F.floor(F.col("_b") / STRETCH))).alias("_s")).repartition(*keys, "_s")
+    first, last = F.greatest(F.col("_a"), F.col("_s") * STRETCH), F.least(F.col("_b"), F.col("_s") * STRETCH + STRETCH - 1)
+    every = cut.select(*keys, F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("_v"))
+    every = every.select(*keys, F.col("_v").cast(core.schema[value].dataType).alias(value))
+    gone = every.withColumn("_mark", F.lit(0)).unionByName(core.withColumn("_mark", F.lit(1))).groupBy(*keys, value).agg(F.max("_mark").alias("_mark"))
+    return gone.where("_mark = 0").drop("_mark")
 
 
 def missing_pages(pages: DataFrame, page: str, expected: int) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 #: Columns by table. A name with a question mark may be null.
@@ -36,9 +38,15 @@ VERSION = 6
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``; only where that is unset (tests) a local one is chosen."""
+    """A new folder's path below ``spark.checkpoint.dir``.
+
+    Where that is unset, a session whose executors are this very process gets a local folder; on a
+    cluster no folder of one machine will do, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -54,21 +62,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
 class Store:
     """A folder of Parquet tables, each replaced as a whole: a new version is written, then named as the current one.
 
+    Versions are numbered by files ``CURRENT-<number>``, of which the highest counts. Each is put
+    under its name by one rename, and none is taken away before: a reader, or a writer that stops
+    half-way, always leaves the rows that were there. Of two writers at once the second fails.
     Readers hold the version they opened; writers of one document replace its partition's rows.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.path}/{table}/CURRENT"
+    def _hadoop(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _pointers(self, table: str) -> list[tuple[int, str]]:
+        folder, fs = self._hadoop(f"{self.path}/{table}")
+        if not fs.exists(folder):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(folder)]
+        return sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"CURRENT-(\d+)", n)))
 
     def _version(self, table: str) -> str | None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self._pointer(table))
-        if not p.getFileSystem(conf).exists(p):
-            return None
-        return self.spark.read.text(self._pointer(table)).first()[0]
+        found = self._pointers(table)
+        return self.spark.read.text(f"{self.path}/{table}/{found[-1][1]}").first()[0] if found else None
 
     def read(self, table: str) -> DataFrame:
         """The current rows; none yet gives an empty table of the schema. Columns of older versions are filled with null."""
@@ -79,20 +95,23 @@ class Store:
         return empty.unionByName(self.spark.read.parquet(f"{self.path}/{table}/{version}"), allowMissingColumns=True)
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
+        version, found = uuid.uuid4().hex, self._pointers(table)
         rows.select(*self.spark.createDataFrame([], TABLES[table]).columns).write.parquet(f"{self.path}/{table}/{version}")
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        part, to = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{self._pointer(table)}.{version}", self._pointer(table)))
-        fs = to.getFileSystem(conf)
+        self._name(table, version, found[-1][0] + 1 if found else 1)
+
+    def _name(self, table: str, version: str, number: int) -> None:
+        """Makes a written version the current one."""
+        part, fs = self._hadoop(f"{self.path}/{table}/.{version}")
+        to, _ = self._hadoop(f"{self.path}/{table}/CURRENT-{number:09d}")
         out = fs.create(part, True)
         out.write(bytearray(version.encode()))
         out.close()
-        fs.delete(to, False)
-        fs.rename(part, to)
+        if fs.exists(to) or not fs.rename(part, to):
+            raise RuntimeError(f"another writer replaced {table} at the same time")
+        for _, name in self._pointers(table)[:-2]:  # the one before stays for readers that have just listed it
+            fs.delete(self._hadoop(f"{self.path}/{table}/{name}")[0], False)
 
     def replace_document(self, table: str, rows: DataFrame, document_id: str) -> None:
         """One document's rows are these from now on."""
-        from pyspark.sql import functions as F
-
         kept = self.read(table).where(~F.col("document_id").eqNullSafe(document_id))
         self.replace(table, kept.unionByName(rows.select(*kept.columns)))

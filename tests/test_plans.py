@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from strandline.plans import driver, graph
 from strandline.profile import Profile
 from strandline.sources import readers, writers
-from strandline.store import TABLES, Store
+from strandline.store import TABLES, Store, shared_dir
 from strandline.streaming import events
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -169,6 +169,47 @@ def test_store_versions(spark, store, tmp_path):
     assert len(TABLES) == 21
 
 
+def test_replacement_that_stops_half_way(spark, store, tmp_path, monkeypatch):
+    """Wherever a writer stops, the rows of before are read; the next writer goes on from there."""
+    s = Store(spark, f"file://{tmp_path}")
+    fill(spark, s, "pages", [{"document_id": "a", "page_index": 1}])
+    held = s.read("pages")
+    rows = held.withColumn("page_index", F.lit(2))
+    look = lambda: [(r["document_id"], r["page_index"]) for r in s.read("pages").collect()]
+
+    def stop(*a):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:  # the version is written, not named
+        m.setattr(Store, "_name", stop)
+        with pytest.raises(KeyboardInterrupt):
+            s.replace("pages", rows)
+    assert look() == [("a", 1)]
+    with monkeypatch.context() as m:  # another writer was first
+        m.setattr(Store, "_pointers", lambda *a: [])
+        with pytest.raises(RuntimeError, match="another writer"):
+            s.replace("pages", rows)
+    assert look() == [("a", 1)]
+    for n in range(2, 6):
+        s.replace("pages", held.withColumn("page_index", F.lit(n)))
+        assert look() == [("a", n)]
+    assert [r["page_index"] for r in held.collect()] == [1]  # a reader keeps the version it opened
+
+
+def test_folder_is_shared(spark):
+    from types import SimpleNamespace
+
+    def session(master, folder):
+        conf = SimpleNamespace(get=lambda k, d=None: folder, set=lambda k, v: None)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert shared_dir(session("spark://host:7077", "hdfs://x/y/"), "t").startswith("hdfs://x/y/t-")
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master, None), "t")
+    assert shared_dir(session("local[4]", None), "t").startswith("file:///")
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "gold.tsv").write_text("# note\n\n1\t富\t0\t 富一 \n1\t富\t0\t富二\n1\t?\t0\tx\n1\t富\n2\t教\t3\t教五\textra\n")
     rows = readers.read_gold(spark, f"file://{tmp_path}/gold.tsv", {"富": 1, "教": 2})
