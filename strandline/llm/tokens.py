@@ -48,6 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
         self.tokenizer.encode_special_tokens = True
         self.mark_up, self.split_at = (spaced_words, "\x1f") if spaced else (bare_words, " ")
         self.between = "\n" if spaced else " \x01 "

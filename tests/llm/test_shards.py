@@ -1,3 +1,6 @@
+import os
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +49,67 @@ def test_round_trip(spark, docs, odd_rows, monkeypatch):
     assert sorted((r["doc_id"] is None, r["record"]) for r in shards.read_ids(asked, folder).collect()) == sorted((r["doc_id"] is None, r["record"]) for r in rows if r["doc_id"] in (10, None))
     one = rows[3]
     assert shards.Shard(folder, one["shard"]).ids(one["record"]).tolist() == want[3]
+    for key in (10, None, 9, 777):
+        assert [x.tolist() for x in shards.lookup(folder, key)] == [w for r, w in zip(rows, want, strict=True) if r["doc_id"] == key]
+
+
+def test_keyed_access_over_buckets(spark, docs, monkeypatch):
+    monkeypatch.setattr(shards, "BUCKET", 40)
+    folder = shared_dir(spark, "ids")
+    shards.write_ids(docs([(i * 3, f"t {i}") for i in range(400)]), folder)
+    plain = {i * 3: x for i, x in enumerate(encoder("word_bpe_49k.json").many([f"t {i}" for i in range(400)]))}
+    for key in range(0, 1200, 17):
+        assert [x.astype("<u4").tobytes() for x in shards.lookup(folder, key)] == ([plain[key] + b"\1\0\0\0"] if key in plain else [])
+
+
+def test_width_of_ids(spark, docs):
+    folder = shared_dir(spark, "ids")
+    shards.write_ids(docs([(1, "some words")]), folder)
+    assert shards.Shard(folder, 0).width == 2
+    wide = shared_dir(spark, "ids")
+    shards.write_ids(docs([(1, "some words")]), wide, end=70_000)
+    assert shards.Shard(wide, 0).width == 4 and shards.Shard(wide, 0).ids(0)[-1] == 70_000
+    with pytest.raises(Exception, match="70000 doesn't fit"):
+        shards.write_ids(docs([(1, "some words")]), shared_dir(spark, "ids"), end=70_000, width=2)
+
+
+def digest(rows):
+    """What the query should return, from the rows alone."""
+    order, out, start = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())), [], 0
+    for (i, _), x in zip(order, encoder("word_bpe_49k.json").many([t or "" for _, t in order]), strict=True):
+        x += b"\1\0\0\0"
+        out.append((i, start, len(x) // 4, zlib.crc32(x)))
+        start += len(x) // 4
+    return sorted(map(repr, out))
+
+
+def test_the_query_itself_and_missing_files(spark, docs, odd_rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "SHARD", 20_000)
+    path, write = str(tmp_path), shards.write_ids
+    docs(odd_rows).write.parquet(f"{path}/documents.parquet")
+    assert sorted(repr(tuple(r)) for r in shards.op3_mph_shards(spark, path).collect()) == digest(odd_rows)
+
+    def spoiled(spoil):
+        def run(docs, folder):
+            write(docs, folder)
+            spoil(folder.removeprefix("file://"))
+
+        monkeypatch.setattr(shards, "write_ids", run)
+        return lambda: shards.op3_mph_shards(spark, path).collect()
+
+    def cut(at):
+        os.truncate(f"{at}/shard-000001.ids", os.path.getsize(f"{at}/shard-000001.ids") - 8)
+
+    for spoil in (lambda at: os.remove(f"{at}/shard-000001.ids"), lambda at: os.remove(f"{at}/index-000000.mph"), lambda at: os.remove(f"{at}/index.json"), cut):
+        with pytest.raises(Exception):  # noqa: B017
+            spoiled(spoil)()
+
+    def lost(docs, folder):  # a row that no file holds
+        write(docs.where("doc_id <> 9"), folder)
+
+    monkeypatch.setattr(shards, "write_ids", lost)
+    with pytest.raises(RuntimeError, match="records of"):
+        shards.op3_mph_shards(spark, path)
 
 
 def test_wide_ids_and_empty(spark, docs):
