@@ -18,7 +18,7 @@ WORDS, LONGEST = 1_000_000, 64
 #: New words encoded in one call: the library holds some hundred bytes for each of their tokens.
 CALL = 8192
 #: Bytes of text encoded at once.
-GROUP = 4 << 20
+GROUP = 6 << 20
 
 _loaded: dict[str, Encoder] = {}
 _double = re.compile(r"\s\s")
@@ -95,13 +95,14 @@ class Encoder:
             return [self._alone(t).tobytes() if "\x1f" in t else next(rest) for t in texts]
         marked = pa.array([self.mark_up(t) for t in texts], pa.binary() if self.mark_up is bare_words else pa.string())
         lists = pc.split_pattern(marked, self.split_at)
-        coded = lists.flatten().dictionary_encode()
+        coded, at = lists.flatten().dictionary_encode(), np.asarray(lists.offsets)
+        del marked, lists
         words = coded.dictionary.to_pylist()
         ids = list(map(self.known.get, words))
         new = self._learn({w for w, x in zip(words, ids, strict=True) if x is None}) if None in ids else {}
         payload = pa.array([new[w] if x is None else x for w, x in zip(words, ids, strict=True)], pa.binary()).take(coded.indices)
         _, offsets, data = payload.buffers()
-        ends = np.frombuffer(offsets, np.int32)[np.asarray(lists.offsets)].tolist() if len(payload) else [0] * (len(texts) + 1)
+        ends = np.frombuffer(offsets, np.int32)[at].tolist() if len(payload) else [0] * (len(texts) + 1)
         whole = data.to_pybytes() if data else b""
         return [whole[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 

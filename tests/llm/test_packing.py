@@ -1,10 +1,11 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm.packing import Packer, pack_documents
+from strandline.llm.packing import CUT, Packer, op6_sum_of_squares, pack_documents
 from strandline.llm.tokens import encoder
 
 
@@ -52,11 +53,10 @@ def test_levels_and_order(window):
         rest = len(ids) // 4 % window
         if rest:
             assert p.level(rest) == best_level(p.count.tolist(), rest, window)
-        p.add(doc, ids)
+        p.add(doc, 0, ids, len(ids) // 4)
         assert p.count.tolist() == [len(x) for x in p.open]
-    p.finish()
     pieces = []
-    for n, parts in enumerate(p.closed):
+    for n, parts in enumerate(p.closed + p.cut()):
         at = 0
         for doc, start, ids, total in parts:
             pieces.append((doc, start, len(ids) // 4, ids, total, n, at))
@@ -76,3 +76,28 @@ def test_documents(spark, docs, odd_rows):
 def test_repeated_rows_are_each_packed(spark, docs):
     got = pack_documents(docs([(1, "a b")] * 4)).collect()
     assert sum(r["length"] for r in got) == 4 * 3 and len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+
+
+def test_what_tasks_leave_open_meets_before_the_cut(spark, docs):
+    """Over many small tasks the rule, not the cut, still fills most windows."""
+    from invented_prose import prose
+
+    r = random.Random(8)
+    rows = [(i, prose(i % 50, r.choice([5, 20, 40, 90, 200, 350]))) for i in range(1500)]
+    got = pack_documents(docs(rows).repartition(16)).collect()
+    check([tuple(x) for x in got], {i: x + b"\0\0\0\0" for (i, _), x in zip(rows, encoder("byte_bpe_50k.json").many([t for _, t in rows]), strict=True)}, 1024)
+    windows = {x["sequence_id"] for x in got}
+    assert len([w for w in windows if w & CUT]) < len(windows) / 4
+
+
+def test_the_query_itself(spark, docs, odd_rows, tmp_path):
+    path = str(tmp_path)
+    rows = [(n, t) for n, (_, t) in enumerate(odd_rows)]
+    docs(rows).write.parquet(f"{path}/documents.parquet")
+    ids = {i: x + b"\0\0\0\0" for (i, _), x in zip(rows, encoder("byte_bpe_50k.json").many([t or "" for _, t in rows]), strict=True)}
+    pieces = []
+    for x in op6_sum_of_squares(spark, path).collect():
+        own = ids[x["doc_id"]][4 * x["start"] : 4 * (x["start"] + x["length"])]
+        assert zlib.crc32(own) == x["ids_crc32"]
+        pieces.append((x["doc_id"], x["start"], x["length"], own, x["doc_tokens"], x["sequence_id"], x["offset"]))
+    check(pieces, ids, 1024)
