@@ -7,8 +7,11 @@ symbols which a longer context knows are excluded below it. The byte 0xFF, which
 pads the front and ends each text.
 
 Every count covers all training documents. Texts are dealt into chunks of bounded size; each chunk
-sends its distinct strings once, they are summed and scored by subtrie, and each chunk gets back
-the code lengths of its own strings alone, so nothing is broadcast that grows with the corpus.
+sends its distinct strings once, in compressed blocks, a block for each share of the trie. A share
+sums them, works out the code lengths, and gives each chunk those of its own strings back. Shares
+are groups of two-byte contexts, each split by the byte before them; what all shares of a group need
+of the shorter contexts travels with the blocks, and the pairs of bytes, 65,536 at most whatever the
+corpus, are counted first and are all that is broadcast.
 """
 
 from __future__ import annotations
@@ -18,22 +21,22 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, chunk_count, chunked, raw, summed, trim
+from .common import HashTable, chunk_count, chunked, mix64, raw, summed, trim
 
-#: Bytes of a context; a string of order + 1 bytes must stay below 2^55.
+#: Bytes of a context; a string of order + 1 bytes must stay below 2^63, where words begin.
 ORDER = 5
+#: Shares into which a group of two-byte contexts is split, and groups at most.
+SPLIT, GROUPS = 8, 1 << 16
 #: Bytes of text in a chunk.
 CHUNK = 16 << 20
 #: Positions handled at once.
 WINDOW = 1 << 18
 END = b"\n"  # no word holds white space, so this names the end token
 ALPHABET = 256
-#: Reserved keys, by which each chunk hears the numbers of training tokens and of distinct ones.
-TOKENS, VOCABULARY = -1, -2
-
 
 def word_key(word: bytes) -> int:
     """Words get negative keys, strings of bytes non-negative ones."""
@@ -123,6 +126,50 @@ def log_probabilities(queries: np.ndarray, tables: dict[int, tuple[np.ndarray, n
     return out
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers of 64 bits, byte by byte of equal weight, compressed: each comes back bit for bit."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack(data: bytes, kind=np.uint64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(kind)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, by their differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+def share_of(keys: np.ndarray, groups: int, split: int) -> np.ndarray:
+    """The share of strings: by the two bytes before the symbol, and by the one before these."""
+    group = mix64(keys >> np.uint64(8) & np.uint64(0xFFFF)) % np.uint64(groups)
+    third = mix64(keys >> np.uint64(24) & np.uint64(0xFF)) % np.uint64(split)
+    return (group * np.uint64(split) + third).astype(np.int64)
+
+
+def count_pairs(docs: DataFrame, text: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of bytes over all texts, ends included, ascending, with their counts: 65,536 at most reach the driver."""
+
+    def run(batches):
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            flat = np.frombuffer(b"\xff" + b"".join(t + b"\xff" for t in raw(batch.column(0))), np.uint8)
+            for at in range(0, len(flat) - 1, 1 << 20):
+                part = flat[at : at + (1 << 20) + 1].astype(np.uint16)
+                total += np.bincount(part[:-1] << 8 | part[1:], minlength=1 << 16)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
+
+    rows = docs.select(F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    found = sorted((r["pair"], r["n"]) for r in rows)
+    return np.array([p for p, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK) -> DataFrame:
     """One row per row of ``docs``: doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -130,56 +177,80 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     score is the model's log10 probability of the text and its end; base_score that of its words
     under a unigram model smoothed by 0.1. A null text counts as empty, a null id is kept; repeated
     rows each count and each get a row; other columns are ignored; an empty table gives no rows. If
-    no row is for training, every symbol has probability 1/256 and c, N and V are 0.
+    no row is for training, every symbol has probability 1/256 and c, N and V are 0. ``order`` is 2 to 6.
     """
+    if not 2 <= order <= 6:
+        raise ValueError("order must be from 2 to 6")
     chunks = chunk_count(docs, text_col, chunk_bytes)
-    texts = chunked(docs, id_col, text_col, chunks, train=F.coalesce(train, F.lit(False)))
+    learns = F.coalesce(train, F.lit(False))
+    texts = chunked(docs, id_col, text_col, chunks, train=learns)
     id_type = texts.schema["doc_id"].dataType.simpleString()
+    pairs = docs.sparkSession.sparkContext.broadcast(count_pairs(docs.where(learns), F.col(text_col)))
+    # Without a third byte before the symbol a group is one share.
+    split = SPLIT if order > 2 else 1
+    groups = min(GROUPS, max(2, 2 * chunks // split))
+    shares, word_shares = groups * split, max(1, groups // 4)
 
     def count(table: pa.Table) -> pa.Table:
+        """A chunk's distinct strings and words by share, with their training counts, and the group's counts of order 2."""
         number = table["chunk"][0].as_py()
         keys, n = _count(table["train"].to_pylist(), raw(table["text"]), order)
         trim()
-        return pa.table({"chunk": pa.array(np.full(len(keys), number, np.int32)), "key": keys, "n": n})
-
-    # Dealt by key once: the sums and the way back to the chunks read this one exchange, so each use takes all its
-    # columns and filters on aggregates, which aren't pushed below it; with fewer partitions than the session's the join
-    # would deal anew. A key has a row per chunk at most.
-    sent = texts.groupBy("chunk").applyInArrow(count, "chunk int not null, key long not null, n long not null").repartition(max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key")
-    sums = sent.groupBy("key").agg(F.sum("n").alias("n"), F.max("key").alias("kind"), F.max("chunk").alias("any"))
-    words, strings = sums.where("kind < 0 and any >= 0"), sums.where("kind >= 0 and any >= 0")
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("vocabulary"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
-    size = size.select(every, "*").select("chunk", F.explode(F.create_map(F.lit(TOKENS), "tokens", F.lit(VOCABULARY), "vocabulary")).alias("key", "n"))
-
-    subtrie = F.shiftright("key", 8).bitwiseAND(0xFFFF)
-    shares = min(1 << 16, max(8, 2 * chunks))
-    trie = strings.select(F.pmod(F.xxhash64(subtrie), F.lit(shares)).cast("int").alias("share"), "key", "n")
-    # Orders 0 and 1 are shared by all subtries: 65,536 pairs at most.
-    pairs = strings.where("n > 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n"))
-    pairs = pairs.agg(F.collect_list("pair").alias("pair"), F.collect_list("n").alias("n")).select(F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "*")
-
-    def weigh(own: pa.Table, top: pa.Table) -> pa.Table:
-        keys, n = own["key"].to_numpy().astype(np.uint64), own["n"].to_numpy()
-        if not len(keys):  # a share of no subtrie
-            return pa.table({"key": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
-        row = top.slice(0, 1).to_pylist()[0]  # without training rows both lists are empty
-        one = summed(np.array(row["pair"], np.uint64), np.array(row["n"], np.int64))
-        tables = {order: summed(keys[n > 0], n[n > 0]), 1: one, 0: _lower(*one, 0)}
-        for k in range(order - 1, 1, -1):
-            tables[k] = _lower(*tables[k + 1], k)
-        # 24 bits of a logarithm are plenty, and the rest of the double, being zero, packs away on the way back.
-        return pa.table({"key": keys.astype(np.int64), "value": log_probabilities(keys, tables, order).astype(np.float32).astype(float)})
-
-    weights = trie.groupBy("share").cogroup(pairs.groupBy("share")).applyInArrow(weigh, "key long not null, value double")
-    values = weights.unionByName(words.select("key", F.col("n").cast("double").alias("value")))
-    back = sent.join(values, "key").select("chunk", "key", F.when(F.col("n") >= 0, F.col("value")).alias("value"))
-    back = back.unionByName(size.select("chunk", "key", F.col("n").cast("double").alias("value")))
+        words = keys < 0
+        strings, held = keys[~words].view(np.uint64), n[~words]
+        low, low_n = _lower(strings[held > 0], held[held > 0], 2)
+        blank = pack(np.zeros(0, np.uint64))
+        lower: dict[int, tuple[bytes, bytes]] = {}
+        if split > 1:
+            of = share_of(low, groups, split) // split
+            order_of = np.argsort(of, kind="stable")
+            cut = np.searchsorted(of[order_of], np.arange(groups + 1))
+            for g in np.unique(of).tolist():
+                own = order_of[cut[g] : cut[g + 1]]
+                lower[g] = pack_keys(low[own]), pack(low_n[own])
+        out: list[list] = [[] for _ in range(5)]
+        for kind, own_keys, own_n, of, first, last in ((0, strings, held, share_of(strings, groups, split), 0, shares), (1, keys[words].view(np.uint64), n[words], None, shares, shares + word_shares)):
+            of = (mix64(own_keys) % np.uint64(word_shares)).astype(np.int64) + shares if kind else of
+            order_of = np.argsort(of.astype(np.uint16) if last <= 1 << 16 else of, kind="stable")
+            cut = np.searchsorted(of[order_of], np.arange(first, last + 1))
+            for share in range(first, last):
+                own = order_of[cut[share - first] : cut[share - first + 1]]
+                below = lower.get(share // split) if not kind else None
+                # Each share of words hears from every chunk, and tells it how many it knows.
+                if len(own) or below or kind:
+                    for c, x in zip(out, (share, pack_keys(own_keys[own]), pack(own_n[own]), *(below or (blank, blank))), strict=True):
+                        c.append(x)
+        trim()
+        return pa.table({"share": pa.array(out[0], pa.int32()), "chunk": pa.array([number] * len(out[0]), pa.int32()), **{name: pa.array(x, pa.binary()) for name, x in zip(("keys", "n", "low", "low_n"), out[1:], strict=True)}})
+
+    def weigh(table: pa.Table) -> pa.Table:
+        """Back to each chunk: the logarithms of its strings, or the counts of its words with this share's numbers of tokens and words."""
+        share = table["share"][0].as_py()
+        blocks = [unpack_keys(x) for x in table["keys"].to_pylist()]
+        keys, n = summed(np.concatenate(blocks), np.concatenate([unpack(x, np.int64) for x in table["n"].to_pylist()]))
+        if share >= shares:
+            tokens, vocabulary, value = int(n.sum()), int((n > 0).sum()), n.astype(float)
+        else:
+            one = pairs.value
+            known = n > 0
+            tables = {order: (keys[known], n[known]), 1: one, 0: _lower(*one, 0)}
+            for k in range(order - 1, 2 if split > 1 else 1, -1):
+                tables[k] = _lower(*tables[k + 1], k)
+            if split > 1:
+                low = [np.concatenate([f(x) for x in table[c].to_pylist()]) for c, f in (("low", unpack_keys), ("low_n", lambda x: unpack(x, np.int64)))]
+                tables[2] = summed(*low)
+            tokens, vocabulary, value = 0, 0, log_probabilities(keys, tables, order)
+        back = [i for i, b in enumerate(blocks) if len(b) or share >= shares]
+        values = [pack(value[np.searchsorted(keys, blocks[i])]) for i in back]
+        trim()
+        some = pa.array(back, pa.int64())
+        longs = lambda x: pa.array([x] * len(back), pa.int64())
+        return pa.table({"chunk": table["chunk"].take(some), "keys": table["keys"].take(some), "values": pa.array(values, pa.binary()), "tokens": longs(tokens), "vocabulary": longs(vocabulary)})
 
     def score(own: pa.Table, known: pa.Table) -> pa.Table:
-        texts, value = raw(own["text"]), known["value"].to_numpy()
-        table = HashTable(known["key"].to_numpy().view(np.uint64))
-        tokens_seen, vocabulary = value[table.find(np.array([TOKENS, VOCABULARY], np.int64).view(np.uint64))]
+        texts, value = raw(own["text"]), np.concatenate([unpack(x, float) for x in known["values"].to_pylist()])
+        table = HashTable(np.concatenate([unpack_keys(x) for x in known["keys"].to_pylist()]))
+        tokens_seen, vocabulary = sum(known["tokens"].to_pylist()), sum(known["vocabulary"].to_pylist())
         rest = float(np.log10(tokens_seen + 0.1 * (vocabulary + 1)))
         total = np.zeros(len(texts))
         for code, first, starts in _strings(texts, order):
@@ -197,13 +268,16 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
             own_words = [*t.lower().split(), END]
             got = np.fromiter(map(logs.__getitem__, own_words), float, len(own_words))
             tokens.append(len(got))
-            found.append(int((got > 0).sum()))
+            found.append(int((got > 0).sum()))  # one occurrence or more, plus 0.1, has a positive logarithm
             base.append(float(got.sum()) - len(got) * rest)
         del logs, table, texts
         trim()
         longs = lambda x: pa.array(x, pa.int64())
         return pa.table({"doc_id": own["doc_id"], "train": own["train"], "n_tokens": longs(tokens), "n_known": longs(found), "train_tokens": longs([int(tokens_seen)] * len(tokens)), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
 
+    # The exchange of the texts by chunk is one, which both passes read.
+    sent = texts.groupBy("chunk").applyInArrow(count, "share int, chunk int, keys binary, n binary, low binary, low_n binary")
+    back = sent.groupBy("share").applyInArrow(weigh, "chunk int, keys binary, values binary, tokens long, vocabulary long")
     schema = f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, schema)
 
