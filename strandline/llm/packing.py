@@ -26,7 +26,7 @@ from .tokens import encoder, groups
 
 WINDOW, END, VOCABULARY = 1024, 0, "byte_bpe_50k.json"
 #: Tokens of open windows that are placed again in one task.
-AGAIN = 16 << 20
+AGAIN = 4 << 20
 #: Bits of sequence ids: placed in the second pass, closed by cutting; below them the task's number, from bit 40.
 SECOND, CUT = 1 << 62, 1 << 61
 
