@@ -2,8 +2,8 @@
 
 Vectors are dealt into blocks of bounded size. In a block each tree gives a vector a string of hash
 bits and holds the strings sorted, which is a prefix tree without pointers. A query goes down every
-tree to its longest matching prefix; then all trees go up a bit at a time together, and what stands
-under the query's prefix joins the candidates, until there are enough. Candidates are ranked by exact
+tree to its longest matching prefix; then the trees go up together, bit by bit, and what stands under
+the query's prefix joins the candidates, until there are enough. Candidates are ranked by exact
 distance, and the blocks' nearest are merged. The queries are a stated set that meets all rows, a
 block at a time.
 """
@@ -17,49 +17,64 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Trees, bits of a string, and the share of a block's vectors after which the way up ends.
-TREES, BITS, SHARE = 96, 24, 0.5
+#: Trees, bits of a string, and the share of a block's vectors at which the way up ends.
+TREES, BITS, SHARE = 1024, 24, 0.15
 #: Vectors of a block, queries of a task and of a step in it, and a floor for the candidates.
-BLOCK, PART, QUERIES, FLOOR = 16_384, 16_384, 512, 300
+BLOCK, PART, QUERIES, FLOOR = 16_384, 16_384, 128, 700
+#: Trees that go up a bit before candidates are counted again.
+STEP = 32
 
 
 class Forest:
     """Sorted strings of one block's vectors."""
 
     def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 11):
-        self.planes = np.random.default_rng(seed).standard_normal((trees, vectors.shape[1], bits))
+        """``bits`` is a multiple of 8, 32 at most."""
+        self.planes = [self._planes(np.random.default_rng([seed, t]), vectors.shape[1], bits) for t in range(trees)]
         self.trees, self.bits = trees, bits
         self.centre = vectors.mean(0)
         strings = self.strings(vectors)
         self.order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(strings, self.order, 1)
 
+    @staticmethod
+    def _planes(rng: np.random.Generator, width: int, bits: int) -> np.ndarray:
+        """A tree's planes, at right angles to each other as far as the vectors' length allows: bits that tell more."""
+        sets = [np.linalg.qr(rng.standard_normal((width, min(width, bits - at))))[0] for at in range(0, bits, width)]
+        return np.concatenate(sets, axis=1)
+
     def strings(self, vectors: np.ndarray) -> np.ndarray:
         """(tree, vector): the signs of the projections of what differs from the centre, first bit highest."""
-        around, weights = vectors - self.centre, 1 << np.arange(self.bits - 1, -1, -1)
-        return np.stack([(around @ p > 0) @ weights for p in self.planes])
+        around, out = vectors - self.centre, np.zeros((self.trees, len(vectors)), np.int64)
+        for t, p in enumerate(self.planes):
+            for byte in np.packbits(around @ p > 0, axis=1).T:
+                out[t] = out[t] << 8 | byte
+        return out
 
     def search(self, queries: np.ndarray, enough: int):
-        """Yields (query, candidates): all rows under the query's prefixes at the deepest level with ``enough`` of them."""
+        """Yields (query, candidates): what stands under the query's prefixes, from the longest up, until there are ``enough``."""
         strings = self.strings(queries)
         n = self.sorted.shape[1]
-        low, high = np.zeros((self.bits + 1, self.trees, len(queries)), np.int64), np.full((self.bits + 1, self.trees, len(queries)), n)
-        for depth in range(1, self.bits + 1):
-            shift = self.bits - depth
-            for t in range(self.trees):
+        shape = (self.bits + 2, self.trees, len(queries))
+        low, high = np.zeros(shape, np.int32), np.zeros(shape, np.int32)
+        high[0] = n
+        for t in range(self.trees):
+            for depth in range(1, self.bits + 1):
+                shift = self.bits - depth
                 prefix = strings[t] >> shift
                 low[depth, t] = np.searchsorted(self.sorted[t], prefix << shift, "left")
                 high[depth, t] = np.searchsorted(self.sorted[t], (prefix + 1) << shift, "left")
-        # With no fewer rows under the prefixes, copies counted, than wanted, a level can be enough.
-        under = (high - low).sum(1)
+        # With fewer rows under the prefixes than wanted, copies counted, a level can't be enough: the way starts below.
+        under = (high - low).sum(1, dtype=np.int64)
         for q in range(len(queries)):
-            depth = int(np.flatnonzero(under[:, q] >= enough)[-1]) if under[0, q] >= enough else 0
-            marked = np.zeros(n, bool)
-            while True:
-                for t in range(self.trees):
-                    marked[self.order[t, low[depth, t, q] : high[depth, t, q]]] = True
-                if depth == 0 or int(marked.sum()) >= enough:
-                    break
+            depth = int(np.flatnonzero(under[:, q] >= enough)[-1]) + 1 if under[0, q] >= enough else 0
+            marked, done = np.zeros(n, bool), False
+            while depth >= 0 and not done:
+                for at in range(0, self.trees, STEP):
+                    for t in range(at, min(at + STEP, self.trees)):
+                        marked[self.order[t, low[depth, t, q] : high[depth, t, q]]] = True
+                    if done := np.count_nonzero(marked) >= enough:
+                        break
                 depth -= 1
             yield q, np.flatnonzero(marked)
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandline.llm import forest
@@ -41,6 +42,26 @@ def test_recall_and_order(spark, monkeypatch):
     assert [i for _, i, _ in got[100]] == list(range(2000, 2010))
 
 
+def test_recall_at_the_shipped_parameters(spark):
+    """Random directions, the hardest of inputs, in more than ten whole blocks of which about a seventh is looked at."""
+    rng = np.random.default_rng(7)
+    n, width = 10 * forest.BLOCK + 2000, 64
+    points = rng.normal(size=(n, width)).astype(np.float32)
+    rows = pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(points.reshape(-1)))})
+    got: dict = {}
+    for r in nearest(spark.createDataFrame(rows), F.col("vec_id") % 4000 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    all_points, hit = points.astype(float), 0
+    for q in range(0, n, 4000):
+        gap = ((all_points - all_points[q]) ** 2).sum(1)
+        gap[q] = np.inf
+        hit += len(got[q] & set(np.argsort(gap)[:10].tolist()))
+    assert hit / (10 * len(got)) >= 0.9
+    block = all_points[: forest.BLOCK]
+    looked = [len(found) for _, found in forest.Forest(block[:, :], trees=forest.TREES).search(block[:20], int(forest.SHARE * len(block)))]
+    assert max(looked) < 0.2 * len(block)
+
+
 def test_what_takes_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [0.0, 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (0, [2.0, 0.0]), (6, [0.0, 1.0])]
     got = nearest(frame(spark, rows), F.col("vec_id") % 2 == 0, k=3).collect()
