@@ -68,3 +68,15 @@ def test_what_takes_no_part(spark):
     assert {(r["query_id"], r["vec_id"]) for r in got} == {(0, 6), (6, 0)} and all(r["rank"] == 1 for r in got)
     assert nearest(frame(spark, []), F.lit(True)).count() == 0
     assert nearest(frame(spark, [(1, [1.0])]), F.lit(True)).count() == 0
+
+
+def test_the_query_itself(spark, tmp_path):
+    """Fewer rows than the floor for candidates: every answer is exact."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=12).tolist()) for i in range(450)] + [(500 + i, [1.0] * 12) for i in range(30)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got: dict = {}
+    for r in forest.op4_prefix_forest(spark, str(tmp_path)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = exact(rows, 100, 10)
+    assert {q: sorted(x) for q, x in got.items()} == {q: [(n + 1, i, d) for n, (d, i) in enumerate(x)] for q, x in want.items()}

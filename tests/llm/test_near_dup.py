@@ -65,3 +65,10 @@ def test_keys_are_pairs_of_tuples():
     sketch[1, 12:15] = sketch[0, 12:15]  # tuple 0 of the second
     a, b = near_dup.keys_of(sketch, 3, 4)
     assert [int(i) for i in np.flatnonzero(a == b)] == [1 * 4 + 0] and len(set(a.tolist())) == 16
+
+
+def test_the_query_itself(spark, docs, odd_rows, tmp_path):
+    rows = [(n, t) for n, (_, t) in enumerate(odd_rows)] + [*family(100, 17, 12, 3), (400, "two words"), (401, "TWO  words")]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.op7_tensor_minhash(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((i, n, c, i == c) for i, n, c in exact(rows, 2))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -54,3 +55,13 @@ def test_rows_that_repeat_an_id_with_other_texts(spark, docs):
     rows = [(7, prose(40, 30)), (7, prose(41, 30)), (7, prose(41, 30) + " " + prose(40, 30)), (9, prose(41, 30)), (3, prose(42, 9) + prose(41, 12)), (9, "x " + prose(40, 30) + prose(42, 20))]
     for chunk in (1 << 20, 100):
         assert result(docs(rows), 50, chunk) == plain(rows, 50)
+
+
+def test_the_query_itself(spark, docs, odd_rows, tmp_path):
+    rows = [(n, t if t is None else t[:6000]) for n, (_, t) in enumerate(odd_rows)]
+    docs(rows).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, n, spans, kept in map(eval, plain(rows, 50)):
+        want.append((i, n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()))
+    got = repeats.op8_bucket_pointer(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted(want)
