@@ -99,17 +99,6 @@ def sequence_findings(spark, sf_dir):
     return sequence.findings(_orders_read(spark, sf_dir)).drop("ordinal")
 
 
-@query(
-    """WITH v AS (SELECT DISTINCT o_custkey AS x FROM orders WHERE o_custkey % 3 > 0), lo AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS r, count(*) OVER () AS n FROM v),
-b AS (SELECT max(x) FILTER (WHERE r = greatest(n // 100 - 1, 0)) AS lo, max(x) FILTER (WHERE r = least(n * 99 // 100, n - 1)) AS hi, max(n) AS n FROM lo),
-core AS (SELECT x FROM v, b WHERE n < 8 OR x BETWEEN lo - greatest(1, (hi - lo) // 2) AND hi + greatest(1, (hi - lo) // 2))
-SELECT 'all' AS band, x AS value FROM (SELECT unnest(generate_series((SELECT min(x) FROM core), (SELECT max(x) FROM core))) AS x) WHERE x NOT IN (SELECT x FROM core)"""
-)
-def core_run_gaps(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey % 3 > 0").select(F.lit("all").alias("band"), F.col("o_custkey").alias("value"))
-    return sequence.missing_in_run(o, ["band"], "value")
-
-
 @query(
     """WITH v AS (SELECT DISTINCT o_orderpriority AS band, o_custkey AS x FROM orders), lo AS (SELECT band, x, row_number() OVER (PARTITION BY band ORDER BY x) - 1 AS r, count(*) OVER (PARTITION BY band) AS n FROM v),
 b AS (SELECT band, max(x) FILTER (WHERE r = greatest(n // 100 - 1, 0)) AS lo, max(x) FILTER (WHERE r = least(n * 99 // 100, n - 1)) AS hi, max(n) AS n FROM lo GROUP BY band),
@@ -117,18 +106,13 @@ core AS (SELECT band, x FROM v JOIN b USING (band) WHERE n < 8 OR x BETWEEN lo -
 span AS (SELECT band, unnest(generate_series(min(x), max(x))) AS x FROM core GROUP BY band)
 SELECT band, x AS value FROM span ANTI JOIN core USING (band, x)"""
 )
-def core_run_gaps_all(spark, sf_dir):
+def core_run_gaps(spark, sf_dir):
     """All orders, a band per priority: its gaps are customers without an order of that priority."""
     return sequence.missing_in_run(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("band"), F.col("o_custkey").alias("value")), ["band"], "value")
 
 
-@query("""SELECT x::INT AS page FROM (SELECT unnest(generate_series(2, 2001)) AS x) WHERE x NOT IN (SELECT DISTINCT o_custkey FROM orders)""")
-def missing_pages(spark, sf_dir):
-    return sequence.missing_pages(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("int").alias("page")).distinct(), "page", 2000)
-
-
 @query("""SELECT x::INT AS page FROM (SELECT unnest(generate_series(2, (SELECT count(*) FROM customer) + 1)) AS x) WHERE x NOT IN (SELECT o_custkey FROM orders)""")
-def missing_pages_all(spark, sf_dir):
+def missing_pages(spark, sf_dir):
     """As many pages are expected as there are customers."""
     pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("int").alias("page")).distinct()
     return sequence.missing_pages(pages, "page", table(spark, sf_dir, "customer").count())
@@ -339,30 +323,10 @@ def pending_antijoin(spark, sf_dir):
     return relational.pending(table(spark, sf_dir, "documents").select(key, "doc_id"), table(spark, sf_dir, "labels").select(key), "cache_key")
 
 
-@query(
-    """WITH o AS (SELECT user_id, event_type, event_id, value, 0 AS new FROM events WHERE event_id % 3 = 0), n AS (SELECT user_id, event_type, event_id, value, 1 FROM events WHERE event_id % 3 = 1),
-b AS (SELECT * FROM o UNION ALL SELECT * FROM n)
-SELECT user_id, event_type, arg_max(event_id, (new, event_id)) AS event_id, arg_min(value, (new, event_id)) AS value FROM b GROUP BY ALL"""
-)
-def upsert_latest(spark, sf_dir):
-    """New rows take the place of old ones, but keep the value first stored."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
-    return relational.upsert(e.where("event_id % 3 = 0"), e.where("event_id % 3 = 1"), ["user_id", "event_type"], "event_id", keep=["value"])
-
-
-@query(
-    """WITH o AS (SELECT user_id, event_id, value FROM events WHERE event_id % 4 = 0), n AS (SELECT user_id, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events WHERE event_id % 4 = 1 GROUP BY user_id)
-SELECT * FROM o UNION ALL SELECT * FROM n WHERE user_id NOT IN (SELECT user_id FROM o)"""
-)
-def insert_absent(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return relational.insert_absent(e.where("event_id % 4 = 0"), e.where("event_id % 4 = 1"), ["user_id"], "event_id")
-
-
 @query(
     """SELECT user_id, event_type, arg_max(event_id, (event_id % 2, event_id)) AS event_id, arg_min(value, (event_id % 2, event_id)) AS value FROM events GROUP BY ALL"""
 )
-def upsert_latest_all(spark, sf_dir):
+def upsert_latest(spark, sf_dir):
     """Even events are stored, odd ones come new: every event is on one of the sides."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
     return relational.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 <> 0"), ["user_id", "event_type"], "event_id", keep=["value"])
@@ -372,7 +336,7 @@ def upsert_latest_all(spark, sf_dir):
     """WITH o AS (SELECT user_id, event_type, event_id, value FROM events WHERE event_id % 20 = 0), n AS (SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events WHERE event_id % 20 <> 0 GROUP BY ALL)
 SELECT * FROM o UNION ALL SELECT * FROM n WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM o)"""
 )
-def insert_absent_all(spark, sf_dir):
+def insert_absent(spark, sf_dir):
     """Every twentieth event is stored, all others come new."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
     return relational.insert_absent(e.where("event_id % 20 = 0"), e.where("event_id % 20 <> 0"), ["user_id", "event_type"], "event_id")
@@ -530,25 +494,13 @@ def family_blocks(spark, sf_dir):
 # Scoring ------------------------------------------------------------------------------------------
 
 
-@query(
-    """WITH t AS (SELECT item_id, text AS r, upper(substr(text, 3, 60)) || substr(text, 61) AS h FROM benchmark WHERE strlen(text) = length(text))
-SELECT item_id, levenshtein(r, h)::INT AS edits FROM t"""
-)
-def edit_scores(spark, sf_dir):
-    """The operations of an alignment add up to its cost; their mix is held by tests."""
-    b = table(spark, sf_dir, "benchmark").where(F.octet_length("text") == F.char_length("text"))
-    other = F.concat(F.upper(F.substring("text", 3, 60)), F.substring(F.col("text"), 61, 1 << 20))
-    e = b.select("item_id", scoring.edits(F.col("text"), other).alias("e"))
-    return e.select("item_id", (F.col("e.substitutions") + F.col("e.insertions") + F.col("e.deletions")).alias("edits"))
-
-
 @query(
     """WITH t AS (SELECT item_id, text AS r, translate(substr(text, 3, 60), 'aeiouäéñ', 'AEIOUÄÉÑ') || substr(text, 63) AS h FROM benchmark),
 c AS (SELECT *, list_distinct(string_split(r || h, '')) AS known FROM t),
 b AS (SELECT item_id, array_to_string([chr(list_position(known, x)::INT) for x in string_split(r, '')], '') AS r, array_to_string([chr(list_position(known, x)::INT) for x in string_split(h, '')], '') AS h FROM c)
 SELECT item_id, levenshtein(r, h)::INT AS edits FROM b"""
 )
-def edit_scores_all(spark, sf_dir):
+def edit_scores(spark, sf_dir):
     """Every item, whatever its letters, and the whole of its text.
 
     The SQL's levenshtein counts bytes, so each character of an item is given a byte of its own
@@ -652,21 +604,10 @@ def special_means(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(stats.finite_mean(wild), 6).alias("finite"), F.round(stats.weighted_mean(F.col("l_discount"), F.col("l_quantity")), 6).alias("weighted"))
 
 
-@query(
-    """WITH o AS (SELECT c_nationkey, list(c_acctbal ORDER BY c_custkey) AS a FROM customer GROUP BY c_nationkey), t AS (SELECT c_nationkey % 5 AS k, unnest(a[1:4]) AS v, generate_subscripts(a[1:4], 1) AS i FROM o), m AS (SELECT k, i, median(v) AS m FROM t GROUP BY ALL)
-SELECT k, round(max(m) FILTER (WHERE i = 1), 4) AS m1, round(max(m) FILTER (WHERE i = 2), 4) AS m2, round(max(m) FILTER (WHERE i = 3), 4) AS m3, round(max(m) FILTER (WHERE i = 4), 4) AS m4 FROM m GROUP BY k"""
-)
-def median_arrays(spark, sf_dir):
-    a = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("c_custkey", "c_acctbal"))), 1, 4), lambda x: x["c_acctbal"])
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(a.alias("a")).select((F.col("c_nationkey") % 5).alias("k"), "a")
-    out = stats.median_array(c, ["k"], "a")
-    return out.select("k", *[F.round(F.get("a", i), 4).alias(f"m{i + 1}") for i in range(4)])
-
-
 @query(
     """SELECT l_returnflag AS k, round(median(l_quantity), 4) AS m1, round(median(l_extendedprice), 4) AS m2, round(median(l_discount), 4) AS m3, round(median(l_tax), 4) AS m4 FROM lineitem GROUP BY k"""
 )
-def median_arrays_all(spark, sf_dir):
+def median_arrays(spark, sf_dir):
     """A row's four numbers are its array, whole by nature; every row counts."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("k"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("a"))
     return stats.median_array(li, ["k"], "a").select("k", *[F.round(F.get("a", i), 4).alias(f"m{i + 1}") for i in range(4)])
@@ -687,9 +628,18 @@ def iou_pairs(spark, sf_dir):
     return both.select("user_id", "event_id", F.col("other_event_id").alias("other"), F.round(geometry.interval_iou(F.col("x0"), F.col("x1"), F.col("other_x0"), F.col("other_x1")), 6).alias("iou"))
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id::INT AS page, event_id, epoch(ts) AS x0, epoch(ts) + value * 1000 AS x1 FROM events WHERE value > 0),
+near AS (SELECT a.page, a.event_id AS proposal, b.event_id AS region, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) / (greatest(a.x1, b.x1) - least(a.x0, b.x0)) AS score
+  FROM e a JOIN e b ON a.page = b.page AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND a.x0 < b.x1 AND b.x0 < a.x1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, proposal, region) AS r FROM near WHERE score >= 0.1),
+walk AS (SELECT DISTINCT page, 0::BIGINT AS r, []::BIGINT[] AS ps, []::BIGINT[] AS rs, NULL::BIGINT AS proposal, NULL::BIGINT AS region, NULL::DOUBLE AS score FROM ranked
+  UNION ALL SELECT w.page, x.r, CASE WHEN ok THEN list_append(ps, x.proposal) ELSE ps END, CASE WHEN ok THEN list_append(rs, x.region) ELSE rs END, CASE WHEN ok THEN x.proposal END, x.region, x.score
+  FROM walk w JOIN (SELECT * FROM ranked) x ON x.page = w.page AND x.r = w.r + 1, LATERAL (SELECT NOT list_contains(ps, x.proposal) AND NOT list_contains(rs, x.region) AS ok))
+SELECT page, proposal, region, round(score, 6) AS score FROM walk WHERE proposal IS NOT NULL"""
+)
 def greedy_match(spark, sf_dir):
-    """Best overlaps first, one to one: no SQL says it, tests hold it against a loop."""
+    """Best overlaps first, one to one; the SQL walks down each page's pairs."""
     start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     e = table(spark, sf_dir, "events").where("value > 0").select(F.lit("d").alias("document_id"), F.col("user_id").cast("int").alias("page"), F.lit(0).alias("band"), "event_id", start.alias("x0"), (start + F.col("value") * 1000).alias("x1"))
     hashed = e.withColumn("geometry_hash", F.col("event_id").cast("string"))

@@ -39,8 +39,8 @@ def test_query_equals_sql(spark, sql, name):
     assert plain(tuple(r) for r in got.select(*[f"`{c}`" for c in names]).collect()) == plain(want.fetchall())
 
 
-def test_queries_without_sql(spark, sql):
-    assert set(driver.QUERIES) - set(driver.ORACLE_SQL) == {"greedy_match"}
+def test_every_query_has_sql(spark, sql):
+    assert set(driver.QUERIES) == set(driver.ORACLE_SQL)
     rows = driver.greedy_match(spark, SF).collect()
     assert rows and len({(r["page"], r["proposal"]) for r in rows}) == len({(r["page"], r["region"]) for r in rows}) == len(rows)
 
@@ -48,7 +48,7 @@ def test_queries_without_sql(spark, sql):
 def test_edit_scores_of_every_item(spark, tmp_path):
     texts = ["plain letters only", "añadió él la leña más allá", "größer als die Straße", "漢字と仮名", "", "é" * 70 + "trailing words"]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r["item_id"]: r["edits"] for r in entry.queries()["edit_scores_all"](spark, str(tmp_path)).collect()}
+    got = {r["item_id"]: r["edits"] for r in entry.queries()["edit_scores"](spark, str(tmp_path)).collect()}
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -69,21 +69,21 @@ def test_every_row_counts(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     spark.createDataFrame([("a", k) for k in (1, 3, 4, 6)], "o_orderpriority string, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
-    assert {(r["user_id"], r["event_id"], r["value"]) for r in run("upsert_latest_all")} == {(1, 1, 0.0)} | {(i, i, float(i)) for i in range(2, 13)}
-    assert {(r["user_id"], r["event_id"]) for r in run("insert_absent_all")} == {(1, 20)} | {(i, i) for i in range(2, 13)}
-    assert sorted(tuple(r) for r in run("core_run_gaps_all")) == [("a", 2), ("a", 5)]
+    assert {(r["user_id"], r["event_id"], r["value"]) for r in run("upsert_latest")} == {(1, 1, 0.0)} | {(i, i, float(i)) for i in range(2, 13)}
+    assert {(r["user_id"], r["event_id"]) for r in run("insert_absent")} == {(1, 20)} | {(i, i) for i in range(2, 13)}
+    assert sorted(tuple(r) for r in run("core_run_gaps")) == [("a", 2), ("a", 5)]
 
 
 def test_medians_of_all_rows(spark, tmp_path):
     rows = [("A", float(i), 2.0 * i, 0.0, 1.0) for i in range(1, 12)]
     spark.createDataFrame(rows, "l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert [tuple(r) for r in entry.queries()["median_arrays_all"](spark, str(tmp_path)).collect()] == [("A", 6.0, 12.0, 0.0, 1.0)]
+    assert [tuple(r) for r in entry.queries()["median_arrays"](spark, str(tmp_path)).collect()] == [("A", 6.0, 12.0, 0.0, 1.0)]
 
 
 def test_missing_pages_beyond_two_thousand(spark, tmp_path):
     spark.range(1, 3001).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(1, 3002).where("id not in (5, 2500)").selectExpr("id as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
-    assert sorted(r["page"] for r in entry.queries()["missing_pages_all"](spark, str(tmp_path)).collect()) == [5, 2500]
+    assert sorted(r["page"] for r in entry.queries()["missing_pages"](spark, str(tmp_path)).collect()) == [5, 2500]
 
 
 def test_entry(spark, sql):
