@@ -4,10 +4,42 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Characters that no file name may hold everywhere, and names that are devices somewhere.
+UNFIT = '<>:"/\\|?*'
+DEVICES = ("CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9", "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9")
+ID_BYTES = 200
+
+
+def id_problem(value: str | None) -> str | None:
+    """Why a document id can't be part of a file's name on every system, or none; the first reason counts."""
+    checks = (
+        (not value, "empty"),
+        (value and (value != value.strip() or value[0] == "." or value[-1] == "."), "white space or a full stop at an end"),
+        (value and not unicodedata.is_normalized("NFC", value), "not composed (NFC)"),
+        (value and len(value.encode()) > ID_BYTES, f"over {ID_BYTES} bytes"),
+        (value and any(c in UNFIT or c < " " for c in value), "a character that file names can't hold"),
+        (value and value.partition(".")[0].upper() in DEVICES, "a device's name"),
+    )
+    return next((said for wrong, said in checks if wrong), None)
+
+
+def document_id_problem(value: Column) -> Column:
+    """``id_problem`` of a column of ids: normal forms need Unicode's tables, which SQL functions don't offer."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for ids in batches:
+            yield ids.map(id_problem).astype(object)
+
+    return run(value)
+
 
 def _digest(parts: list[Column], size: int) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, size)

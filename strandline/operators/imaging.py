@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IMAGE = "struct<height:int,width:int,channels:int,pixels:binary>"
-VARIANTS = ("original", "gray", "red", "maxrgb", "neutral", "contrast", "binary")
+VARIANTS = ("original", "gray", "red", "maxrgb", "watermark", "lab_l", "neutral", "contrast", "binary")
 # Chroma that is no ink, ink itself, and the percentiles of dark and bright pixels.
 CHROMA, INK, DARK, BRIGHT = 18, 150, 12, 75
 # Coverage of a rule that splits bands, and of one that may where too few are found.
@@ -36,6 +36,54 @@ def gray(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else np.rint(image @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
 
 
+def lab(image: np.ndarray) -> np.ndarray:
+    """CIELAB of sRGB pixels under D65, each in 8 bits: lightness over 0 to 255, a and b from 128."""
+    c = image.astype(float) / 255
+    linear = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    # sRGB's primaries and the white of D65.
+    xyz = linear @ np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]]).T
+    xyz /= np.array([0.950456, 1.0, 1.088754])
+    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
+    light = np.where(xyz[..., 1] > 0.008856, 116 * f[..., 1] - 16, 903.3 * xyz[..., 1])
+    out = np.stack([light * 2.55, 500 * (f[..., 0] - f[..., 1]) + 128, 200 * (f[..., 1] - f[..., 2]) + 128], -1)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def chroma_mask(image: np.ndarray, threshold: int = CHROMA, grow: int = 1) -> np.ndarray:
+    """Pixels far from neutral in CIELAB, and those within ``grow`` steps to the sides of one."""
+    if image.ndim == 2:
+        return np.zeros(image.shape, bool)
+    ab = lab(image)[..., 1:].astype(int) - 128
+    mask = np.hypot(ab[..., 0], ab[..., 1]) > threshold
+    for _ in range(grow):
+        wide = mask.copy()
+        wide[1:] |= mask[:-1]
+        wide[:-1] |= mask[1:]
+        wide[:, 1:] |= mask[:, :-1]
+        wide[:, :-1] |= mask[:, 1:]
+        mask = wide
+    return mask
+
+
+def blurred(tone: np.ndarray, sigma: float) -> np.ndarray:
+    """A Gaussian blur of three standard deviations to each side, mirrored at the edges."""
+    reach = max(1, round(3 * sigma))
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    kernel /= kernel.sum()
+    out = tone.astype(float)
+    for axis in (0, 1):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (reach, reach)
+        wide = np.pad(out, pad, mode="reflect" if out.shape[axis] > reach else "symmetric")
+        out = np.apply_along_axis(np.convolve, axis, wide, kernel, "valid")
+    return out
+
+
+def flatten_background(tone: np.ndarray, sigma: float = 81) -> np.ndarray:
+    """Slow changes of paper and light divided out; paper comes to 200."""
+    return np.clip(tone / np.maximum(blurred(tone, sigma), 1) * 200, 0, 255).astype(np.uint8)
+
+
 def variant(image: np.ndarray, name: str) -> np.ndarray:
     """A rendering that keeps ink and loses the stamp, more or less; channels are red, green, blue."""
     if name == "original" or image.ndim == 2 and name in ("gray", "red", "maxrgb"):
@@ -47,6 +95,10 @@ def variant(image: np.ndarray, name: str) -> np.ndarray:
         return image[..., 0]
     if name == "maxrgb":
         return image.max(2)
+    if name == "watermark":  # ink alone: coloured and gray stamps are brighter in their brightest channel
+        return np.where((image if image.ndim == 2 else image.max(2)) > INK, 255, 0).astype(np.uint8)
+    if name == "lab_l":
+        return lab(image if image.ndim == 3 else np.repeat(image[..., None], 3, 2))[..., 0]
     if name == "neutral":  # coloured pixels become paper
         span = image.max(2).astype(int) - image.min(2) if image.ndim == 3 else np.zeros(tone.shape, int)
         return np.where(span > CHROMA, 255, tone).astype(np.uint8)
@@ -230,7 +282,9 @@ def layout_families(pages: DataFrame, eps: float = 1.6, least: int = 5, bins: in
             p = np.asarray(profile, float)
             shapes.append(np.interp(np.linspace(0, max(len(p) - 1, 0), bins), np.arange(len(p)), p) if len(p) else np.zeros(bins))
         x = np.column_stack([4.0 * frame["bands"].to_numpy(float), np.array(shapes)])
-        near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= eps
+        near = np.empty((len(x), len(x)), bool)
+        for at in range(0, len(x), 64):  # a stripe of distances at a time
+            near[at : at + 64] = ((x[at : at + 64, None] - x[None]) ** 2).sum(2) <= eps * eps
         core = near.sum(1) >= least
         label = np.where(core, np.arange(len(x)), len(x))
         while True:

@@ -8,17 +8,19 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import text
-from ..operators import geometry, latest, layout, reconcile, relational, scoring, stats
+from ..functions import keys, numerals, text
+from ..operators import geometry, imaging, latest, layout, reconcile, relational, scoring, stats
+from ..profile import Profile
 from ..sources import readers, writers
-from ..store import TABLES, Store, shared_dir
+from ..store import TABLES, Busy, Store, shared_dir
 from ..streaming import events as streams
-from . import stored
-from .driver import _LABEL_SQL, query, table
+from . import graph as graph_plan
+from . import jobs, recognise, stored
+from .driver import _LABEL_SQL, query, sql_numeral, table
 
 _ID = "(l_orderkey * 8 + l_linenumber) * 100000 + l_partkey"
 #: DOC(key) is a document's id: one for all, or one of five.
@@ -411,11 +413,12 @@ def merged_rules(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT s_acctbal AS width, s_acctbal * 2 + s_nationkey AS height FROM supplier WHERE s_suppkey % 9 <> 0 AND s_suppkey % 4 <> 0)
+    """WITH u AS (SELECT s_acctbal AS width, s_acctbal * 2 + s_nationkey AS height, s_suppkey % 4 <> 0 AS whole FROM supplier WHERE s_suppkey % 9 <> 0),
+f AS (SELECT * FROM u WHERE whole OR (SELECT count(*) FILTER (WHERE whole) FROM u) < 20)
 SELECT round(median(width), 6) AS width, round(mad(width), 6) AS width_mad, round(median(height), 6) AS height, round(mad(height), 6) AS height_mad, count(*) AS frames FROM f"""
 )
 def frame_medians(spark, sf_dir):
-    """Frames of every supplier: of those that are ok the fully detected ones, as there are twenty."""
+    """Frames of every supplier: of those that are ok the fully detected ones, if there are twenty."""
     k = F.col("s_suppkey")
     frames = table(spark, sf_dir, "supplier").select((k % 9 != 0).alias("ok"), F.when(k % 4 == 0, F.array(F.lit("top"))).otherwise(F.array().cast("array<string>")).alias("inferred"), F.col("s_acctbal").alias("width"), (F.col("s_acctbal") * 2 + F.col("s_nationkey")).alias("height"))
     return geometry.canonical_space(frames).select(*[F.round(c, 6).alias(c) for c in ("width", "width_mad", "height", "height_mad")], "frames")
@@ -583,3 +586,228 @@ def gold_reread(spark, sf_dir):
     path = shared_dir(spark, "gold")
     s.write.text(path)
     return readers.read_gold(spark, path, {"富": 1, "教": 2})
+
+
+# Pixels, recognition, jobs ------------------------------------------------------------------------
+
+
+def _strip(*runs: tuple) -> Column:
+    """Pixels of runs (how many, value in hex), one after the other."""
+    return F.unhex(F.concat(*[F.repeat(F.lit(x), n if isinstance(n, Column) else F.lit(n)) for n, x in runs]))
+
+
+def _image(height, width, channels: int, pixels: Column) -> Column:
+    one = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(one(height).cast("int").alias("height"), one(width).cast("int").alias("width"), F.lit(channels).alias("channels"), pixels.alias("pixels"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 9 > 0 THEN round(p_size / 200, 6) END AS ink FROM part")
+def ink_fractions(spark, sf_dir):
+    """Crops of 200 pixels of which the part's size are dark; one in nine lacks a byte and can't be read."""
+    size = F.col("p_size")
+    crop = _image(10, 20, 1, _strip((size, "00"), (F.when(F.col("p_partkey") % 9 == 0, 199 - size).otherwise(200 - size), "FF")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(imaging.ink_fraction(crop), 6).alias("ink"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, 60 + p_size AS y FROM part), b AS (SELECT p_partkey, unnest([{'top': 0, 'bottom': y}, {'top': y, 'bottom': 140}, {'top': 140, 'bottom': 200}]) AS b FROM p)
+SELECT p_partkey, b.top::DOUBLE AS top, b.bottom::DOUBLE AS bottom FROM b"""
+)
+def page_bands(spark, sf_dir):
+    """Pages with two rules across, whose places make the bands."""
+    y = 60 + F.col("p_size")
+    page = _image(200, 10, 1, _strip((y * 10, "FF"), (10, "00"), ((139 - y) * 10, "FF"), (10, "00"), (590, "FF")))
+    found = table(spark, sf_dir, "part").select("p_partkey", F.explode(imaging.analyse_pages(page)["bands"]).alias("b"))
+    return found.select("p_partkey", "b.top", "b.bottom")
+
+
+@query("SELECT p_partkey, (70 + p_size % 30)::DOUBLE AS pitch FROM part")
+def column_pitch(spark, sf_dir):
+    """Pages of strokes at equal distances: the pitch is found."""
+    gap = F.col("p_size") % 30 + 60
+    row = F.unhex(F.substring(F.repeat(F.concat(F.repeat(F.lit("00"), F.lit(10)), F.repeat(F.lit("FF"), gap)), F.lit(12)), 1, 1200))
+    return table(spark, sf_dir, "part").select("p_partkey", imaging.analyse_pages(_image(1, 600, 1, row))["pitch"].alias("pitch"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_size * 5 AS r, 100 AS g, p_size % 7 * 30 AS b FROM part), t AS (SELECT *, round(0.299 * r + 0.587 * g + 0.114 * b)::INT AS tone, greatest(r, g, b) AS top FROM p)
+SELECT p_partkey, tone AS gray, r AS red, top AS maxrgb, CASE WHEN top > 150 THEN 255 ELSE 0 END AS watermark, CASE WHEN top - least(r, g, b) > 18 THEN 255 ELSE tone END AS neutral, CASE WHEN tone < 150 THEN 0 ELSE 255 END AS "binary" FROM t"""
+)
+def image_variants(spark, sf_dir):
+    """Pages of one coloured pixel in each rendering that looks at a pixel alone."""
+    size, names = F.col("p_size"), ("gray", "red", "maxrgb", "watermark", "neutral", "binary")
+    pixel = F.unhex(F.concat(*[F.lpad(F.hex(x), 2, "0") for x in (size * 5, F.lit(100), size % 7 * 30)]))
+    made = table(spark, sf_dir, "part").select("p_partkey", imaging.build_variants(_image(1, 1, 3, pixel), names).alias("v"))
+    return made.select("p_partkey", *[F.conv(F.hex(F.get("v", i)["image"]["pixels"]), 16, 10).cast("int").alias(n) for i, n in enumerate(names)])
+
+
+@query("SELECT p_partkey, p_partkey % 4 AS place, least(10, p_size % 8 + 4) - p_size % 8 AS width, least(20, p_partkey % 4 * 3 + 5) - p_partkey % 4 * 3 AS height, 0 AS strange FROM part")
+def cut_crops(spark, sf_dir):
+    """Boxes cut out of their page, cut off at its edge: as many pixels, all of the page's."""
+    x, y = F.col("p_size") % 8, F.col("p_partkey") % 4
+    pages = table(spark, sf_dir, "part").select((F.col("p_partkey") % 4).alias("page")).distinct().withColumn("image", _image(20, 10, 1, _strip((200, "7F"))))
+    boxes = table(spark, sf_dir, "part").select("p_partkey", y.alias("page"), x.alias("x0"), (y * 3).alias("y0"), (x + 4).alias("x1"), (y * 3 + 5).alias("y1"))
+    c = layout.crops(pages, boxes).select("p_partkey", F.col("page").alias("place"), "crop.*")
+    return c.select("p_partkey", "place", "width", "height", (F.length("pixels") - F.col("width") * F.col("height") + F.length(F.replace(F.hex("pixels"), F.lit("7F"), F.lit("")))).alias("strange"))
+
+
+@query(
+    """WITH g AS (SELECT p_brand, p_size % 3 AS bands, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL), f AS (SELECT *, (row_number() OVER (PARTITION BY p_brand, n >= 5 ORDER BY first) - 1)::INT AS family FROM g)
+SELECT p.p_partkey AS page, CASE WHEN n >= 5 THEN family ELSE -1 END AS family FROM part p JOIN f ON p.p_brand = f.p_brand AND p.p_size % 3 = f.bands"""
+)
+def page_families(spark, sf_dir):
+    """Pages of one profile: those of a number of bands are a family where there are five."""
+    pages = table(spark, sf_dir, "part").select(F.col("p_brand").alias("document_id"), F.col("p_partkey").cast("int").alias("page"), (F.col("p_size") % 3).alias("bands"), F.array(F.lit(0.0), F.lit(1.0)).alias("profile"))
+    return imaging.layout_families(pages).select("page", "family")
+
+
+@query("SELECT p_partkey, round(1000.0 / (200 + p_size), 6)::DOUBLE AS sx, round(-10 * 1000.0 / (200 + p_size), 6)::DOUBLE AS tx, round(500.0 / (100 + p_size), 6)::DOUBLE AS sy, round((200 + p_size) / 1000.0, 6)::DOUBLE AS bx FROM part")
+def page_transforms(spark, sf_dir):
+    """Upright frames to a rectangle: scales and shifts, there and back."""
+    w, h = 210.0 + F.col("p_size"), 120.0 + F.col("p_size")
+    point = lambda x, y: F.array(*[F.lit(v) if isinstance(v, float) else v for v in (x, y)])
+    t = imaging.transforms(F.array(point(10.0, 20.0), point(w, 20.0), point(w, h), point(10.0, h)), 1000.0, 500.0)
+    at = lambda c, i, j: F.round(F.get(F.get(F.col(c), i), j), 6)
+    return table(spark, sf_dir, "part").select("p_partkey", t.alias("t")).select("p_partkey", "t.*").select("p_partkey", at("forward", 0, 0).alias("sx"), at("forward", 0, 2).alias("tx"), at("forward", 1, 1).alias("sy"), at("inverse", 0, 0).alias("bx"))
+
+
+@query("SELECT round(median(s_acctbal), 4) AS x, round(median(s_acctbal + s_nationkey), 4) AS y, count(*) AS frames FROM supplier WHERE s_suppkey % 4 <> 0 HAVING count(*) >= 20")
+def median_corners(spark, sf_dir):
+    v, k = F.col("s_acctbal"), F.col("s_suppkey")
+    corners = F.array(*[v if i % 2 == 0 else v + F.col("s_nationkey") for i in range(8)])
+    frames = table(spark, sf_dir, "supplier").select(F.lit(True).alias("ok"), F.when(k % 4 == 0, F.array(F.lit("top"))).otherwise(F.array().cast("array<string>")).alias("inferred"), corners.alias("corners"))
+    return layout.median_frame(frames).select(F.round(F.get("corners", 0), 4).alias("x"), F.round(F.get("corners", 7), 4).alias("y"), "frames")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'pair' WHEN p_size % 3 = 0 THEN 'far' ELSE 'near' END AS found, CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN 100 + p_size ELSE 200 + p_size END::DOUBLE AS near FROM part")
+def frame_sides(spark, sf_dir):
+    """Two rules a frame apart, or one of two that aren't with its partner inferred: the better inked one."""
+    size = F.col("p_size")
+    rule = lambda at, ink: F.struct(at.cast("double").alias("position"), ink.cast("double").alias("coverage"))
+    pair = F.array(rule(100 + size, F.lit(0.9)), rule(300 + size, F.lit(0.4)), rule(900 + size, F.lit(0.8)))
+    lone = F.array(rule(100 + size, F.when(size % 3 == 0, 0.9).otherwise(0.5)), rule(1000 + size, F.lit(0.7)))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(size % 2 == 0, pair).otherwise(lone).alias("rules"))
+    p = p.select("p_partkey", layout.frame_pair(F.col("rules"), F.lit(800.0), F.lit(16.0)).alias("a"), layout.inferred_pair(F.col("rules"), F.lit(800.0), F.lit(1100.0)).alias("b"))
+    return p.select("p_partkey", F.when(F.col("a").isNotNull(), "pair").otherwise(F.col("b.inferred")).alias("found"), F.coalesce("a.near.position", "b.near").alias("near"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [300.0 + p_size, 650.0] WHEN p_size <= 50 THEN [300.0 + p_size, 600] ELSE [300.0 + p_size] END::DOUBLE[] AS edges, p_partkey % 3 > 0 AND p_size <= 50 AS repaired FROM part")
+def repaired_bands(spark, sf_dir):
+    """Pages with an edge missing get the template's where the other one is near enough; whole ones stay."""
+    size = F.col("p_size")
+    edges = F.when(F.col("p_partkey") % 3 == 0, F.array(300.0 + size, F.lit(650.0))).otherwise(F.array(300.0 + size))
+    r = layout.repair_bands(edges, F.array().cast("array<double>"), [300.0, 600.0], 1000.0)
+    return table(spark, sf_dir, "part").select("p_partkey", r.alias("r")).select("p_partkey", "r.edges", "r.repaired")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS page, 100.0 + p_size % 5 AS pitch, p_size FROM part), b AS (SELECT *, CASE WHEN p_size % 6 = 0 THEN 'a manual boundary must stay on the page' WHEN p_size % 7 = 0 THEN 'boundaries must remain in right-to-left order' END AS problem,
+  CASE WHEN p_size % 6 = 0 THEN 2000 WHEN p_size % 7 = 0 THEN 995 ELSE 1000 - pitch - 3 END AS moved FROM p)
+SELECT page, problem, round(moved, 4)::DOUBLE AS moved, CASE WHEN problem IS NULL THEN 3 ELSE 0 END AS proposed FROM b"""
+)
+def edited_combs(spark, sf_dir):
+    """A comb of four teeth whose second is moved by hand; what lies between them is proposed where the edit can stand."""
+    size, pitch = F.col("p_size"), 100.0 + F.col("p_size") % 5
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("page"), F.lit(1010.0).alias("width"), pitch.alias("pitch"), (1000 - 3 * pitch).alias("left"), F.lit(1000.0).alias("right"), F.array().cast("array<double>").alias("gutters"), F.lit(0.0).alias("fraction"),
+        F.lit(None).cast("double").alias("anchor"), F.lit(None).cast("array<array<double>>").alias("inverse"), F.array(F.struct(F.lit(0).alias("index"), F.lit("富").alias("label"), F.lit(0.0).alias("top"), F.lit(9.0).alias("bottom"))).alias("bands"), size.alias("size"),
+    )
+    put = F.when(F.col("size") % 6 == 0, 2000.0).when(F.col("size") % 7 == 0, 995.0).otherwise(1000 - F.col("pitch") - 3)
+    first = F.when((F.col("size") % 7 == 0) & (F.col("size") % 6 != 0), F.array(F.struct(F.lit(0).alias("i"), F.lit(990.0).alias("x")))).otherwise(F.array().cast("array<struct<i:int,x:double>>"))
+    moved = p.select("page", F.explode(F.concat(F.array(F.struct(F.lit(1).alias("i"), put.alias("x"))), first)).alias("m")).select("page", F.col("m.i").alias("index"), "m.x")
+    combs = layout.edited_comb(p, moved)
+    counted = layout.proposals(combs, p.select("page", "width", "inverse", "bands")).groupBy("page").agg(F.count("*").alias("n"))
+    return combs.join(counted, "page", "left").select("page", "problem", F.round(F.get("bounds", 1), 4).alias("moved"), F.coalesce("n", F.lit(0)).cast("int").alias("proposed"))
+
+
+def _reader():
+    """A recogniser that reads the number in a crop's name, leaves every fifth out and fails at none."""
+
+    def read(rows: list[dict]) -> list[dict]:
+        return [{"crop_id": r["crop_id"], "text": f"n{r['crop_id']} FUYANG", "confidence": 0.5} for r in rows if int(r["crop_id"]) % 5]
+
+    return read
+
+
+@query(
+    """SELECT s_suppkey AS position, s_suppkey::VARCHAR AS crop_id, CASE WHEN s_nationkey % 4 = 0 THEN 'held' WHEN s_suppkey % 5 > 0 THEN 'n' || s_suppkey END AS text, CASE WHEN s_nationkey % 4 > 0 AND s_suppkey % 5 = 0 THEN 'no result' END AS error, s_nationkey % 4 > 0 AS fresh FROM supplier"""
+)
+def recognised(spark, sf_dir):
+    """Crops that have an answer keep it, the others are read in batches; every request gets a row."""
+    recognise.register("numbers", _reader)
+    k = F.col("s_suppkey").cast("string")
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("position"), F.concat(F.lit("c"), k).alias("crop_key"), k.alias("crop_id"), k.alias("path"), F.lit(None).cast("binary").alias("content"), "s_nationkey")
+    model = F.lit(keys.model_key("numbers", "1", {}))
+    held = asked.where("s_nationkey % 4 = 0").select(keys.cache_key(F.col("crop_key"), model, F.lit("")).alias("cache_key"), F.lit("held").alias("text"), F.lit(None).cast("string").alias("error"))
+    told, new = recognise.on_demand(asked.drop("s_nationkey"), held, "numbers", "1", {})
+    return told.join(new.select("cache_key", F.lit(True).alias("_new")), "cache_key", "left").select("position", "crop_id", "text", "error", F.coalesce("_new", F.lit(False)).alias("fresh"))
+
+
+@query(
+    """SELECT stage, status, detail FROM (VALUES ('preserve', 'completed', NULL), ('inspect', 'completed', (SELECT count(*)::VARCHAR || ' pages' FROM customer)), ('extract', 'failed', 'ValueError: no pixels'), ('run', 'failed', NULL)) AS t(stage, status, detail)
+UNION ALL SELECT 'second', 'busy', NULL"""
+)
+def job_log(spark, sf_dir):
+    """A preparation whose third stage fails, its run in the log, and a second one while it goes on."""
+    store = Store.create(spark, shared_dir(spark, "jobs"))
+
+    def pages() -> str:
+        return f"{table(spark, sf_dir, 'customer').count()} pages"
+
+    def broken() -> None:
+        raise ValueError("no pixels")
+
+    log, second = [], None
+    for i, e in enumerate(jobs.prepare(store, "d", {"inspect": pages, "extract": broken}, "j1")):
+        log.append((*[e[c] for c in ("document_id", "stage", "status", "index", "total", "detail")], i))
+        if i == 0:
+            try:
+                next(jobs.prepare(store, "d", {}, "j2"))
+            except Busy:
+                second = "busy"
+    told = jobs.states(spark.createDataFrame(log, f"{jobs.EVENT}, ordinal int")).select("stage", "status", "detail")
+    run = Store.discover(spark, f"{store.path}/below").read("processing_runs").select(F.lit("run").alias("stage"), "status", F.lit(None).cast("string").alias("detail"))
+    return told.unionByName(run).unionByName(spark.createDataFrame([("second", second, None)], "stage string, status string, detail string"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN 'empty' WHEN 1 THEN 'white space or a full stop at an end' WHEN 2 THEN 'not composed (NFC)' WHEN 3 THEN 'over 200 bytes' WHEN 4 THEN 'a character that file names can''t hold' WHEN 5 THEN 'a device''s name' WHEN 6 THEN 'white space or a full stop at an end' END AS problem FROM part"""
+)
+def document_ids(spark, sf_dir):
+    """Ids that can be files' names everywhere, and those that can't."""
+    k = F.col("p_partkey").cast("string")
+    made = [F.lit(""), F.concat(F.lit(" "), k), F.concat(k, F.lit("é")), F.concat(F.repeat(F.lit("漢"), F.lit(67)), k), F.concat(k, F.lit("/x")), F.concat(F.lit("nul.v"), k), F.concat(k, F.lit(".")), F.concat(F.lit("é"), k), F.concat(F.lit("a.b "), k)]
+    return table(spark, sf_dir, "part").select("p_partkey", keys.document_id_problem(F.get(F.array(*made), F.col("p_size") % 9)).alias("problem"))
+
+
+@query("SELECT o_orderkey, o_custkey AS page FROM orders WHERE o_custkey IN (2, 3, 10, 11, 12, 20)")
+def page_ranges(spark, sf_dir):
+    """Orders of the pages that a range names."""
+    asked = spark.createDataFrame([(p,) for p in readers.parse_pages("2,3, 10-12,3,20")], "page long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("page")).join(asked, "page").select("o_orderkey", "page")
+
+
+@query("SELECT s_suppkey, s_name AS observed FROM supplier UNION ALL SELECT -1, 'Supplier#000000000 of ' || count(*) FROM supplier")
+def findings_reread(spark, sf_dir):
+    """Findings written as JSON, and an artifact of one document over many lines, read again."""
+    path = shared_dir(spark, "findings")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("observed"))
+    writers.write_findings(s, f"{path}/rows")
+    whole = s.agg(F.count("*").alias("n"), F.min("observed").alias("first")).select(F.concat(F.lit('{\n  "n": '), F.col("n").cast("string"), F.lit(',\n  "first": "'), F.col("first"), F.lit('"\n}')).alias("value"))
+    whole.coalesce(1).write.text(f"{path}/artifact")
+    said = readers.read_artifact(spark, f"{path}/artifact").select(F.lit(-1).cast("long").alias("s_suppkey"), F.concat("first", F.lit(" of "), F.col("n").cast("string")).alias("observed"))
+    return spark.read.schema(s.schema).json(f"{path}/rows").unionByName(said)
+
+
+_READ = "CASE s_suppkey % 3 WHEN 0 THEN '富' || n WHEN 1 THEN n ELSE '富' || n || '庶一長子' END"
+
+
+@query(f"WITH s AS (SELECT *, {sql_numeral('s_suppkey + 11')} AS n FROM supplier) SELECT 'recovered' AS part, s_suppkey + 11 AS page, '富' || n AS id FROM s WHERE s_suppkey % 3 = 1 UNION ALL SELECT 'report', count(*), count(*)::VARCHAR || ' parsed, 0 gaps' FROM s")
+def validated_ids(spark, sf_dir):
+    """Ids of two characters or more in order, every third without its label, which the band gives back; the run has no gap."""
+    s = table(spark, sf_dir, "supplier").withColumn("n", numerals.format_numeral(F.col("s_suppkey") + 11))
+    e = s.select((F.col("s_suppkey") + 11).alias("page"), F.lit("富").alias("geometric"), F.lit(0).alias("entry"), F.expr(_READ).alias("text"), F.col("s_suppkey").alias("ordinal"))
+    report, _ = graph_plan.validate(e, Profile())
+    found = graph_plan.recovered(e, Profile()).select(F.lit("recovered").alias("part"), "page", F.col("own_id").alias("id"))
+    said = report.select(F.lit("report").alias("part"), F.col("observed").alias("page"), F.concat(F.col("parsed").cast("string"), F.lit(" parsed, "), F.col("gaps").cast("string"), F.lit(" gaps")).alias("id"))
+    return found.unionByName(said)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import re
 import tempfile
 import uuid
@@ -59,6 +61,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Busy(RuntimeError):
+    """Another job holds the document."""
+
+
 class Store:
     """A folder of Parquet tables, each replaced as a whole: a new version is written, then named as the current one.
 
@@ -71,6 +77,52 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    @classmethod
+    def create(cls, spark: SparkSession, path: str) -> Store:
+        """A new store, marked with this version; one that is there already is opened."""
+        store = cls(spark, path)
+        marker, fs = store._hadoop(f"{store.path}/STORE")
+        if not fs.exists(marker):
+            part, _ = store._hadoop(f"{store.path}/.STORE-{uuid.uuid4().hex}")
+            out = fs.create(part, True)
+            out.write(bytearray(str(VERSION).encode()))
+            out.close()
+            fs.rename(part, marker)
+        return cls.discover(spark, path)
+
+    @classmethod
+    def discover(cls, spark: SparkSession, path: str) -> Store:
+        """The store whose marker lies in a folder or the nearest above it; a later version's, or none, is an error."""
+        at = path.rstrip("/")
+        while True:
+            store = cls(spark, at)
+            marker, fs = store._hadoop(f"{at}/STORE")
+            if fs.exists(marker):
+                version = int(spark.read.text(f"{at}/STORE").first()[0])
+                if version > VERSION:
+                    raise ValueError(f"{at} is of version {version}, this program of {VERSION}")
+                return store
+            above = marker.getParent().getParent()
+            if above is None:
+                raise FileNotFoundError(f"no store in {path} or above")
+            at = above.toString().rstrip("/")
+
+    @contextlib.contextmanager
+    def job(self, document_id: str):
+        """Holds a document for one job; ``Busy`` at once if another does. The holder's name is a file that only one can create."""
+        lock, fs = self._hadoop(f"{self.path}/locks/{hashlib.sha256(document_id.encode()).hexdigest()[:32]}")
+        fs.mkdirs(lock.getParent())
+        try:
+            held = fs.createNewFile(lock)
+        except Exception as e:  # a file system that says so by an exception
+            raise Busy(f"{document_id} is held by another job") from e
+        if not held:
+            raise Busy(f"{document_id} is held by another job")
+        try:
+            yield self
+        finally:
+            fs.delete(lock, False)
+
     def _hadoop(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())

@@ -366,3 +366,17 @@ def test_small_reports(spark, rows):
 
 def geometry_second(right, pitch):
     return right - pitch
+
+
+def test_colour_far_from_neutral():
+    """Known values of CIELAB, a mask that grows, and paper that comes to one tone."""
+    known = {(255, 255, 255): (255, 128, 128), (0, 0, 0): (0, 128, 128), (255, 0, 0): (136, 208, 195), (0, 255, 255): (232, 80, 114)}
+    page = np.array([list(known)], np.uint8)
+    assert np.abs(imaging.lab(page)[0].astype(int) - np.array(list(known.values()))).max() <= 1
+    spot = np.full((9, 9, 3), 200, np.uint8)
+    spot[4, 4] = (0, 255, 255)
+    assert imaging.chroma_mask(spot, grow=0).sum() == 1 and imaging.chroma_mask(spot).sum() == 5 and not imaging.chroma_mask(spot[..., 0]).any()
+    slope = np.repeat(np.linspace(120, 240, 60)[None], 50, 0)
+    flat = imaging.flatten_background(slope, 5)
+    assert abs(int(flat[:, 20:40].min()) - 200) <= 2 and abs(int(flat[:, 20:40].max()) - 200) <= 2
+    assert np.allclose(imaging.blurred(np.full((7, 3), 9.0), 4), 9)

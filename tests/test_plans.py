@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from strandline.plans import driver, graph
+from strandline.functions import keys
+from strandline.plans import driver, graph, jobs
 from strandline.profile import Profile
 from strandline.sources import readers, writers
-from strandline.store import TABLES, Store, shared_dir
+from strandline.store import TABLES, Busy, Store, shared_dir
 from strandline.streaming import events
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -196,6 +197,44 @@ def test_replacement_that_stops_half_way(spark, store, tmp_path, monkeypatch):
     assert [r["page_index"] for r in held.collect()] == [1]  # a reader keeps the version it opened
 
 
+def test_store_is_marked_and_held(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        Store.discover(spark, f"file://{tmp_path}/a/b")
+    s = Store.create(spark, f"file://{tmp_path}/a")
+    assert Store.discover(spark, f"file://{tmp_path}/a/b/c").path.rstrip("/").endswith("/a") and Store.create(spark, s.path).path == s.path
+    with s.job("d"), s.job("other"):
+        with pytest.raises(Busy), s.job("d"):
+            pass
+    with pytest.raises(ZeroDivisionError), s.job("d"):
+        raise ZeroDivisionError
+    with s.job("d"):
+        pass
+    (tmp_path / "a" / "STORE").write_text("99")
+    (tmp_path / "a" / ".STORE.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="99"):
+        Store.discover(spark, s.path)
+
+
+def test_job_of_all_stages(spark, tmp_path):
+    s = Store.create(spark, f"file://{tmp_path}")
+    told = list(jobs.prepare(s, "d", {"layout": lambda: "3 bands"}, "r"))
+    assert [(e["stage"], e["status"]) for e in told] == [(x, y) for x in jobs.STAGES for y in ("started", "completed")]
+    assert [e["detail"] for e in told if e["detail"]] == ["3 bands"] and {e["total"] for e in told} == {7}
+    assert s.read("processing_runs").first()["status"] == "completed"
+    stopped = jobs.prepare(s, "d", {}, "r2")
+    next(stopped)
+    stopped.close()  # whoever listens goes away: the run has failed, the document is free
+    assert {r["id"]: r["status"] for r in s.read("processing_runs").collect()} == {"r": "completed", "r2": "failed"}
+    with pytest.raises(KeyError, match="paint"):
+        next(jobs.prepare(s, "d", {"paint": lambda: None}, "r3"))
+
+
+def test_document_ids():
+    good = ["a", "丙辰庶富教1", "é", "a.b c", "x" * 200]
+    bad = [None, "", " a", "a ", ".a", "a.", "e\u0301", "x" * 201, "漢" * 67, "a/b", "a\\b", "a:b", "a\tb", "nul", "COM1.txt", "Lpt9"]
+    assert [keys.id_problem(x) for x in good] == [None] * len(good) and all(keys.id_problem(x) for x in bad)
+
+
 def test_folder_is_shared(spark):
     from types import SimpleNamespace
 
