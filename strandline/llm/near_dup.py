@@ -4,9 +4,10 @@ Documents are sets of word shingles; equal sets are one class. From two small co
 tuples the key of table (i, j) joins tuple i of one and tuple j of the other, so the tables are the
 product of two numbers of tuples, of which each costs its minhashes once. Chunks first send their
 keys alone, to find those of several classes; classes with such keys meet with their minhashes, and
-pairs whose minhashes agree enough are joined into families, by spanning links. The members of a
-family are then compared exactly, on full sets, in blocks of bounded size, and the documents linked
-there make up the components.
+pairs whose minhashes agree enough are joined into families, by spanning pairs. Each of these pairs is
+then confirmed on full sets, which is work in proportion to the members. Where the confirmed links
+leave a family in several parts, its members are compared with those outside the largest part, in
+blocks of bounded size, so that no link is missed for having been left out of the spanning pairs.
 """
 
 from __future__ import annotations
@@ -285,14 +286,9 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keys = firsts.groupBy("chunk").applyInArrow(send_keys, "bucket int, chunk int, data binary, held binary")
     wanted = keys.groupBy("bucket").applyInArrow(shared, "chunk int, data binary, blocks binary")
     members = firsts.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(send_members, "bucket int, cells binary")
-    families = written(components(members.groupBy("bucket").applyInArrow(join_up, "a long, b long")), "families")
-
-    # Blocks of a family, small enough for one task; each pair of blocks meets once.
-    sizes = families.join(firsts.select(F.col("doc_id").alias("node"), "mark", "n"), "node")
-    blocks = sizes.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
-    dealt = sizes.join(blocks, "component").select("node", "mark", "component", "blocks", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("block"))
-    dealt = dealt.select("node", "mark", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "block").alias("i"), F.greatest(i, "block").alias("j")))).alias("task"))
-    held = rows.join(dealt.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
+    near = members.groupBy("bucket").applyInArrow(join_up, "a long, b long")
+    near = written(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near")
+    own = firsts.select(F.col("doc_id").alias("node"), "mark", "n")
 
     def full(batches):
         known = _Words()
@@ -302,7 +298,58 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 bodies = [shingle_set(t or b"", words, known).tobytes() for t in raw(part["text"])]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([xxhash.xxh3_128_digest(x) for x in bodies], pa.binary()), pa.array(bodies, pa.binary())], ["node", "mark", "shingles"])
 
-    sets = held.mapInArrow(full, "node long, mark binary, shingles binary")
+    def with_sets(nodes: DataFrame) -> DataFrame:
+        """Rows with a node, and its full set; the text that the mark tells, where an id has several."""
+        held = rows.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").mapInArrow(full, "node long, mark binary, shingles binary")
+        return nodes.join(own.select("node", "mark"), "node").join(held, ["node", "mark"])
+
+    def blocks_of(count, shingles):
+        return F.greatest(F.ceil(F.greatest(count / MEMBERS, shingles / SHINGLES)).cast("int"), F.lit(1))
+
+    # Each near pair on full sets: a class with its partners, a bounded number of which make a star, and stars by bucket.
+    parts = near.join(own.select(F.col("node").alias("a"), "n"), "a").groupBy("b").agg(blocks_of(F.count("*"), F.sum("n")).alias("parts"))
+    spokes = near.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("node"))
+    spokes = written(spokes, "spokes")
+    load = spokes.join(own, "node").agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).first()
+    buckets = max(1, math.ceil(load["n"] / (2 * MEMBERS)), math.ceil((load["shingles"] or 0) / SHINGLES))
+    stars = spokes.unionByName(spokes.select("b", "part", F.col("b").alias("node")).distinct()).withColumn("bucket", F.pmod(F.xxhash64("b", "part"), F.lit(buckets)).cast("int"))
+
+    def confirm_stars(table: pa.Table) -> pa.Table:
+        """The links among a bucket's pairs of a class and a partner."""
+        hub, part, node = (table[c].to_numpy() for c in ("b", "part", "node"))
+        bodies, out = table["shingles"].to_pylist(), [[], []]
+        order = np.lexsort((node != hub, part, hub))  # the hub itself comes first in its star
+        cut = np.flatnonzero(np.r_[True, (np.diff(hub[order]) != 0) | (np.diff(part[order]) != 0), True])
+        for low, high in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            at = order[low:high]
+            if node[at[0]] != hub[at[0]]:
+                raise ValueError("a star without its hub")
+            centre, others = np.frombuffer(bodies[at[0]], np.uint64), [np.frombuffer(bodies[i], np.uint64) for i in at[1:]]
+            if others:
+                n, values = np.array(list(map(len, others))), np.concatenate(others)
+                hit = centre[np.minimum(np.searchsorted(centre, values), len(centre) - 1)] == values
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+                link = 100 * both >= similarity * (n + len(centre) - both)
+                out[0].extend(node[at[1:]][link].tolist())
+                out[1].extend([int(hub[at[0]])] * int(link.sum()))
+        trim()
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    linked_pairs = written(with_sets(stars).select("bucket", "b", "part", "node", "shingles").groupBy("bucket").applyInArrow(confirm_stars, "a long, b long"), "linked")
+    found = written(components(linked_pairs), "linked")
+
+    # A family that these links don't join as a whole is compared further: all members with those outside its largest part.
+    family = components(near).withColumnRenamed("component", "family")
+    placed = family.join(found, "node", "left").withColumn("sub", F.coalesce("component", "node")).join(own, "node")
+    subs = placed.groupBy("family", "sub").agg(F.count("*").alias("size"))
+    main = subs.groupBy("family").agg(F.max_by("sub", F.struct("size", -F.col("sub"))).alias("main"), F.count("*").alias("subs")).where("subs > 1")
+    split = written(placed.join(main, "family").select("node", "family", "n", (F.col("sub") != F.col("main")).alias("rest")), "split")
+    rest_n, rest_shingles = F.count(F.when(F.col("rest"), 1)), F.sum(F.when(F.col("rest"), F.col("n")))
+    sizes = split.groupBy("family").agg(blocks_of(rest_n, rest_shingles).alias("rows"), blocks_of(F.count("*"), F.sum("n")).alias("cols"))
+    dealt = split.join(sizes, "family")
+    place = lambda c: F.pmod(F.xxhash64("node", F.lit(7)), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    tasks = dealt.select("node", "family", every("rows").alias("i"), place("cols").alias("j")).unionByName(dealt.where("rest").select("node", "family", place("rows").alias("i"), every("cols").alias("j"))).distinct()
 
     def confirm(table: pa.Table) -> pa.Table:
         names, which = np.unique(table["node"].to_numpy(), return_index=True)
@@ -313,9 +360,14 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         trim()
         return pa.table({"a": names, "b": names[label]})
 
-    links = dealt.join(sets, ["node", "mark"]).select("component", "task", "node", "shingles").groupBy("component", "task").applyInArrow(confirm, "a long, b long")
-    found = components(links)
-    found = found.join(firsts.select(F.col("doc_id").alias("node"), "mark"), "node").select("mark", "component")
+    more = with_sets(tasks).select("family", "i", "j", "node", "shingles").groupBy("family", "i", "j").applyInArrow(confirm, "a long, b long").where("a <> b").distinct()
+    # Links between parts, each named by its smallest member, so what is joined here is named so too.
+    name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_sub"))
+    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_sub", "a").alias("a"), F.coalesce("b_sub", "b").alias("b"))
+    joined = written(components(between).select(F.col("node").alias("component"), F.col("component").alias("whole")), "joined")
+    single = joined.select(F.col("component").alias("node"), "whole").join(found, "node", "left_anti").select("node", F.col("whole").alias("component"))
+    found = found.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(single)
+    found = found.join(own.select("node", "mark"), "node").select("mark", "component")
     named = classes.join(found, "mark", "left").select("mark", F.coalesce("component", "rep").alias("component_id"))
     out = signs.join(written(named, "named"), "mark", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))

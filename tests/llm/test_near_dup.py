@@ -45,6 +45,22 @@ def test_components(spark, docs, odd_rows, monkeypatch, words, group, members):
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, exact(rows, words)))
 
 
+@pytest.mark.parametrize("members", [2, 1024])
+def test_links_beside_the_spanning_pairs(spark, docs, monkeypatch, members):
+    """The first of each family is near the others but linked with none of them: their own links are found all the same."""
+    monkeypatch.setattr(near_dup, "MEMBERS", members)
+    rows = []
+    for f in range(12):
+        first = prose(600 + f, 60).split()
+        second = [f"x{f}_{i}" if i % 12 == 5 else w for i, w in enumerate(first)]
+        rows += [(100 * f, " ".join(first)), (100 * f + 1, " ".join(second)), (100 * f + 2, " ".join(second[:-1])), (100 * f + 3, " ".join([*second[:-1], "end"]))]
+    want = exact(rows, 2)
+    assert len([1 for i, _, c in want if c != i]) == 24 and all(c == i for i, _, c in want if i % 100 < 2)
+    # With few and short keys nearly all of a family share one, and are spanned from its first alone.
+    got = near_dup.find_near_duplicates(docs(rows), words=2, width=1, tuples=3)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_nothing(spark, docs):
     assert near_dup.find_near_duplicates(docs([])).count() == 0
     assert [tuple(r) for r in near_dup.find_near_duplicates(docs([(5, None)])).collect()] == [(5, 0, 5)]
