@@ -13,12 +13,12 @@ from ..store import written
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Rows with their place, from 1, in a total order.
 
-    Rows are dealt into ranges and written; the ranges' sizes, a row each, are summed up, and rows are
-    numbered within their range. Equal ordering keys come to one range; the order should tell all apart.
+    Rows are dealt into ranges, as many as their size asks for, and written; the ranges' sizes, a row
+    each, are summed up, and rows are numbered within their range. Equal ordering keys come to one
+    range; the order should tell all apart.
     """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Bounds are sampled anew whenever ranges are dealt, so what was dealt is written down once.
-    dealt = written(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    dealt = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     dealt = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import json
 import zipfile
 from collections.abc import Sequence
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from ..operators.graph import gedcom_lines, sort_rank
 from ..operators.sequence import rate
 from ..operators.stats import numbered
 
+#: Rows of a report at most.
+ROWS = 10_000
 PEOPLE = ("person_key", "generation", "own_id", "own_value", "father_key", "father_name", "birth_order", "additional_info", "link_status")
 TRANSCRIPTION = ("page", "band", "entry", "source", "text", "own_id", "parent", "birth_order", "additional_info")
 
@@ -32,15 +34,14 @@ def people_lines(persons: DataFrame, labels: tuple[str, ...], document_id: str)
     return head.unionByName(rows.select("place", tsv(PEOPLE).alias("line")))
 
 
-def write_lines(lines: DataFrame, path: str, order: Sequence[str], files: int = 1) -> None:
-    """Lines in order as text. A large export is a folder of files whose names sort as their lines do."""
-    if files == 1:
-        lines.orderBy(*order).coalesce(1).select("line").write.mode("overwrite").text(path)
-    else:
-        lines.repartitionByRange(files, *order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, order: Sequence[str], files: int | None = None) -> None:
+    """Lines in order as text: a folder of files whose names sort as their lines do, as many as their size asks for, or ``files``."""
+    dealt = lines.repartitionByRange(files, *order) if files else lines.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
 def write_people(persons: DataFrame, labels: tuple[str, ...], document_id: str, path: str) -> int:
+    """How many people were written. ``persons`` is read twice, so it should be a written table."""
     write_lines(people_lines(persons, labels, document_id), path, ["place"])
     return persons.count()
 
@@ -74,8 +75,10 @@ def queue_lines(queue: DataFrame) -> DataFrame:
 
 
 def markdown(table: DataFrame, title: str) -> str:
-    """A small aggregated table as Markdown; what is written is what was counted."""
-    rows = table.collect()
+    """A small aggregated table as Markdown; what is written is what was counted. A table of more than ``ROWS`` rows is no report."""
+    rows = table.limit(ROWS + 1).collect()
+    if len(rows) > ROWS:
+        raise ValueError(f"a report has {ROWS} rows at most")
     head = f"# {title}\n\n| {' | '.join(table.columns)} |\n|{'---|' * len(table.columns)}\n"
     return head + "".join(f"| {' | '.join('' if x is None else f'{x:.4g}' if isinstance(x, float) else str(x) for x in r)} |\n" for r in rows)
 
@@ -86,14 +89,14 @@ def scorecard_markdown(card: DataFrame) -> str:
     return markdown(card.select("reviewed", "eligible", "machine_present", *[share(c) for c in ("own_id_exact", "parent_exact", "order_exact", "exact_core")]), "Corrections")
 
 
-def bundle(parts: dict[str, DataFrame], counts: dict) -> bytes:
-    """Small exports as one archive with a summary."""
-    out = io.BytesIO()
+def bundle(parts: dict[str, DataFrame], counts: dict, out: BinaryIO) -> None:
+    """Exports as one archive with a summary, written to an open file. Lines stream by, a partition at a time."""
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, lines in parts.items():
-            z.writestr(name, "".join(f"{r['line']}\n" for r in lines.orderBy("place").collect()))
+            with z.open(name, "w", force_zip64=True) as f:
+                for r in lines.orderBy("place").toLocalIterator():
+                    f.write(f"{r['line']}\n".encode())
         z.writestr("summary.json", json.dumps(counts, ensure_ascii=False, indent=1))
-    return out.getvalue()
 
 
 def ndjson(events) -> str:

@@ -1,4 +1,5 @@
 import os
+import zipfile
 
 import duckdb
 import pytest
@@ -270,7 +271,16 @@ def test_writers(spark, tmp_path):
     lines, counts = writers.transcription(df)
     assert {r["place"]: r["line"] for r in lines.collect()}[0].split("\t")[4] == "a b c"
     assert {r["source"]: r["entries"] for r in counts.collect()} == {"human": 1, "machine": 1} and writers.verified(df).count() == 1
-    assert writers.bundle({"a.tsv": lines}, {"n": 2})[:2] == b"PK"
+    with open(tmp_path / "all.zip", "wb") as f:
+        writers.bundle({"a.tsv": lines}, {"n": 2}, f)
+    with zipfile.ZipFile(tmp_path / "all.zip") as z:
+        assert z.read("a.tsv").decode().splitlines() == [r["line"] for r in lines.orderBy("place").collect()] and b'"n": 2' in z.read("summary.json")
+    many = spark.range(30_000).select(F.col("id").alias("place"), F.concat(F.lit("row "), F.col("id").cast("string"), F.repeat(F.lit("x"), 90)).alias("line")).repartition(5)
+    writers.write_lines(many, f"file://{tmp_path}/many", ["place"])
+    files = sorted((tmp_path / "many").glob("part-*"))
+    assert [int(x.split("x")[0][4:]) for f in files for x in f.read_text().splitlines()] == list(range(30_000))
+    with pytest.raises(ValueError, match="rows at most"):
+        writers.markdown(spark.range(writers.ROWS + 1), "t")
     assert writers.ndjson([{"type": "progress"}, {"type": "result"}]).count("\n") == 2
     for bad in ([], [{"type": "progress"}], [{"type": "result"}, {"type": "error"}]):
         with pytest.raises(ValueError, match="one result"):
