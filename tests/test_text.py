@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import fields, keys, numerals, text
-from strandline.functions.watermarks import filter_watermark
+from strandline.functions.fields import drop_watermark
+from strandline.functions.watermarks import GLYPHS, MARKS, filter_watermark
 from strandline.profile import Profile
 
 
@@ -139,3 +142,14 @@ def test_profile():
     assert Profile.from_title("丙辰清廉麗熙2").chain == ("清", "廉", "麗", "熙")
     assert Profile.from_dict({"document_id": "x", "band_labels": ["富"], "generation_chain": ["庶", "富"], "unknown": 1}).chain == ("庶", "富")
     assert Profile(numeral_confusions={"大": "六", "ab": "三", "x": "y"}).repairs == {"干": "千", "大": "六"}
+
+
+def test_both_forms_of_the_watermark_rules(spark):
+    """The parser's and the columns' rules say the same of any mixture of stamp, capitals, marks, spaces and text."""
+    r = random.Random(17)
+    parts = [*MARKS, *GLYPHS, "FUYANG", "XFUYANGA", "FUYAB", "LIBRARY", "LIBRAR", "LIBR", "BRARY", "RARY", "EIBRAR", "A", "AB", "ABC", "ABCD", "a", "一", "子", " ", "  ", "\t", "\n", "\r\n", "　", ",", "。", "·", "|", "-", "名"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", filter_watermark(F.col("t")).alias("w"))
+    for row in df.select("i", "w.*").collect():
+        clean, gone = drop_watermark(texts[row["i"]])
+        assert (row["text"] or "", row["removed"]) == (clean, gone), texts[row["i"]]
