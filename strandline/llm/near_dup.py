@@ -298,10 +298,11 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 bodies = [shingle_set(t or b"", words, known).tobytes() for t in raw(part["text"])]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([xxhash.xxh3_128_digest(x) for x in bodies], pa.binary()), pa.array(bodies, pa.binary())], ["node", "mark", "shingles"])
 
-    def with_sets(nodes: DataFrame) -> DataFrame:
-        """Rows with a node, and its full set; the text that the mark tells, where an id has several."""
-        held = rows.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").mapInArrow(full, "node long, mark binary, shingles binary")
-        return nodes.join(own.select("node", "mark"), "node").join(held, ["node", "mark"])
+    # Full sets of the members of near pairs, worked out once: of an id with several texts, that of the class's mark. The
+    # join is one by shuffle at every size, as its sides grow with the input.
+    nodes = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "doc_id").hint("merge")
+    held = rows.join(nodes, "doc_id").mapInArrow(full, "node long, mark binary, shingles binary")
+    sets = written(held.join(own.select("node", "mark"), ["node", "mark"], "left_semi").select("node", "shingles"), "sets")
 
     def blocks_of(count, shingles):
         return F.greatest(F.ceil(F.greatest(count / MEMBERS, shingles / SHINGLES)).cast("int"), F.lit(1))
@@ -335,7 +336,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         trim()
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
-    linked_pairs = written(with_sets(stars).select("bucket", "b", "part", "node", "shingles").groupBy("bucket").applyInArrow(confirm_stars, "a long, b long"), "linked")
+    linked_pairs = written(stars.join(sets, "node").select("bucket", "b", "part", "node", "shingles").groupBy("bucket").applyInArrow(confirm_stars, "a long, b long"), "linked")
     found = written(components(linked_pairs), "linked")
 
     # A family that these links don't join as a whole is compared further: all members with those outside its largest part.
@@ -360,7 +361,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         trim()
         return pa.table({"a": names, "b": names[label]})
 
-    more = with_sets(tasks).select("family", "i", "j", "node", "shingles").groupBy("family", "i", "j").applyInArrow(confirm, "a long, b long").where("a <> b").distinct()
+    more = tasks.join(sets, "node").select("family", "i", "j", "node", "shingles").groupBy("family", "i", "j").applyInArrow(confirm, "a long, b long").where("a <> b").distinct()
     # Links between parts, each named by its smallest member, so what is joined here is named so too.
     name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_sub"))
     between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_sub", "a").alias("a"), F.coalesce("b_sub", "b").alias("b"))
