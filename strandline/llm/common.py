@@ -1,46 +1,23 @@
-"""What several operators of this package share: chunking, the shared folder, byte helpers."""
+"""What several operators of this package share: chunking, byte helpers, and the store's shared folder."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import math
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import shared_dir, written  # noqa: F401 (for the modules beside this one)
+
 #: ASCII white space of the token and line rules: space and 0x09 to 0x0D.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``.
-
-    Where that is unset, a session whose executors are this very process gets a local folder; on a
-    cluster no folder of one machine will do, so that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet into the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def chunk_count(docs: DataFrame, text: str, target: int) -> int:
     """How many chunks of about ``target`` bytes of text there are; one aggregate over the text column."""
     total = docs.agg(F.sum(F.octet_length(text) + 16)).first()[0] or 0

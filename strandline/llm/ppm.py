@@ -251,17 +251,24 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         texts, value = raw(own["text"]), np.concatenate([unpack(x, float) for x in known["values"].to_pylist()])
         table = HashTable(np.concatenate([unpack_keys(x) for x in known["keys"].to_pylist()]))
         tokens_seen, vocabulary = sum(known["tokens"].to_pylist()), sum(known["vocabulary"].to_pylist())
+
+        def found_at(keys: np.ndarray) -> np.ndarray:
+            at = table.find(keys)
+            if len(at) and at.min() < 0:
+                raise ValueError("a chunk's string came back without its value")
+            return at
+
         rest = float(np.log10(tokens_seen + 0.1 * (vocabulary + 1)))
         total = np.zeros(len(texts))
         for code, first, starts in _strings(texts, order):
-            got = np.concatenate([value[table.find(code)], [0.0]])
+            got = np.concatenate([value[found_at(code)], [0.0]])
             part = np.where(np.diff(np.r_[starts, len(code)]) > 0, np.add.reduceat(got, starts), 0) if len(starts) else []
             total[first : first + len(part)] += part
         words = {END}
         for t in texts:
             words.update(t.lower().split())
         asked = np.fromiter(map(word_key, words), np.int64, len(words)).view(np.uint64)
-        logs = dict(zip(words, np.log10(value[table.find(asked)] + 0.1).tolist(), strict=True))
+        logs = dict(zip(words, np.log10(value[found_at(asked)] + 0.1).tolist(), strict=True))
         del words, asked
         tokens, found, base = [], [], []
         for t in texts:
