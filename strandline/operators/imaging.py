@@ -162,6 +162,93 @@ def rules(tone: np.ndarray, least: float = 0.5) -> list[tuple[float, float]]:
     return [(p, c) for p, c, _, _ in rule_extents(tone, least)]
 
 
+def fitted_rules(ink: np.ndarray, least: float = 0.35, thin: float = 0.006) -> list[dict]:
+    """Long thin rules across a mask of ink, broken or skewed, by their middle: a line fitted to each.
+
+    Works on runs: those of a row with a gap of less than a 25th of the width between them are one,
+    and of these the ones of a quarter of the least length stay; runs that touch in neighbouring rows
+    are one rule. It counts if it is ``least`` of the width long, and on average no thicker than
+    ``thin`` of the height. For upright rules pass the mask turned.
+    """
+    height, width = ink.shape
+    bridge, short = max(int(width * 0.04), 5), max(int(width * least * 0.25), 15)
+    edge = np.diff(np.pad(ink.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, a), b = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+    first = np.r_[True, (row[1:] != row[:-1]) | (a[1:] - b[:-1] >= bridge)] if len(a) else np.zeros(0, bool)
+    row, a, b = row[first], a[first], b[np.r_[first[1:], True]] if len(a) else b
+    keep = b - a >= short
+    row, a, b = row[keep], a[keep], b[keep]
+    owner = np.arange(len(row))
+
+    def root(i: int) -> int:
+        while owner[i] != i:
+            owner[i] = owner[owner[i]]
+            i = owner[i]
+        return i
+
+    begin = np.searchsorted(row, np.arange(height + 1))
+    for y in range(1, height):
+        for i in range(begin[y], begin[y + 1]):
+            for j in range(begin[y - 1], begin[y]):
+                if a[i] <= b[j] and a[j] <= b[i]:
+                    p, q = root(i), root(j)
+                    owner[max(p, q)] = min(p, q)
+    out = []
+    names = np.array([root(i) for i in range(len(row))], int)
+    for name in np.unique(names):
+        own = names == name
+        y, low, n = row[own].astype(float), a[own].astype(float), (b - a)[own].astype(float)
+        start, end, area = low.min(), (low + n).max() - 1, n.sum()
+        if end - start < max(width * least, 2) or area / (end - start) > height * thin:
+            continue
+        # Sums over a run's pixels: x goes from low to low + n - 1, y stays.
+        sx, sy = (n * low + n * (n - 1) / 2).sum(), (n * y).sum()
+        sxx = (n * low * low + low * n * (n - 1) + (n - 1) * n * (2 * n - 1) / 6).sum()
+        sxy = (y * (n * low + n * (n - 1) / 2)).sum()
+        slope = (area * sxy - sx * sy) / (area * sxx - sx * sx)
+        level = (sy - slope * sx) / area
+        out.append({"position": level + slope * width / 2, "slope": slope, "coverage": (end - start) / width, "start": start, "end": end, "thickness": area / (end - start)})
+    return sorted(out, key=lambda r: r["position"])
+
+
+def detect_rules(image: Column, upright: bool = False, least: float = 0.35, thin: float = 0.006) -> Column:
+    """array of struct(position, slope, coverage, start, end, thickness) of a page's rules; null where the image can't be read."""
+
+    @F.pandas_udf("array<struct<position:double,slope:double,coverage:double,start:double,end:double,thickness:double>>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for frame in batches:
+            out = []
+            for row in frame.to_dict("records"):
+                pixels = unpack(row)
+                ink = None if pixels is None else gray(pixels) < INK
+                out.append(None if ink is None else fitted_rules(ink.T if upright else ink, least, thin))
+            yield pd.Series(out)
+
+    return run(image)
+
+
+def contact_sheet(images: list[np.ndarray], height: int = 64, gap: int = 2) -> np.ndarray:
+    """Images side by side at one height, with white between them; gray ones stay gray if all are."""
+    colour = any(x.ndim == 3 for x in images)
+    tiles = []
+    for x in images:
+        wide = max(1, round(x.shape[1] * height / x.shape[0]))
+        x = x[np.arange(height) * x.shape[0] // height][:, np.arange(wide) * x.shape[1] // wide]
+        tiles.append(np.pad(np.repeat(x[..., None], 3, 2) if colour and x.ndim == 2 else x, [(0, 0), (0, gap)] + [(0, 0)] * colour, constant_values=255))
+    return np.concatenate(tiles, axis=1)
+
+
+def contact_sheets(crops: DataFrame, keys: list[str], order: str, image: str = "crop", height: int = 64) -> DataFrame:
+    """(keys, sheet): each group's crops that can be read, in order, as one image; a group is a page's or a column's crops."""
+
+    def sheet(frame: pd.DataFrame) -> pd.DataFrame:
+        found = [x for x in map(unpack, frame.sort_values(order)[image]) if x is not None]
+        return pd.DataFrame([(*frame[keys].iloc[0], pack(contact_sheet(found, height)) if found else None)], columns=[*keys, "sheet"])
+
+    kinds = ", ".join(f"{k} {crops.schema[k].dataType.simpleString()}" for k in keys)
+    return crops.select(*keys, order, image).groupBy(*keys).applyInPandas(sheet, f"{kinds}, sheet {IMAGE}")
+
+
 def page_bands(tone: np.ndarray, least: float = STRICT) -> list[tuple[float, float]]:
     """(top, bottom) of the bands between a normalised page's rules. Rules within 24 pixels are one, those at the margin the frame; slivers are left out."""
     height, merged = len(tone), []

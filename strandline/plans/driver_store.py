@@ -621,6 +621,27 @@ def page_bands(spark, sf_dir):
     return found.select("p_partkey", "b.top", "b.bottom")
 
 
+@query(
+    """WITH p AS (SELECT p_partkey, 20 + p_size % 20 AS s FROM part), x AS (SELECT *, unnest(generate_series(0, 59)) AS x FROM p), f AS (SELECT p_partkey, regr_slope(10 + (x >= s)::INT, x) AS m, regr_intercept(10 + (x >= s)::INT, x) AS c FROM x GROUP BY p_partkey)
+SELECT p_partkey, 1 AS rules, round(m, 6) AS slope, round(c + 30 * m, 6) AS position, 0.0::DOUBLE AS "start", 59.0::DOUBLE AS "end" FROM f"""
+)
+def skewed_rules(spark, sf_dir):
+    """Rules that step down by a pixel and have a gap are one fitted line; a short stroke beside them is none."""
+    s = F.col("p_size") % 20 + 20
+    page = _image(20, 60, 1, _strip((300, "FF"), (10, "00"), (290, "FF"), (8, "00"), (2, "FF"), (s - 10, "00"), (60 - s, "FF"), (s, "FF"), (60 - s, "00"), (480, "FF")))
+    found = table(spark, sf_dir, "part").select("p_partkey", imaging.detect_rules(page, thin=0.1).alias("r"))
+    r = found.select("p_partkey", F.size("r").alias("rules"), F.get("r", 0).alias("r"))
+    return r.select("p_partkey", "rules", *[F.round(f"r.{c}", 6).alias(c) for c in ("slope", "position")], "r.start", "r.end")
+
+
+@query("SELECT p_size % 4 AS page, 20 AS height, (6 * count(*))::INT AS width, (20 * 4 * count(*))::INT AS dark FROM part GROUP BY page")
+def sheets(spark, sf_dir):
+    """Dark crops of two by ten pixels at twice their size, side by side, with white between them."""
+    crops = table(spark, sf_dir, "part").select((F.col("p_size") % 4).alias("page"), "p_partkey", _image(10, 2, 1, _strip((20, "00"))).alias("crop"))
+    sheet = imaging.contact_sheets(crops, ["page"], "p_partkey", height=20).select("page", "sheet.*")
+    return sheet.select("page", "height", "width", ((F.length(F.hex("pixels")) - F.length(F.replace(F.hex("pixels"), F.lit("00"), F.lit("")))) / 2).cast("int").alias("dark"))
+
+
 @query("SELECT p_partkey, (70 + p_size % 30)::DOUBLE AS pitch FROM part")
 def column_pitch(spark, sf_dir):
     """Pages of strokes at equal distances: the pitch is found."""

@@ -380,3 +380,27 @@ def test_colour_far_from_neutral():
     flat = imaging.flatten_background(slope, 5)
     assert abs(int(flat[:, 20:40].min()) - 200) <= 2 and abs(int(flat[:, 20:40].max()) - 200) <= 2
     assert np.allclose(imaging.blurred(np.full((7, 3), 9.0), 4), 9)
+
+
+def test_fitted_rules():
+    """Broken and skewed rules are fitted, text and thick bars are not; upright ones are found by turning the mask."""
+    ink = np.zeros((400, 600), bool)
+    x = np.arange(40, 560)
+    ink[np.rint(100 + 0.01 * x).astype(int), x] = True
+    ink[:, 200:212] &= False  # a gap that is bridged
+    ink[250:280, 50:550] = True  # a bar, too thick
+    ink[330, 10:100] = True  # too short
+    r = np.random.default_rng(1)
+    ink[300:320] |= r.random((20, 600)) < 0.3  # text
+    (found,) = imaging.fitted_rules(ink)
+    assert abs(found["slope"] - 0.01) < 5e-4 and abs(found["position"] - 103) < 0.2 and (found["start"], found["end"]) == (40, 559)
+    assert imaging.fitted_rules(ink.T) == [] and imaging.fitted_rules(np.zeros((50, 50), bool)) == []
+    ink[:] = False
+    ink[20:380, 77] = True
+    assert [(q["position"], q["slope"]) for q in imaging.fitted_rules(ink.T)] == [(77.0, 0.0)]
+
+
+def test_contact_sheet():
+    a, b = np.zeros((10, 20), np.uint8), np.full((5, 5, 3), 7, np.uint8)
+    sheet = imaging.contact_sheet([a, b], 10, 2)
+    assert sheet.shape == (10, 34, 3) and (sheet[:, 20:22] == 255).all() and (sheet[:, 22:32] == 7).all() and not sheet[:, :20].any()
