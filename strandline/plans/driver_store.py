@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import keys, numerals, text
+from ..functions import fields, keys, numerals, text
 from ..operators import geometry, imaging, latest, layout, reconcile, relational, scoring, stats
 from ..profile import Profile
 from ..sources import readers, writers
@@ -470,6 +470,25 @@ def corpus_template(spark, sf_dir):
     return t.select("bands_per_page", F.round(F.get("tops", 0), 4).alias("top"), F.round(F.get("bottoms", 1), 4).alias("bottom"), F.round("pitch", 4).alias("pitch"), F.round("pitch_mad", 4).alias("pitch_mad"), F.round("text_left", 4).alias("text_left"), "pages")
 
 
+@query("SELECT round(median((1900 + s_suppkey % 7 - 0.75 * (60 + s_suppkey % 40))::DOUBLE), 6) AS anchor FROM supplier")
+def comb_anchor(spark, sf_dir):
+    """The corpus's second tooth, of combs that start a quarter of a pitch beyond the right edge."""
+    k = F.col("s_suppkey")
+    comb = F.struct(F.lit(100.0).alias("left"), (1900.0 + k % 7).alias("right"), (60.0 + k % 40).alias("pitch"))
+    pages = table(spark, sf_dir, "supplier").select(comb.alias("comb"), F.array().cast("array<double>").alias("gutters"))
+    return geometry.phase_anchor(pages, 0.25).select(F.round("anchor", 6).alias("anchor"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 > 0 AND s_suppkey % 3 = 0 THEN (60 + s_suppkey % 40) / 2.0 ELSE 0 END::DOUBLE AS \"offset\" FROM supplier")
+def comb_offsets(spark, sf_dir):
+    """Combs that go on by half a pitch where that brings their second tooth to the corpus's."""
+    k = F.col("s_suppkey")
+    right, pitch = 1900.0 + k % 7, 60.0 + k % 40
+    anchor = F.when(k % 5 > 0, right - F.when(k % 3 == 0, 0.5).otherwise(1.0) * pitch)
+    found = geometry.anchored_offset(F.lit(100.0), right, pitch, F.array().cast("array<double>"), F.lit(0.0), anchor)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", found.alias("offset"))
+
+
 # Scores, reports, exports -------------------------------------------------------------------------
 
 
@@ -832,3 +851,44 @@ def validated_ids(spark, sf_dir):
     found = graph_plan.recovered(e, Profile()).select(F.lit("recovered").alias("part"), "page", F.col("own_id").alias("id"))
     said = report.select(F.lit("report").alias("part"), F.col("observed").alias("page"), F.concat(F.col("parsed").cast("string"), F.lit(" parsed, "), F.col("gaps").cast("string"), F.lit(" gaps")).alias("id"))
     return found.unionByName(said)
+
+
+_N, _F = sql_numeral("c_custkey % 9000 + 1"), sql_numeral("c_nationkey + 1")
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as entries: an id, and a father's id or name with a birth order."""
+    n, f, k = numerals.format_numeral(F.col("c_custkey") % 9000 + 1), numerals.format_numeral(F.col("c_nationkey") + 1), F.col("c_custkey") % 3
+    father = F.when(k == 2, F.lit("某人子")).otherwise(F.concat(F.lit("庶"), f, F.when(k == 0, "長子").otherwise("次女")))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.concat(F.lit("富"), n, father).alias("shown"), F.when((k < 2) & (F.col("c_custkey") % 2 == 0), "教").otherwise("富").alias("geometric"))
+
+
+@query(f"SELECT c_custkey, '富' AS label, '富' || {_N} AS own_id, CASE WHEN c_custkey % 3 < 2 THEN '庶' || {_F} END AS parent_id, CASE WHEN c_custkey % 3 = 2 THEN '某人' END AS parent_name FROM customer")
+def resolved_entries(spark, sf_dir):
+    """Entries whose own fields tell their generation, whatever the page's geometry says."""
+    p = _people(spark, sf_dir).select("c_custkey", fields.resolve_entry(F.col("shown"), F.col("geometric"), Profile(), ("庶", "富", "教")).alias("r"))
+    return p.select("c_custkey", "r.label", "r.parsed.own_id", "r.parsed.parent_id", "r.parsed.parent_name")
+
+
+@query(f"SELECT c_custkey, '富' || {_N} AS own_id, CASE WHEN c_custkey % 3 < 2 THEN '庶' || {_F} END AS parent_id, CASE c_custkey % 3 WHEN 0 THEN '長子' WHEN 1 THEN '次女' ELSE '子' END AS \"order\" FROM customer")
+def registered_parser(spark, sf_dir):
+    """The parser as a function of SQL."""
+    fields.register(spark, Profile())
+    return spark.sql("SELECT c_custkey, p.own_id, p.parent_id, p.`order` FROM (SELECT c_custkey, parse_entry(shown, '富') AS p FROM {people})", people=_people(spark, sf_dir))
+
+
+@query(
+    f"""WITH p AS (SELECT c_mktsegment AS backend, c_custkey % 5 > 0 AS seen, c_custkey % 3 AS k, length('富' || {_N} || CASE c_custkey % 3 WHEN 2 THEN '某人子' ELSE '庶' || {_F} || '長子' END) AS n FROM customer)
+SELECT backend, count(*) AS samples, count(*) FILTER (WHERE seen) AS produced, round(coalesce(sum(n) FILTER (WHERE NOT seen), 0) / sum(n), 6) AS cer, round(count(*) FILTER (WHERE seen) / count(*), 6) AS exact_entry,
+  round(count(*) FILTER (WHERE seen) / count(*), 6) AS own_id_exact, round(count(*) FILTER (WHERE seen AND k < 2) / count(*) FILTER (WHERE k < 2), 6) AS parent_id_exact, round(count(*) FILTER (WHERE seen AND k = 2) / count(*) FILTER (WHERE k = 2), 6) AS parent_name_exact,
+  round(count(*) FILTER (WHERE seen) / count(*), 6) AS order_exact FROM p GROUP BY backend"""
+)
+def gold_scores(spark, sf_dir):
+    """Runs against gold by position: every fifth entry is unread, the others have white space that doesn't count."""
+    p = _people(spark, sf_dir).select("*", F.col("c_custkey").alias("page"), F.lit(1).alias("band_index"), F.lit(0).alias("entry"))
+    read = F.when(F.col("c_custkey") % 5 > 0, F.concat(F.substring("shown", 1, 1), F.lit(" \n"), F.substring(F.col("shown"), F.lit(2), F.length("shown"))))
+    none = F.lit(None).cast("string")
+    run = p.select(F.col("c_mktsegment").alias("backend"), F.lit("gray").alias("variant"), F.lit("tight").alias("context"), none.alias("tag"), "page", "band_index", "entry", read.alias("text"), none.alias("error"), F.lit(1.0).alias("latency_ms"))
+    out = graph_plan.score_runs(run, p.select("page", "band_index", "entry", F.col("shown").alias("text")), Profile(), {1: "富"})
+    rates = ("cer", "exact_entry", "own_id_exact", "parent_id_exact", "parent_name_exact", "order_exact")
+    return out.select("backend", "samples", "produced", *[F.round(c, 6).alias(c) for c in rates])
