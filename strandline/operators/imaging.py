@@ -140,7 +140,8 @@ def dominant_pitch(profile: np.ndarray, low: int = 60, high: int = 400) -> tuple
     top = min(high, len(wave) - 1)
     if not energy or top <= low:
         return 0.0, 0.0
-    likeness = np.array([wave[: len(wave) - k] @ wave[k:] for k in range(low, top)]) / energy
+    size = 1 << (2 * len(wave)).bit_length()
+    likeness = np.fft.irfft(np.abs(np.fft.rfft(wave, size)) ** 2, size)[low:top] / energy
     return float(low + int(likeness.argmax())), float(likeness.max())
 
 
