@@ -892,3 +892,38 @@ def gold_scores(spark, sf_dir):
     out = graph_plan.score_runs(run, p.select("page", "band_index", "entry", F.col("shown").alias("text")), Profile(), {1: "富"})
     rates = ("cer", "exact_entry", "own_id_exact", "parent_id_exact", "parent_name_exact", "order_exact")
     return out.select("backend", "samples", "produced", *[F.round(c, 6).alias(c) for c in rates])
+
+
+@query(
+    f"""WITH kin AS (SELECT '庶' AS generation, n_nationkey + 1 AS own_value, '庶' || {sql_numeral("n_nationkey + 1")} AS own_id, NULL AS father_key, NULL AS father_name, NULL AS birth_order, NULL::INT AS order_rank, 'outside_volume' AS link_status, n_nationkey AS ordinal FROM nation
+  UNION ALL SELECT '富', c_custkey % 9000 + 1, '富' || {_N}, CASE WHEN c_custkey % 3 < 2 THEN '庶:' || (c_nationkey + 1) ELSE '庶#某人' END, CASE WHEN c_custkey % 3 = 2 THEN '某人' END, CASE c_custkey % 3 WHEN 0 THEN '長子' WHEN 1 THEN '次女' ELSE '子' END,
+    CASE c_custkey % 3 WHEN 1 THEN 2 ELSE 1 END, CASE WHEN c_custkey % 3 < 2 THEN 'resolved' ELSE 'named_only' END, 1000 + c_custkey FROM customer)
+SELECT generation || ':' || own_value AS person_key, generation, own_id, own_value, father_key, father_name, birth_order, order_rank, link_status FROM kin QUALIFY row_number() OVER (PARTITION BY generation, own_value ORDER BY ordinal) = 1"""
+)
+def graph_people(spark, sf_dir):
+    """Readings of two generations parsed, resolved and linked: nations are the fathers of their customers."""
+    place = [F.lit("d").alias("document_id"), F.lit(1).alias("page"), F.lit("machine").alias("source")]
+    n = table(spark, sf_dir, "nation").select(*place, F.lit("庶").alias("geometric"), F.concat(F.lit("庶"), numerals.format_numeral(F.col("n_nationkey") + 1)).alias("text"), F.col("n_nationkey").cast("long").alias("ordinal"))
+    c = _people(spark, sf_dir).select(*place, F.lit("富").alias("geometric"), F.col("shown").alias("text"), (F.col("c_custkey") + 1000).alias("ordinal"))
+    g = graph_plan.build(n.unionByName(c).withColumn("entry", F.col("ordinal")), Profile())
+    return graph_plan.persons(g).select("person_key", "generation", "own_id", "own_value", "father_key", "father_name", "birth_order", "order_rank", "link_status")
+
+
+@query("SELECT p_partkey, (200 + p_size)::DOUBLE AS paper, p_size::DOUBLE AS watermark_residual, (140 + p_size)::DOUBLE AS contrast_under, (140 + p_size)::DOUBLE AS contrast_clean, 1.0::DOUBLE AS retention FROM part")
+def stamp_scores(spark, sf_dir):
+    """Paper, a stamp, ink under it and ink beside it, in the rendering that takes the brightest channel."""
+    paper = F.repeat(F.lpad(F.hex(200 + F.col("p_size")), 2, "0"), F.lit(3))
+    page = _image(1, 20, 3, F.unhex(F.concat(F.repeat(paper, F.lit(8)), F.repeat(F.lit("00C8C8"), F.lit(4)), F.repeat(F.lit("003C3C"), F.lit(4)), F.repeat(F.lit("3C3C3C"), F.lit(4)))))
+    p = table(spark, sf_dir, "part").select("p_partkey", page.alias("page"))
+    shown = F.get(imaging.build_variants(F.col("page"), ("maxrgb",)), 0)["image"]
+    return p.select("p_partkey", layout.pixel_scores(F.col("page"), shown).alias("s")).select("p_partkey", "s.*")
+
+
+@query(
+    """WITH t AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), r AS (SELECT row_number() OVER (ORDER BY lang) AS place, '| ' || lang || ' | ' || n || ' |' AS line FROM t)
+SELECT place + 4 AS place, line FROM r UNION ALL SELECT * FROM (VALUES (1, '# Languages'), (2, ''), (3, '| lang | n |'), (4, '|---|---|'))"""
+)
+def report_lines(spark, sf_dir):
+    """A small report as Markdown, line by line."""
+    counted = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang")
+    return spark.createDataFrame(list(enumerate(writers.markdown(counted, "Languages").splitlines(), 1)), "place long, line string")
