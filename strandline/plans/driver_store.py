@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -47,29 +48,32 @@ _VIEWS = {
     "page_layouts": "SELECT concat('l', lpad(CAST(event_id AS STRING), 9, '0')) AS id, DOC(user_id) AS document_id, CAST(user_id AS INT) AS page_index, concat('p', lpad(CAST(event_id % 25 AS STRING), 3, '0')) AS run_id, value AS template_fit FROM {events}",
     "human_corrections": f"""SELECT DOC(o_custkey) AS document_id, CAST(o_custkey AS INT) AS page_index, {_LABEL_SQL} AS band_label, CAST(o_orderkey % 40 AS INT) AS entry_index, CASE WHEN o_orderkey % 11 = 0 THEN 'header' ELSE 'entry' END AS role,
       CASE WHEN o_totalprice < 100000 THEN NULL ELSE concat('h', o_orderkey) END AS transcription, o_totalprice > 300000 AS unreadable FROM {{orders}} WHERE o_orderstatus = 'F'""",
+    "validation_findings": f"""SELECT o_orderkey AS id, DOC(o_custkey) AS document_id, CAST(o_custkey AS INT) AS page_index, {_LABEL_SQL} AS band_label, CAST(o_orderkey % 40 AS INT) AS entry_index,
+      CASE o_orderkey % 3 WHEN 0 THEN 'gap' WHEN 1 THEN 'duplicate' ELSE 'non_monotonic' END AS kind, CASE WHEN o_totalprice > 200000 THEN concat('x', o_orderkey) END AS expected FROM {{orders}} WHERE o_orderstatus <> 'O'""",
 }
 _DRIVER = ("region", "nation", "customer", "orders", "lineitem", "events")
 
 
-def _view(name: str, one: bool) -> str:
-    return re.sub(r"DOC\((\w+)\)", r"'d'" if one else r"concat('d', \1 % 5)", _VIEWS[name])
+def _view(name: str, one: bool, page: bool = False) -> str:
+    sql = re.sub(r"DOC\((\w+)\)", r"'d'" if one else r"concat('d', \1 % 5)", _VIEWS[name])
+    return sql.replace("CAST(o_custkey AS INT) AS page_index", "1 AS page_index").replace("CAST(o_orderkey % 40 AS INT) AS entry_index", "CAST(o_orderkey AS INT) AS entry_index") if page else sql
 
 
 class Mapped:
-    """A store whose tables are views over the driver's; ``one``: a single document ``d`` holds all rows, else there are five."""
+    """A store whose tables are views over the driver's; ``one``: a single document ``d`` holds all rows, else there are five; ``page``: and on one page, too."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, one: bool = True):
-        self.spark, self.sf_dir, self.one = spark, sf_dir, one
+    def __init__(self, spark: SparkSession, sf_dir: str, one: bool = True, page: bool = False):
+        self.spark, self.sf_dir, self.one, self.page = spark, sf_dir, one, page
 
     def read(self, name: str) -> DataFrame:
-        sql = _view(name, self.one)
+        sql = _view(name, self.one, self.page)
         rows = self.spark.sql(sql, **{t: table(self.spark, self.sf_dir, t) for t in _DRIVER if f"{{{t}}}" in sql})
         return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(TABLES[name])])
 
 
-def _over(*names: str, one: bool = True) -> str:
+def _over(*names: str, one: bool = True, page: bool = False) -> str:
     """The start of a statement over the store's tables, named s_ and their name."""
-    return "WITH " + ",\n".join(f"s_{n} AS ({_view(n, one).format(**{t: t for t in _DRIVER})})" for n in names)
+    return "WITH " + ",\n".join(f"s_{n} AS ({_view(n, one, page).format(**{t: t for t in _DRIVER})})" for n in names)
 
 
 _LIVE = "(deleted_at IS NULL AND state <> 'rejected')"
@@ -653,10 +657,10 @@ def skewed_rules(spark, sf_dir):
     return r.select("p_partkey", "rules", *[F.round(f"r.{c}", 6).alias(c) for c in ("slope", "position")], "r.start", "r.end")
 
 
-@query("SELECT p_size % 4 AS page, 20 AS height, (6 * count(*))::INT AS width, (20 * 4 * count(*))::INT AS dark FROM part GROUP BY page")
+@query("SELECT p_partkey // 50 AS page, 20 AS height, (6 * count(*))::INT AS width, (20 * 4 * count(*))::INT AS dark FROM part GROUP BY page")
 def sheets(spark, sf_dir):
     """Dark crops of two by ten pixels at twice their size, side by side, with white between them."""
-    crops = table(spark, sf_dir, "part").select((F.col("p_size") % 4).alias("page"), "p_partkey", _image(10, 2, 1, _strip((20, "00"))).alias("crop"))
+    crops = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("page"), "p_partkey", _image(10, 2, 1, _strip((20, "00"))).alias("crop"))
     sheet = imaging.contact_sheets(crops, ["page"], "p_partkey", height=20).select("page", "sheet.*")
     return sheet.select("page", "height", "width", ((F.length(F.hex("pixels")) - F.length(F.replace(F.hex("pixels"), F.lit("00"), F.lit("")))) / 2).cast("int").alias("dark"))
 
@@ -692,12 +696,12 @@ def cut_crops(spark, sf_dir):
 
 
 @query(
-    """WITH g AS (SELECT p_brand, p_size % 3 AS bands, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL), f AS (SELECT *, (row_number() OVER (PARTITION BY p_brand, n >= 5 ORDER BY first) - 1)::INT AS family FROM g)
-SELECT p.p_partkey AS page, CASE WHEN n >= 5 THEN family ELSE -1 END AS family FROM part p JOIN f ON p.p_brand = f.p_brand AND p.p_size % 3 = f.bands"""
+    """WITH g AS (SELECT p_partkey // 20 AS doc, p_size % 3 AS bands, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL), f AS (SELECT *, (row_number() OVER (PARTITION BY doc, n >= 5 ORDER BY first) - 1)::INT AS family FROM g)
+SELECT p.p_partkey AS page, CASE WHEN n >= 5 THEN family ELSE -1 END AS family FROM part p JOIN f ON p.p_partkey // 20 = f.doc AND p.p_size % 3 = f.bands"""
 )
 def page_families(spark, sf_dir):
-    """Pages of one profile: those of a number of bands are a family where there are five."""
-    pages = table(spark, sf_dir, "part").select(F.col("p_brand").alias("document_id"), F.col("p_partkey").cast("int").alias("page"), (F.col("p_size") % 3).alias("bands"), F.array(F.lit(0.0), F.lit(1.0)).alias("profile"))
+    """Documents of twenty pages of one profile: those of a number of bands are a family where there are five."""
+    pages = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 20).cast("string").alias("document_id"), F.col("p_partkey").cast("int").alias("page"), (F.col("p_size") % 3).alias("bands"), F.array(F.lit(0.0), F.lit(1.0)).alias("profile"))
     return imaging.layout_families(pages).select("page", "family")
 
 
@@ -927,3 +931,40 @@ def report_lines(spark, sf_dir):
     """A small report as Markdown, line by line."""
     counted = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang")
     return spark.createDataFrame(list(enumerate(writers.markdown(counted, "Languages").splitlines(), 1)), "place long, line string")
+
+
+@query(
+    _over("regions", "ocr_candidates", "region_crops", "human_corrections", "validation_findings", page=True)
+    + f""", read AS (SELECT r.id, c.id AS candidate, c.transcription AS machine, coalesce(k.geometry_hash = r.geometry_hash, false) AS current FROM s_regions r JOIN s_ocr_candidates c ON c.region_id = r.id LEFT JOIN s_region_crops k ON k.crop_key = c.crop_key),
+best AS (SELECT * FROM read QUALIFY row_number() OVER (PARTITION BY id ORDER BY current DESC, candidate DESC) = 1),
+seen AS (SELECT r.*, machine, coalesce(current, false) AS current, h.band_label IS NOT NULL AS corrected, h.unreadable, CASE WHEN h.band_label IS NOT NULL AND NOT h.unreadable THEN coalesce(h.transcription, '') END AS human,
+  CASE WHEN f.kind IN ('gap', 'non_monotonic') AND f.expected <> '' THEN r.band_label || f.expected END AS expected
+  FROM s_regions r LEFT JOIN best b ON b.id = r.id LEFT JOIN s_human_corrections h ON h.band_label = r.band_label AND h.entry_index = r.entry_index AND h.role = r.role
+  LEFT JOIN s_validation_findings f ON f.band_label = r.band_label AND f.entry_index = r.entry_index WHERE {_LIVE})
+SELECT region_uid, role, reading_order, machine, human, unreadable, machine IS NOT NULL AND NOT current AS stale, CASE WHEN unreadable THEN 'unreadable' WHEN corrected THEN 'human' WHEN coalesce(machine, '') <> '' THEN 'machine' ELSE 'none' END AS source,
+  expected, CASE WHEN role = 'header' THEN 'page_header' END AS header_kind FROM seen"""
+)
+def review_page(spark, sf_dir):
+    """A page with every region on it: readings, whether they are of the pixels that are there, corrections, and what findings expect."""
+    out = graph_plan.review_entries(Mapped(spark, sf_dir, page=True), "d", 1, Profile())
+    return out.select("region_uid", "role", "reading_order", "machine", "human", "unreadable", "stale", "source", "expected", "header_kind")
+
+
+@query("SELECT s_suppkey // 100 AS run, s_suppkey, s_name FROM supplier")
+def decoded_events(spark, sf_dir):
+    """Runs of a hundred events as lines, cut anywhere into chunks of seven bytes, and decoded again."""
+    line = F.concat(F.to_json(F.struct("s_suppkey", F.concat("s_name", F.lit(" 富陽")).alias("s_name"))), F.lit("\n"))
+    whole = table(spark, sf_dir, "supplier").groupBy(F.floor(F.col("s_suppkey") / 100).alias("run")).agg(F.array_join(F.collect_list(line), "").alias("lines"))
+
+    def decode(frame: pd.DataFrame) -> pd.DataFrame:
+        data = frame["lines"].iloc[0].encode()
+        lines = list(streams.decode_ndjson(data[i : i + 7] for i in range(0, len(data), 7)))
+        return pd.DataFrame({"run": frame["run"].iloc[0], "line": lines})
+
+    rows = whole.groupBy("run").applyInPandas(decode, "run long, line string").select("run", F.from_json("line", "s_suppkey long, s_name string").alias("e"))
+    return rows.select("run", "e.s_suppkey", F.replace("e.s_name", F.lit(" 富陽")).alias("s_name"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey >= 20 THEN 'result' ELSE 'progress' END AS type, CASE WHEN c_nationkey >= 20 THEN 'result' WHEN c_nationkey > 0 THEN 'recognizing' ELSE 'queued' END AS stage, c_nationkey AS completed, 20 AS total FROM customer")
+def progress_events(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", recognise.progress(F.lit(20), F.col("c_nationkey")).alias("e")).select("c_custkey", "e.*")
