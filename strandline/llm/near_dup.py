@@ -29,7 +29,7 @@ SIMILARITY = 80
 SLACK = 4.0
 #: Bytes of text of a chunk; members and shingles of a block of a family.
 CHUNK, MEMBERS, SHINGLES = 16 << 20, 1024, 1_500_000
-#: Classes under one key that are compared in one task; of a key of more, each pair of blocks of so many is.
+#: Classes under one key that are compared in one task. A key of more is hot: its classes are held against its first one.
 GROUP = 1 << 15
 #: Words remembered, and columns of a product of sets at once.
 WORDS, COLUMNS = 600_000, 4096
@@ -113,6 +113,25 @@ def linked(sets: list[np.ndarray], similarity: int) -> np.ndarray:
         label = new
 
 
+class Tree:
+    """Disjoint sets of numbers, each named by its smallest."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while self.above.setdefault(x, x) != x:
+            self.above[x] = self.above[self.above[x]]
+            x = self.above[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        a, b = self.root(a), self.root(b)
+        self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) from links (a, b) of integers: the smallest number that each can reach.
 
@@ -147,7 +166,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     set and is linked with nothing; a null id stays null and is linked with nothing. Rows that repeat
     an id are judged one by one; if their texts differ, one of them is looked at for near copies. An empty table gives no rows; other columns are ignored.
     """
-    spark, number = docs.sparkSession, 2 * width * tuples
+    number, group = 2 * width * tuples, GROUP
     chunks = chunk_count(docs, text_col, CHUNK)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -194,53 +213,57 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return out
 
     def shared(table: pa.Table) -> pa.Table:
-        """Keys of several classes, back to their chunks, with the number of blocks that a key's classes are split into."""
+        """Keys of several classes, back to their chunks, those of too many for one task apart."""
         parts = [np.frombuffer(x, np.uint64) for x in table["data"].to_pylist()]
         values, which = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(which, np.concatenate([np.frombuffer(x, np.uint32) for x in table["held"].to_pylist()])).astype(np.int64)
         cut = np.split(which, np.cumsum([len(p) for p in parts])[:-1])
-        kept = [w[total[w] > 1] for w in cut]
-        some = [i for i, k in enumerate(kept) if len(k)]
-        blocks = -(-total // GROUP)
-        return pa.table({"chunk": table["chunk"].take(pa.array(some, pa.int64())), "data": pa.array([values[kept[i]].tobytes() for i in some], pa.binary()), "blocks": pa.array([blocks[kept[i]].astype(np.uint32).tobytes() for i in some], pa.binary())})
+        some = [i for i, w in enumerate(cut) if (total[w] > 1).any()]
+        blobs = lambda low, high: pa.array([values[cut[i][(total[cut[i]] > low) & (total[cut[i]] <= high)]].tobytes() for i in some], pa.binary())
+        return pa.table({"chunk": table["chunk"].take(pa.array(some, pa.int64())), "data": blobs(1, group), "hot": blobs(group, np.iinfo(np.int64).max)})
 
     cell = [("key", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("sketch", "u1", (number,))]
 
-    def send_members(table: pa.Table, side: pa.Table) -> pa.Table:
-        """Classes of a chunk under each shared key, with one byte of each minhash; those of a hot key once per pair of blocks."""
-        known = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in side["data"].to_pylist()]])
-        blocks = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in side["blocks"].to_pylist()]])
+    def cells_of(table: pa.Table, side: pa.Table, column: str) -> np.ndarray:
+        """Classes of a chunk under each of its shared keys, with one byte of each minhash."""
+        known = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in side[column].to_pylist()]])
         if not table.num_rows or not len(known):
-            return pa.table({"bucket": pa.array([], pa.int32()), "cells": pa.array([], pa.binary())})
+            return np.zeros(0, cell)
         own, look = matrix(table), HashTable(known)
         ids, n = table["doc_id"].to_numpy(), table["n"].to_numpy()
         found = []
         for at in range(0, len(own), 4096):
             key = keys_of(own[at : at + 4096], width, tuples)
-            at_key = look.find(key.reshape(-1)).reshape(key.shape)
-            row, col = np.nonzero(at_key >= 0)
-            times = blocks[at_key[row, col]].astype(np.int64)
-            block = mix64(ids[at + row].view(np.uint64)) % times.astype(np.uint64)
-            other = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-            row, col, block, split = (np.repeat(x, times) for x in (row, col, block.astype(np.int64), times > 1))
-            pair = (np.minimum(block, other) << 32 | np.maximum(block, other)).astype(np.uint64)
+            row, col = np.nonzero(look.find(key.reshape(-1)).reshape(key.shape) >= 0)
             part = np.zeros(len(row), cell)
-            part["key"] = np.where(split, mix64(key[row, col] ^ mix64(pair)), key[row, col])
-            part["doc"], part["n"], part["sketch"] = ids[at + row], n[at + row], (own[at + row] & np.uint32(255)).astype(np.uint8)
+            part["key"], part["doc"], part["n"] = key[row, col], ids[at + row], n[at + row]
+            part["sketch"] = (own[at + row] & np.uint32(255)).astype(np.uint8)
             found.append(part)
-        cells = np.concatenate(found)
+        return np.concatenate(found)
+
+    def send_members(table: pa.Table, side: pa.Table) -> pa.Table:
+        cells = cells_of(table, side, "data")
         order, cuts = by_bucket(cells["key"], 4 * chunks)
         cells = cells[order]
         out = pa.table({"bucket": pa.array([b for b, _, _ in cuts], pa.int32()), "cells": pa.array([cells[a:b].tobytes() for _, a, b in cuts], pa.binary())})
         trim()
         return out
 
+    def send_hot(table: pa.Table, side: pa.Table) -> pa.Table:
+        cells = cells_of(table, side, "hot")
+        return pa.table({"key": cells["key"].view(np.int64) if len(cells) else pa.array([], pa.int64()), "doc": pa.array(cells["doc"]), "n": pa.array(cells["n"].astype(np.int64)), "sketch": pa.array([x.tobytes() for x in cells["sketch"]], pa.binary())})
+
     least = math.floor(number * similarity / 100 - SLACK * math.sqrt(number * similarity / 100 * (1 - similarity / 100)))
 
     def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         near = (a["sketch"] == b["sketch"]).sum(1) >= least
         return near & (100 * np.minimum(a["n"], b["n"]).astype(np.int64) >= similarity * np.maximum(a["n"], b["n"]))
 
+    def unpacked(doc: list[int], n: list[int], bodies: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(doc), cell)
+        out["doc"], out["n"], out["sketch"] = doc, n, np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, number)
+        return out
+
     def join_up(table: pa.Table) -> pa.Table:
         """Spanning links of the families under a bucket's keys. No more than one row per class comes out of a key."""
         cells = np.concatenate([np.frombuffer(x, cell) for x in table["cells"].to_pylist()])
@@ -253,29 +276,19 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             near[at : at + (1 << 16)] = agree(cells[at : at + (1 << 16)], cells[hub[at : at + (1 << 16)]])
         links = [np.stack([cells["doc"][near], cells["doc"][hub[near]]])]
         # Members that aren't near their key's first one are held against all others there, in one step each.
-        seen: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while seen.setdefault(x, x) != x:
-                seen[x] = seen[seen[x]]
-                x = seen[x]
-            return x
-
+        tree = Tree()
         for a, b in zip(*[x.tolist() for x in links[0]], strict=True):
-            a, b = root(a), root(b)
-            seen[max(a, b)] = min(a, b)
+            tree.join(a, b)
         far = np.add.reduceat((~near).astype(np.int64), begin) if len(begin) else begin
         more = []
         for g in np.flatnonzero((far > 0) & (size > 2)).tolist():
             own = cells[begin[g] : begin[g] + size[g]]
             names = own["doc"].tolist()
-            if len({root(x) for x in names}) == 1:
+            if len({tree.root(x) for x in names}) == 1:
                 continue
             for i in np.flatnonzero(~near[begin[g] : begin[g] + size[g]]).tolist():
                 for j in np.flatnonzero(agree(own, own[i : i + 1])).tolist():
-                    a, b = root(names[i]), root(names[j])
-                    if a != b:
-                        seen[max(a, b)] = min(a, b)
+                    if tree.join(names[i], names[j]):
                         more.append((names[i], names[j]))
         links.append(np.array(more, np.int64).reshape(-1, 2).T)
         pair = np.unique(np.concatenate(links, axis=1), axis=1)
@@ -283,11 +296,51 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         trim()
         return pa.table({"a": pair[0], "b": pair[1]})
 
+    def hot_pairs(hot: DataFrame) -> DataFrame:
+        """Pairs (a, b) under hot keys: each class with its key's first one, and those not near it with all others of the key, in blocks."""
+        cells = written(firsts.groupBy("chunk").cogroup(hot.groupBy("chunk")).applyInArrow(send_hot, "key long, doc long, n long, sketch binary"), "hot")
+        first = cells.groupBy("key").agg(F.min(F.struct("doc", "n", "sketch")).alias("hub"), F.count("*").alias("size"))
+
+        def beside(batches):
+            for batch in batches:
+                doc, n, body, hub, hub_n, hub_body = (batch[c].to_pylist() for c in ("doc", "n", "sketch", "hub", "hub_n", "hub_sketch"))
+                near = agree(unpacked(doc, n, body), unpacked(hub, hub_n, hub_body))
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("key", "doc", "n", "sketch", "hub", "size")], pa.array(near)], ["key", "doc", "n", "sketch", "hub", "size", "near"])
+
+        told = cells.join(first, "key").select("key", "doc", "n", "sketch", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.sketch").alias("hub_sketch"), "size")
+        told = written(told.mapInArrow(beside, "key long, doc long, n long, sketch binary, hub long, size long, near boolean"), "beside")
+        far = told.where("not near")
+        parts = far.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("rows"), F.ceil(F.max("size") / group).cast("int").alias("cols"))
+        parts = written(parts, "far")
+        place = lambda c, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        member = ["key", "doc", "n", "sketch"]
+        both = told.join(parts, "key").select(*member, F.lit(False).alias("far"), every("rows").alias("i"), place("cols", 1).alias("j"))
+        both = both.unionByName(far.join(parts, "key").select(*member, F.lit(True).alias("far"), place("rows", 2).alias("i"), every("cols").alias("j")))
+
+        def span(table: pa.Table) -> pa.Table:
+            """Spanning pairs among those of some far classes and some of all."""
+            cells, is_far = unpacked(*[table[c].to_pylist() for c in ("doc", "n", "sketch")]), table["far"].to_numpy()
+            tree, out = Tree(), [[], []]
+            own, names = cells[~is_far], cells["doc"][~is_far].tolist()
+            for x in cells[is_far]:
+                for j in np.flatnonzero(agree(own, x[None])).tolist():
+                    if tree.join(int(x["doc"]), names[j]):
+                        out[0].append(int(x["doc"]))
+                        out[1].append(names[j])
+            trim()
+            return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+        found = both.groupBy("key", "i", "j").applyInArrow(span, "a long, b long")
+        return told.where("near").select(F.col("doc").alias("a"), F.col("hub").alias("b")).unionByName(found)
+
     keys = firsts.groupBy("chunk").applyInArrow(send_keys, "bucket int, chunk int, data binary, held binary")
-    wanted = keys.groupBy("bucket").applyInArrow(shared, "chunk int, data binary, blocks binary")
+    wanted = written(keys.groupBy("bucket").applyInArrow(shared, "chunk int, data binary, hot binary"), "wanted")
     members = firsts.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(send_members, "bucket int, cells binary")
     near = members.groupBy("bucket").applyInArrow(join_up, "a long, b long")
-    near = written(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near")
+    hot = wanted.where(F.length("hot") > 0)
+    near = near if hot.isEmpty() else near.unionByName(hot_pairs(hot))
+    near = written(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "near")
     own = firsts.select(F.col("doc_id").alias("node"), "mark", "n")
 
     def full(batches):
