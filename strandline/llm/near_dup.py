@@ -30,7 +30,7 @@ SLACK = 4.0
 #: Bytes of text of a chunk; members and shingles of a block of a family.
 CHUNK, MEMBERS, SHINGLES = 16 << 20, 1024, 1_500_000
 #: Classes under one key that are compared in one task. A key of more is hot: its classes are held against its first one.
-GROUP = 1 << 15
+GROUP = 1 << 13
 #: Words remembered, and columns of a product of sets at once.
 WORDS, COLUMNS = 600_000, 4096
 
