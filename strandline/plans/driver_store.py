@@ -278,7 +278,7 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.reconcile(p, r.withColumn("rejected", F.col("state") == "rejected").withColumn("pinned", relational.pinned(F.col("state"))))
 
 
-@query(_PLAN_SQL + "SELECT page, proposal, region, action, action = 'divergent' AND geometry_hash <> new_hash AS diverges FROM plan")
+@query(_PLAN_SQL + "SELECT page::INT AS page, proposal, region, action, action = 'divergent' AND geometry_hash <> new_hash AS diverges FROM plan")
 def reconcile_plan(spark, sf_dir):
     return _plan(spark, sf_dir).select("page", "proposal", "region", "action", F.coalesce("diverges", F.lit(False)).alias("diverges"))
 
@@ -451,13 +451,13 @@ def split_bands(spark, sf_dir):
 
 @query(
     """WITH p AS (SELECT p_partkey, p_size % 12 AS w FROM part)
-SELECT p_partkey, CASE WHEN w >= 4 THEN [20 + w / 2.0] ELSE [] END::DOUBLE[] AS edges, 0::DOUBLE AS "left", CASE WHEN w >= 4 THEN 39 + w ELSE 40 + w END::DOUBLE AS "right" FROM p"""
+SELECT p_partkey, CASE WHEN w >= 4 THEN 1 ELSE 0 END AS gutters, CASE WHEN w >= 4 THEN 20 + w / 2.0 END::DOUBLE AS edge, 0::DOUBLE AS "left", CASE WHEN w >= 4 THEN 39 + w ELSE 40 + w END::DOUBLE AS "right" FROM p"""
 )
 def gutter_runs(spark, sf_dir):
     """Twenty columns of ink, a gap, and twenty again: a gap of four or more is a gutter."""
     w = F.col("p_size") % 12
     profile = F.concat(F.array_repeat(F.lit(0.9), 20), F.array_repeat(F.lit(0.1), w), F.array_repeat(F.lit(0.8), 20))
-    return table(spark, sf_dir, "part").select("p_partkey", geometry.gutters(profile, F.lit(30.0)).alias("g")).select("p_partkey", F.col("g.edges").alias("edges"), "g.left", "g.right")
+    return table(spark, sf_dir, "part").select("p_partkey", geometry.gutters(profile, F.lit(30.0)).alias("g")).select("p_partkey", F.size("g.edges").alias("gutters"), F.get("g.edges", 0).alias("edge"), "g.left", "g.right")
 
 
 @query(
@@ -685,7 +685,7 @@ def image_variants(spark, sf_dir):
     return made.select("p_partkey", *[F.conv(F.hex(F.get("v", i)["image"]["pixels"]), 16, 10).cast("int").alias(n) for i, n in enumerate(names)])
 
 
-@query("SELECT p_partkey, p_partkey % 4 AS place, least(10, p_size % 8 + 4) - p_size % 8 AS width, least(20, p_partkey % 4 * 3 + 5) - p_partkey % 4 * 3 AS height, 0 AS strange FROM part")
+@query("SELECT p_partkey, p_partkey % 4 AS place, least(10, p_size % 8 + 4) - p_size % 8 AS width, (least(20, p_partkey % 4 * 3 + 5) - p_partkey % 4 * 3)::INT AS height, 0 AS strange FROM part")
 def cut_crops(spark, sf_dir):
     """Boxes cut out of their page, cut off at its edge: as many pixels, all of the page's."""
     x, y = F.col("p_size") % 8, F.col("p_partkey") % 4
@@ -697,7 +697,7 @@ def cut_crops(spark, sf_dir):
 
 @query(
     """WITH g AS (SELECT p_partkey // 20 AS doc, p_size % 3 AS bands, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL), f AS (SELECT *, (row_number() OVER (PARTITION BY doc, n >= 5 ORDER BY first) - 1)::INT AS family FROM g)
-SELECT p.p_partkey AS page, CASE WHEN n >= 5 THEN family ELSE -1 END AS family FROM part p JOIN f ON p.p_partkey // 20 = f.doc AND p.p_size % 3 = f.bands"""
+SELECT p.p_partkey::INT AS page, CASE WHEN n >= 5 THEN family ELSE -1 END AS family FROM part p JOIN f ON p.p_partkey // 20 = f.doc AND p.p_size % 3 = f.bands"""
 )
 def page_families(spark, sf_dir):
     """Documents of twenty pages of one profile: those of a number of bands are a family where there are five."""
@@ -735,13 +735,13 @@ def frame_sides(spark, sf_dir):
     return p.select("p_partkey", F.when(F.col("a").isNotNull(), "pair").otherwise(F.col("b.inferred")).alias("found"), F.coalesce("a.near.position", "b.near").alias("near"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [300.0 + p_size, 650.0] WHEN p_size <= 50 THEN [300.0 + p_size, 600] ELSE [300.0 + p_size] END::DOUBLE[] AS edges, p_partkey % 3 > 0 AND p_size <= 50 AS repaired FROM part")
+@query("SELECT p_partkey, (300.0 + p_size)::DOUBLE AS upper, CASE WHEN p_partkey % 3 = 0 THEN 650.0 WHEN p_size <= 50 THEN 600 END::DOUBLE AS lower, p_partkey % 3 > 0 AND p_size <= 50 AS repaired FROM part")
 def repaired_bands(spark, sf_dir):
     """Pages with an edge missing get the template's where the other one is near enough; whole ones stay."""
     size = F.col("p_size")
     edges = F.when(F.col("p_partkey") % 3 == 0, F.array(300.0 + size, F.lit(650.0))).otherwise(F.array(300.0 + size))
     r = layout.repair_bands(edges, F.array().cast("array<double>"), [300.0, 600.0], 1000.0)
-    return table(spark, sf_dir, "part").select("p_partkey", r.alias("r")).select("p_partkey", "r.edges", "r.repaired")
+    return table(spark, sf_dir, "part").select("p_partkey", r.alias("r")).select("p_partkey", F.get("r.edges", 0).alias("upper"), F.get("r.edges", 1).alias("lower"), "r.repaired")
 
 
 @query(
