@@ -196,6 +196,8 @@ def fetched_in_order(spark, sf_dir):
     return relational.in_order(asked, table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", "position").select("position", "c_custkey", "c_name")
 
 
+_YES = "CASE WHEN ignored THEN 'yes' WHEN NOT ignored THEN 'no' END"
+
 # Writes -------------------------------------------------------------------------------------------
 
 
@@ -215,10 +217,10 @@ def moved_regions(spark, sf_dir):
     return out.select("id", moved.alias("moved"), "reading_order", "band_label")
 
 
-@query(_over("pages") + " SELECT page_index, CASE WHEN page_index = (SELECT min(page_index) FROM s_pages) THEN true ELSE ignored END AS ignored FROM s_pages")
+@query(_over("pages") + " SELECT page_index, CASE WHEN ignored OR page_index = (SELECT min(page_index) FROM s_pages) THEN 'yes' WHEN NOT ignored THEN 'no' END AS ignored FROM s_pages")
 def ignored_page(spark, sf_dir):
     pages = Mapped(spark, sf_dir).read("pages")
-    return stored.set_ignored(pages, "d", pages.agg(F.min("page_index")).first()[0], True).select("page_index", "ignored")
+    return stored.set_ignored(pages, "d", pages.agg(F.min("page_index")).first()[0], True).select("page_index", F.expr(_YES).alias("ignored"))
 
 
 @query(_over("processing_runs") + " SELECT id, stage, status, false AS ended FROM s_processing_runs UNION ALL SELECT * FROM (VALUES ('q1', 'layout', 'completed', true), ('q2', 'ocr', 'failed', true), ('q3', 'ocr', 'running', false))")
@@ -233,13 +235,13 @@ def run_log(spark, sf_dir):
     return store.read("processing_runs").select("id", "stage", "status", F.col("finished_at").isNotNull().alias("ended"))
 
 
-@query(_over("pages", one=False) + " SELECT document_id, page_index, CASE WHEN document_id = 'd1' THEN false ELSE ignored END AS ignored FROM s_pages")
+@query(_over("pages", one=False) + " SELECT document_id, page_index, CASE WHEN document_id = 'd1' OR NOT ignored THEN 'no' WHEN ignored THEN 'yes' END AS ignored FROM s_pages")
 def replaced_document(spark, sf_dir):
     """A table written to a store, one document's rows replaced, and read again."""
     store = Store(spark, shared_dir(spark, "pages"))
     store.replace("pages", Mapped(spark, sf_dir, one=False).read("pages"))
     store.replace_document("pages", store.read("pages").where("document_id = 'd1'").withColumn("ignored", F.lit(False)), "d1")
-    return store.read("pages").select("document_id", "page_index", "ignored")
+    return store.read("pages").select("document_id", "page_index", F.expr(_YES).alias("ignored"))
 
 
 # Matching -----------------------------------------------------------------------------------------
@@ -941,13 +943,13 @@ seen AS (SELECT r.*, machine, coalesce(current, false) AS current, h.band_label
   CASE WHEN f.kind IN ('gap', 'non_monotonic') AND f.expected <> '' THEN r.band_label || f.expected END AS expected
   FROM s_regions r LEFT JOIN best b ON b.id = r.id LEFT JOIN s_human_corrections h ON h.band_label = r.band_label AND h.entry_index = r.entry_index AND h.role = r.role
   LEFT JOIN s_validation_findings f ON f.band_label = r.band_label AND f.entry_index = r.entry_index WHERE {_LIVE})
-SELECT region_uid, role, reading_order, machine, human, unreadable, machine IS NOT NULL AND NOT current AS stale, CASE WHEN unreadable THEN 'unreadable' WHEN corrected THEN 'human' WHEN coalesce(machine, '') <> '' THEN 'machine' ELSE 'none' END AS source,
+SELECT region_uid, role, reading_order, machine, human, machine IS NOT NULL AND NOT current AS stale, CASE WHEN unreadable THEN 'unreadable' WHEN corrected THEN 'human' WHEN coalesce(machine, '') <> '' THEN 'machine' ELSE 'none' END AS source,
   expected, CASE WHEN role = 'header' THEN 'page_header' END AS header_kind FROM seen"""
 )
 def review_page(spark, sf_dir):
     """A page with every region on it: readings, whether they are of the pixels that are there, corrections, and what findings expect."""
     out = graph_plan.review_entries(Mapped(spark, sf_dir, page=True), "d", 1, Profile())
-    return out.select("region_uid", "role", "reading_order", "machine", "human", "unreadable", "stale", "source", "expected", "header_kind")
+    return out.select("region_uid", "role", "reading_order", "machine", "human", "stale", "source", "expected", "header_kind")
 
 
 @query("SELECT s_suppkey // 100 AS run, s_suppkey, s_name FROM supplier")
