@@ -20,17 +20,17 @@ spark = (
 )
 spark.sparkContext.setLogLevel("ERROR")
 passages = [prose(700 + i, 60) for i in range(20)]
-rows = [(i, f"{prose(5000 + i, 20 + i % 50)} {passages[i % 20] if i % 3 else ''} {prose(9000 + i, i % 40)}") for i in range(900)]
-rows += [(1000 + i, rows[i * 7][1]) for i in range(60)] + [(2000 + i, rows[i * 11][1] + " changed") for i in range(60)]
+rows = [(i, f"{prose(5000 + i, 20 + i % 50)} {passages[i % 20] if i % 3 else ''} {prose(9000 + i, i % 40)}") for i in range(420)]
+rows += [(1000 + i, rows[i * 7][1]) for i in range(40)] + [(2000 + i, rows[i * 9][1] + " changed") for i in range(40)]
 docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12, "doc_id")
-assert result(docs, 50, 30_000) == plain(rows, 50), "repeats"
-near_dup.CHUNK = 60_000
+assert result(docs, 50, 15_000) == plain(rows, 50), "repeats"
+near_dup.CHUNK = 40_000
 got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.find_near_duplicates(docs).collect())
 assert got == sorted(exact(rows, 5)), "near duplicates"
 
 learnt = [t.encode() for i, t in rows if i % 3]
 model = Plain(learnt, 4)
-scored = {r["doc_id"]: r["score"] for r in ppm.score_documents(docs, docs["doc_id"] % 3 != 0, order=4, chunk_bytes=30_000).collect()}
+scored = {r["doc_id"]: r["score"] for r in ppm.score_documents(docs, docs["doc_id"] % 3 != 0, order=4, chunk_bytes=20_000).collect()}
 assert all(abs(scored[i] / model.score(t.encode()) - 1) < 1e-12 for i, t in rows), "scores"
 
 ids = {i: x + b"\0" * 4 for (i, _), x in zip(rows, encoder("byte_bpe_50k.json").many([t for _, t in rows]), strict=True)}
