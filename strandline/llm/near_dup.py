@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stats import numbered
 from .common import HashTable, chunk_count, mix64, raw, trim, written
 
 #: Minhashes of a tuple and tuples of a collection: a pair at similarity 0.8 misses all tables of 169 with chance 2e-4.
@@ -164,7 +165,8 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ``similarity`` per cent of their union; links are confirmed on full sets, and found by minhash
     with the chance given above (equal sets always). A null text, or one without words, has an empty
     set and is linked with nothing; a null id stays null and is linked with nothing. Rows that repeat
-    an id are judged one by one; if their texts differ, one of them is looked at for near copies. An empty table gives no rows; other columns are ignored.
+    an id are judged one by one, whether their texts are equal or not. An empty table gives no rows;
+    other columns are ignored.
     """
     number, group = 2 * width * tuples, GROUP
     chunks = chunk_count(docs, text_col, CHUNK)
@@ -188,9 +190,19 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Written, as are their names below, so that joins by class have shuffles alone for sides, of which Spark can split a
     # large group of copies.
     classes = written(signs.where("n > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep")), "classes")
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
-    firsts = signs.where("n > 0").join(classes, "mark").where("doc_id = rep").groupBy("doc_id").agg(F.min(F.struct("mark", "n", "sketch")).alias("x"))
-    firsts = written(firsts.select(chunk, "doc_id", "x.mark", "x.n", "x.sketch"), "firsts")
+    firsts = signs.where("n > 0").join(classes, "mark").where("doc_id = rep").groupBy("doc_id", "mark").agg(F.min(F.struct("n", "sketch")).alias("x"))
+    firsts = written(firsts.select("doc_id", "mark", "x.n", "x.sketch"), "firsts")
+    # A class goes by the number of its first document; where that is first of several, the others get numbers below all.
+    several = firsts.groupBy("doc_id").agg(F.min("mark").alias("least"), F.count("*").alias("c")).where("c > 1")
+    plain = several.isEmpty()
+    if plain:
+        firsts = firsts.withColumn("node", F.col("doc_id"))
+    else:
+        others = firsts.join(several, "doc_id").where("mark <> least").select("doc_id", "mark")
+        low = firsts.agg(F.min("doc_id")).first()[0]
+        firsts = firsts.join(numbered(others, ["doc_id", "mark"], "place"), ["doc_id", "mark"], "left")
+        firsts = written(firsts.withColumn("node", F.coalesce(F.lit(low) - F.col("place"), "doc_id")).drop("place"), "firsts")
+    firsts = firsts.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int"))
 
     def matrix(table: pa.Table) -> np.ndarray:
         return np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, number)
@@ -230,7 +242,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if not table.num_rows or not len(known):
             return np.zeros(0, cell)
         own, look = matrix(table), HashTable(known)
-        ids, n = table["doc_id"].to_numpy(), table["n"].to_numpy()
+        ids, n = table["node"].to_numpy(), table["n"].to_numpy()
         found = []
         for at in range(0, len(own), 4096):
             key = keys_of(own[at : at + 4096], width, tuples)
@@ -341,7 +353,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     hot = wanted.where(F.length("hot") > 0)
     near = near if hot.isEmpty() else near.unionByName(hot_pairs(hot))
     near = written(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "near")
-    own = firsts.select(F.col("doc_id").alias("node"), "mark", "n")
+    own = firsts.select("node", "doc_id", "mark", "n")
 
     def full(batches):
         known = _Words()
@@ -349,13 +361,14 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 bodies = [shingle_set(t or b"", words, known).tobytes() for t in raw(part["text"])]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([xxhash.xxh3_128_digest(x) for x in bodies], pa.binary()), pa.array(bodies, pa.binary())], ["node", "mark", "shingles"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([xxhash.xxh3_128_digest(x) for x in bodies], pa.binary()), pa.array(bodies, pa.binary())], ["doc_id", "mark", "shingles"])
 
     # Full sets of the members of near pairs, worked out once: of an id with several texts, that of the class's mark. The
     # join is one by shuffle at every size, as its sides grow with the input.
-    nodes = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "doc_id").hint("merge")
-    held = rows.join(nodes, "doc_id").mapInArrow(full, "node long, mark binary, shingles binary")
-    sets = written(held.join(own.select("node", "mark"), ["node", "mark"], "left_semi").select("node", "shingles"), "sets")
+    nodes = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "node")
+    nodes = nodes.withColumnRenamed("node", "doc_id") if plain else nodes.join(own, "node").select("doc_id").distinct()
+    held = rows.join(nodes.hint("merge"), "doc_id").mapInArrow(full, "doc_id long, mark binary, shingles binary")
+    sets = written(held.join(own.select("node", "doc_id", "mark"), ["doc_id", "mark"]).select("node", "shingles"), "sets")
 
     def blocks_of(count, shingles):
         return F.greatest(F.ceil(F.greatest(count / MEMBERS, shingles / SHINGLES)).cast("int"), F.lit(1))
@@ -421,7 +434,10 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     joined = written(components(between).select(F.col("node").alias("component"), F.col("component").alias("whole")), "joined")
     single = joined.select(F.col("component").alias("node"), "whole").join(found, "node", "left_anti").select("node", F.col("whole").alias("component"))
     found = found.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(single)
-    found = found.join(own.select("node", "mark"), "node").select("mark", "component")
+    if not plain:  # the smallest document of a component, not the smallest number
+        least_doc = found.join(own, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+        found = found.join(least_doc, "component").select("node", F.col("least").alias("component"))
+    found = found.join(own, "node").select("mark", "component")
     named = classes.join(found, "mark", "left").select("mark", F.coalesce("component", "rep").alias("component_id"))
     out = signs.join(written(named, "named"), "mark", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))

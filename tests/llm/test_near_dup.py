@@ -60,6 +60,14 @@ def test_links_beside_the_spanning_pairs(spark, docs, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_rows_that_repeat_an_id_with_other_texts(spark, docs):
+    """Each row is judged by its own text, though several are the first of theirs under one id."""
+    one, two, three = (family(0, 31 + k, 3, 2) for k in range(3))
+    rows = [(5, one[0][1]), (5, two[0][1]), (5, three[0][1]), (9, one[1][1]), (2, two[1][1]), (9, three[1][1]), (-7, "of its own " * 9), (11, one[0][1]), (5, two[0][1]), (12, three[2][1])]
+    got = near_dup.find_near_duplicates(docs(rows), words=2)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, exact(rows, 2)))
+
+
 def test_nothing(spark, docs):
     assert near_dup.find_near_duplicates(docs([])).count() == 0
     assert [tuple(r) for r in near_dup.find_near_duplicates(docs([(5, None)])).collect()] == [(5, 0, 5)]
