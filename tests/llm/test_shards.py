@@ -1,4 +1,5 @@
 import os
+import random
 import zlib
 
 import numpy as np
@@ -26,6 +27,39 @@ def test_encoder_equals_the_library(name, odd_rows):
         assert [np.frombuffer(small.many([t])[0], "<u4").tolist() for t in group] == want
 
 
+def test_words_at_any_sign_and_white_space_equal_the_library():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    atoms = [*"abzAZ  \n\n'.,$|09\t\r\x0b\x1c\x1f\x01\u0085\u00a0\u1680\u2000\u2019\u2028\u202f\u205f\u3000éßÉ×÷öÿſжа\u0301ªµ²½漢😀\u200b", "'s", "'ll", "s'", " the", "é.", "é'", "×.", "... ", "a.b", "\n\n", "<|endoftext|>", "Ċ", "Ġ"]
+    r = random.Random(3)
+    for n in range(40):
+        weights = [r.random() ** 3 for _ in atoms]
+        texts = ["".join(r.choices(atoms, weights, k=r.choice([0, 1, 2, 3, 8, 40, 200]))) for _ in range(60)]
+        got = Encoder(vocabulary_path("byte_bpe_50k.json"), True).many(texts) if n % 20 == 0 else encoder("byte_bpe_50k.json").many(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_work_of_the_byte_level_encoder():
+    """A sign makes no new word of the one before it, and words of letters don't pass the slow pre-tokenizer."""
+    own, seen = Encoder(vocabulary_path("byte_bpe_50k.json"), True), []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **more)
+
+        def encode(self, text, **more):
+            seen.append(text)
+            return tokenizer.encode(text, **more)
+
+    tokenizer, own.tokenizer = own.tokenizer, Watched()
+    own.many(["un été, cet été. Été|$$ слово; l'été $$$", " été"])
+    assert set(own.known) == {"un", " été", " cet", " Été", " слово", " l", "'été", ",", ".", "|$$", ";", " $$$"}
+    assert sorted("".join(seen).replace("\n", "")) == sorted("'été,.|$$; $$$")
+
+
 def test_minimal_perfect_hash():
     h = mix64(np.arange(10_000, dtype=np.uint64))
     levels, slots = shards.build_mph(h)
